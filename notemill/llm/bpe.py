@@ -290,6 +290,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
         decoded_col = free_name(docs, decoded_col)
         more.append(T.StructField(decoded_col, T.StringType()))
     column = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, *more])
+    names = schema.names
 
     def run(batches):
         coder = encoder(tokenizer_path)
@@ -301,20 +303,22 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
                     added = [own.cast(pa.binary()), pc.divide(pc.binary_length(own), 4).cast(pa.int64())]
                     if decoded_col:
                         added.append(coder.decode(own))
-                    yield pa.RecordBatch.from_arrays([*block.slice(at, 1024).columns, *added], names=[*docs.columns, ids_col, count_col, *([decoded_col] if decoded_col else [])])
+                    yield pa.RecordBatch.from_arrays([*block.slice(at, 1024).columns, *added], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids decode as the empty text."""
     text_col = free_name(encoded, text_col)
     column = encoded.columns.index(ids_col)
+    schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
+    names = schema.names
 
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
             for block in slices(batch, 6 << 20, column):
-                yield pa.RecordBatch.from_arrays([*block.columns, coder.decode(block.column(column))], names=[*encoded.columns, text_col])
+                yield pa.RecordBatch.from_arrays([*block.columns, coder.decode(block.column(column))], names=names)
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
+    return encoded.mapInArrow(run, schema)
