@@ -63,7 +63,7 @@ atexit.register(release)
 
 def stored_bytes(df: DataFrame) -> int:
     """Bytes that the planner expects ``df`` to hold; it sizes partitions, never results."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(n, 1 << 50)
 
 

@@ -37,6 +37,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    found = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import classes
 
@@ -45,6 +52,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring": op2_substring,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op10_bpe": op10_bpe,
