@@ -37,6 +37,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, secret_scan, spans_string
+
+    found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base_secrets", lambda x: x["kind"])
+    number = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *number, F.sha2(spans_string(F.col("base_secrets")), 256).alias("base_sha256"), spans_string(F.col("secrets")).alias("spans"))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -52,7 +67,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_substring": op2_substring,
+    "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op10_bpe": op10_bpe,
