@@ -43,6 +43,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    windows = format_chat(turns.unionByName(own), budget=2048, history=512)
+    chars = windows.groupBy("conv_id").agg(F.sum(F.length("formatted").cast("long")).alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"))
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", "role", "text", "learnt")))
+    back = read_back(windows).groupBy("conv_id").agg(parts.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    back = back.select(F.col("conv_id").alias("c"), F.size("p").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.array_join(F.transform("p", lambda x: x["learnt"]), "").alias("learnt"))
+    joined = chars.join(back, F.col("conv_id").eqNullSafe(F.col("c")))
+    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, secret_scan, spans_string
 
@@ -69,6 +85,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring": op2_substring,
+    "op3_chat": op3_chat,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
