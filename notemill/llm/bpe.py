@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from .common import SPACE_BYTES, Words, free_name, slices, text_bytes
 
-#: Pieces a worker remembers, about 40 bytes each; a bound on memory, not on results.
-CACHE_PIECES = 1_000_000
+#: Pieces a worker remembers, about 50 bytes each; a bound on memory, not on results.
+CACHE_PIECES = 300_000
 _LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 _ONE_WORD = re.compile(rb" ?" + _LATIN + rb"+").fullmatch
 #: White space beyond ASCII before ASCII white space: the cut there isn't sure, such texts are encoded in one piece.
@@ -53,15 +53,15 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file, and BPE itself for pairs."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = True):
+        """``merges``: whether what the trie walk needs is built as well."""
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = byte_alphabet()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.alphabet = alphabet = byte_alphabet()
+        # the file's own pre-tokenizer, without its model
+        self.pre = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})).pre_tokenizer
         self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
         self.whole = np.zeros(256, bool)
         self.whole[[*b"".join(self.special)]] = True
@@ -69,19 +69,20 @@ class Vocabulary:
             raise ValueError("special tokens with white space aren't supported")
         self.id = {bytes(map(alphabet.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k.encode() not in self.special}
         self.bytes = {v: k for k, v in self.id.items()} | {v: k for k, v in self.special.items()}
+        self._pairs: dict[int, bool] = {}
+        if not merges:
+            return
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = bytes(map(alphabet.__getitem__, a)), bytes(map(alphabet.__getitem__, b))
             self.merge[self.id[a], self.id[b]] = rank, self.id[a + b]
-        self.alphabet = alphabet
         self.byte_id = [self.id[bytes([b])] for b in range(256)]
         ends: dict[bytes, set[int]] = {}
         for token in self.id:
             ends.setdefault(token[-3:], set()).add(len(token))
         #: Lengths of the tokens that end in these three bytes, or are these one or two bytes; longest first.
         self.lengths = {tail: tuple(sorted(n.union(*(ends.get(tail[k:], {}) and {len(tail) - k} for k in range(1, len(tail)))), reverse=True)) for tail, n in ends.items()}
-        self._pairs: dict[int, bool] = {}
 
     def bpe(self, word: bytes) -> list[int]:
         """Plain BPE: merge the pair of lowest rank, leftmost first, while there is one."""
@@ -96,7 +97,7 @@ class Vocabulary:
     def compatible(self, a: int, b: int) -> bool:
         known = self._pairs.get(a << 32 | b)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._pairs[a << 32 | b] = self.bpe(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
@@ -110,7 +111,7 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += [bytes(map(self.alphabet.__getitem__, w)) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part.decode())]
+                out += [bytes(map(self.alphabet.__getitem__, w)) for w, _ in self.pre.pre_tokenize_str(part.decode())]
         return out
 
 
@@ -236,6 +237,7 @@ class Encoder:
         for distinct, which, first in held:
             taken = self.ids.take(pa.array(self.rows[self._find(distinct)[0]][which])) if len(distinct) else pa.array([], pa.large_binary())
             out.append(joined(taken, first, pa.large_binary()))
+        pa.default_memory_pool().release_unused()
         return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
 
     def decode(self, ids: pa.Array) -> pa.Array:
@@ -277,7 +279,7 @@ def encoder(path: str, of_words=trie_encode) -> Encoder:
     """One encoder a worker and vocabulary; it outlives a task."""
     key = path, of_words
     if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary(path), of_words)
+        _encoders[key] = Encoder(Vocabulary(path, of_words is trie_encode), of_words)
     return _encoders[key]
 
 
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            for block in slices(batch, 12 << 20, column):
+            for block in slices(batch, 6 << 20, column):
                 ids = coder.encode(block.column(column))
                 for at in range(0, len(ids), 1024):  # smaller batches on the way back
                     own = ids.slice(at, 1024)

@@ -50,7 +50,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     def run(batches):
         coder = encoder(tokenizer_path, rank_encode)
         for batch in batches:
-            for block in slices(batch, 8 << 20, 1):
+            for block in slices(batch, 4 << 20, 1):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for k, own in enumerate(coder.encode(block.column(1)).to_pylist()):
                     own += end
