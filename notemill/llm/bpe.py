@@ -39,8 +39,7 @@ from .common import SPACE_BYTES, Words, free_name, slices, text_bytes
 CACHE_PIECES = 300_000
 _LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 _ONE_WORD = re.compile(rb" ?" + _LATIN + rb"+").fullmatch
-#: White space beyond ASCII before ASCII white space: the cut there isn't sure, such texts are encoded in one piece.
-_UNSURE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[ \t-\r]").search
+
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -160,11 +159,19 @@ _KIND[[*range(65, 91), *range(97, 123), 39]] = 2
 _KIND[128:] = 4
 
 
+def _wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space beyond ASCII (a fixed set of characters) ends before each place."""
+    z, y, x = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    two = (y == 0xC2) & ((z == 0x85) | (z == 0xA0))
+    general = (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    return two | general | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+
+
 class Pieces(Words):
     """Pieces of texts: the pre-tokenizer cuts at each border between two pieces, whatever
     else the text holds. Borders lie before white space that follows other text, and between
-    a letter and ASCII that is neither letter nor apostrophe. A text where white space beyond
-    ASCII comes before ASCII white space is one piece."""
+    a letter and ASCII that is neither letter nor apostrophe; each hangs on the two characters
+    beside it alone."""
 
     def __init__(self, texts: pa.Array, whole: np.ndarray | None = None):
         """``whole``: flags of the bytes of special tokens, before which no letter is cut off."""
@@ -179,10 +186,8 @@ class Pieces(Words):
             letter = ((left == 2) & (data[:-1] != 39)) | latin[:-1]
             ends = right == 0 if whole is None else (right == 0) & ~whole[data[1:]]
             cut[1:n] = ((right == 1) & (left != 1)) | (letter & ends)
-        if _UNSURE(data):
-            for a, b in zip(self.at.tolist(), self.at[1:].tolist()):
-                if _UNSURE(data[a:b]):
-                    cut[a:b] = False
+            other = np.flatnonzero((right == 1) & (left == 4)) + 1
+            cut[other[_wide_space(data, other)]] = False
         cut[self.at] = True
         cut[n] = False
         self.start = np.flatnonzero(cut)
@@ -219,6 +224,22 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text as little-endian unsigned 32-bit integers (large_binary)."""
+        out = [joined(taken, pieces.first, pa.large_binary()) for pieces, taken in self._pieces(texts)]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def piece_sizes(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Code points and tokens of each piece of each text."""
+        out = []
+        for pieces, taken in self._pieces(texts):
+            points = np.concatenate([[0], np.cumsum((pieces.data & 0xC0) != 0x80)])
+            chars = points[pieces.end] - points[pieces.start]
+            tokens = np.asarray(pc.binary_length(taken), np.int64) // 4
+            out += [(chars[a:b], tokens[a:b]) for a, b in zip(pieces.first, pieces.first[1:])]
+        return out
+
+    def _pieces(self, texts: pa.Array):
+        """Pieces of slices of the texts, and their ids."""
         held, unknown = [], {}
         if len(self.hashes) > CACHE_PIECES or self.ids.nbytes > 128 << 20:
             self._forget()
@@ -230,15 +251,11 @@ class Encoder:
             for x, i in zip(distinct[new].tolist(), where[new].tolist()):
                 if x not in unknown:
                     unknown[x] = pieces.data[pieces.start[i] : pieces.end[i]].tobytes()
-            held.append((distinct, which, pieces.first))
+            held.append((distinct, which, pieces))
         if unknown:
             self._learn(unknown)
-        out = []
-        for distinct, which, first in held:
-            taken = self.ids.take(pa.array(self.rows[self._find(distinct)[0]][which])) if len(distinct) else pa.array([], pa.large_binary())
-            out.append(joined(taken, first, pa.large_binary()))
-        pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+        for distinct, which, pieces in held:
+            yield pieces, self.ids.take(pa.array(self.rows[self._find(distinct)[0]][which])) if len(distinct) else pa.array([], pa.large_binary())
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """The text of each row of ids, special tokens included; null as no ids; bytes that

@@ -88,6 +88,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits: five code points of its first third
+    give way to a note with its id, one is put in at two thirds, and a sentence at the end."""
+    from .counts import build, edit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit(""))).cast("int")
+    change = lambda at, cut, put: F.struct(at.cast("int").alias("at"), F.lit(cut).alias("cut"), put.alias("put"))
+    note = F.concat(F.lit(" [note "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("]"))
+    edits = F.array(change(F.floor(n / 3), 5, note), change(F.floor(n * 2 / 3), 0, F.lit("é, x")), change(n + 100, 0, F.lit(" The end.")))
+    state = build(docs, tokenizer_path()).withColumns({"tokens_before": F.col("n_tokens"), "edits": edits})
+    done = edit(state, tokenizer_path(), "edits")
+    return done.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.length("text").cast("long").alias("n_chars_after"), F.size("piece_chars").cast("long").alias("n_pieces"), "reencoded_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring": op2_substring,
@@ -96,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_topk": op8_topk,
+    "op9_counts": op9_counts,
     "op10_bpe": op10_bpe,
 }
 
