@@ -110,4 +110,6 @@ def quality(docs: DataFrame, text_col: str = "text", least_words: int = 10, most
     step = step.withColumn(name["base_failed"], (col["n_words"] < least_words) | (col["n_repeat_words"] * 100 > col["n_words"] * most_repeated))
     step = step.withColumn(name["kept"], ~col["base_failed"] & (col["lost_chars"] * 100 <= col["word_chars"] * most_lost))
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "n_lines", "n_failed_lines", "lost_chars")
-    return step.select(*own, *[col[x] for x in shown])
+    # A generator of one row: a consumer's filter stays above it. Pushed below, it would take the
+    # arrays' expressions along into the lambdas and evaluate them once an element.
+    return step.select(*own, F.inline(F.array(F.struct(*[col[x] for x in shown]))))
