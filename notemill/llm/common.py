@@ -61,16 +61,19 @@ def release() -> None:
 atexit.register(release)
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes that the planner expects ``df`` to hold; it sizes partitions, never results."""
+def stored_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes that the planner expects ``df`` to hold, or, where it has no figure but its default for
+    unknown, half the bytes of its texts; it sizes partitions, never results."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 50)
+    if n >= 1 << 55:
+        n = (df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0) // 2
+    return n
 
 
-def buckets(df: DataFrame, each_mb: float = 8, least: int = 64) -> int:
+def buckets(df: DataFrame, text_col: str, each_mb: float = 8, least: int = 64) -> int:
     """One bucket for each ``each_mb`` MB of the stored table, so that the memory that a
     bucket takes stays the same however large the table is."""
-    return int(max(least, stored_bytes(df) // int(each_mb * 1_000_000)))
+    return int(max(least, stored_bytes(df, text_col) // int(each_mb * 1_000_000)))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -105,15 +105,15 @@ class _Packer:
         single = single[np.argsort(bucket[single], kind="stable")]
         first_order = np.argsort(bucket[first], kind="stable")
         first, marked = first[first_order], marked[first_order]
-        every = np.arange(self.n + 1)
-        a, b = np.searchsorted(bucket[single], every), np.searchsorted(bucket[first], every)
+        every = np.unique(np.concatenate([bucket[single], bucket[first]]))
+        a, b = (np.searchsorted(bucket[x], every) for x in (single, first))
+        c, d = (np.searchsorted(bucket[x], every, "right") for x in (single, first))
         keep = np.uint64(2 ** (8 * self.width) - 1)
         kind = f"<u{self.width}"
-        for k in range(self.n):
-            own, mark = single[a[k] : a[k + 1]], slice(b[k], b[k + 1])
-            if len(own) or b[k] < b[k + 1]:
-                marks = (hashes[first[mark]] & keep).astype(kind).tobytes() + marked[mark].tobytes()
-                rows.append((k, *self._places(ids, keys, row[own], place[own], flag[own]), (hashes[own] & keep).astype(kind).tobytes(), marks))
+        for i, k in enumerate(every.tolist()):
+            own, mark = single[a[i] : c[i]], slice(b[i], d[i])
+            marks = (hashes[first[mark]] & keep).astype(kind).tobytes() + marked[mark].tobytes()
+            rows.append((k, *self._places(ids, keys, row[own], place[own], flag[own]), (hashes[own] & keep).astype(kind).tobytes(), marks))
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=_NAMES)
 
@@ -228,7 +228,7 @@ def _repeat_hits(docs: DataFrame, n_buckets: int, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``_id``, ``_key`` and ``places``: the first words of all repeated windows of a text."""
-    n = buckets(docs)
+    n = buckets(docs, text_col)
     keyed = docs.select(id_key(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
     gather = lambda hits: hits.groupBy("_id", "_key").agg(F.collect_set("places").alias("places"))
     anchors = scratch(gather(_anchor_hits(keyed, n, window)), "anchors")
