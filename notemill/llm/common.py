@@ -171,12 +171,17 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.at)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, a function of its bytes alone."""
+    def sums(self) -> np.ndarray:
+        """Prefix sums from which the hash of any stretch of bytes follows."""
         sums = np.zeros(len(self.data) + 1, np.uint64)
         part = _BYTE_VALUE[self.data]
         part *= powers(_BASE, len(part))
         np.cumsum(part, out=sums[1:])
+        return sums
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, a function of its bytes alone."""
+        sums = self.sums()
         h = sums[self.end] - sums[self.start]
         h *= powers(_BASE_INV, len(self.data) + 1)[self.start]
         return mix(h)

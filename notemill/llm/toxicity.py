@@ -1,14 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
-1. *Counts.* Tokens (runs of ASCII letters and digits and of bytes beyond ASCII, A-Z as a-z) are
-   hashed into ``2**TOKEN_BITS`` buckets, a fixed size whatever the vocabulary. For each bucket:
+1. *Counts.* Tokens (runs of ASCII letters and digits and of bytes beyond ASCII, A-Z as a-z) and
+   their beginnings of a few bytes (words of one stem share them) are hashed into ``2**TOKEN_BITS`` buckets, a fixed size whatever the vocabulary. For each bucket:
    in how many documents it occurs, of all documents (the prior), of labelled toxic and of
    labelled clean ones, and a 64-bit map of the contexts (neighbouring tokens) in which toxic
    documents have it. A token that owes its toxic counts to copies of one text has few contexts;
    its count is held to their estimated number (linear counting).
 2. *Log-odds with a Dirichlet prior* (Monroe, Colaresi and Quinn, 2008): the prior's pseudo-counts
-   follow all documents. A token whose z-score reaches ``LEAST_Z`` scores its log-odds, every
-   other token scores ``-DRIFT``.
+   follow all documents. A feature whose z-score reaches ``LEAST_Z`` scores its log-odds; a token
+   scores as its best feature does, and ``-DRIFT`` where it has none.
 3. *Segments.* The all-maximal-segments scan of Ruzzo and Tompa finds every passage of maximal
    score in linear time.
 4. *Extreme values* (Karlin and Altschul, 1990): lambda solves sum p(w) exp(lambda s(w)) = 1 over
@@ -37,9 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, scratch, slices, text_bytes
+from .common import _BASE_INV, Words, mix, powers, scratch, slices, text_bytes
 
 TOKEN_BITS = 20
+#: Words of one stem share their beginnings.
+PREFIXES = (4, 5, 6, 7)
 PRIOR = 500.0
 LEAST_Z = 4.0
 DRIFT = 0.02
@@ -59,6 +61,24 @@ class Tokens(Words):
         offsets = pa.py_buffer(np.ascontiguousarray(at, np.int64))
         super().__init__(pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, offsets, pa.py_buffer(_FOLD[data])]))
 
+    def features(self) -> list[np.ndarray]:
+        """Buckets of each token, and of its beginnings of PREFIXES bytes (-1: it is shorter)."""
+        sums, size = self.sums(), np.uint64((1 << TOKEN_BITS) - 1)
+        back = powers(_BASE_INV, len(self.data) + 1)[self.start]
+        out = [(mix((sums[self.end] - sums[self.start]) * back) & size).astype(np.int64)]
+        for n in PREFIXES:  # a feature of its own, also where it is all of the token
+            long = self.end - self.start >= n
+            h = mix((sums[np.minimum(self.start + n, len(self.data))] - sums[self.start]) * back, n)
+            out.append(np.where(long, (h & size).astype(np.int64), -1))
+        return out
+
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        """Each token's score: the largest of its features'."""
+        out = np.full(len(self.start), -DRIFT, np.float32)
+        for bucket in self.features():
+            np.maximum(out, np.where(bucket >= 0, table[bucket], -DRIFT), out=out)
+        return out
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id as text, modulo 3, is 1."""
@@ -75,19 +95,19 @@ def _counts(docs: DataFrame) -> DataFrame:
             for block in slices(batch, 1 << 20, 0):
                 words = Tokens(block.column(0))
                 h = words.hashes()
-                bucket = (h & np.uint64(size - 1)).astype(np.int64)
                 row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
                 label = np.asarray(block.column(1).fill_null(-1))[row]
-                once = np.unique((row << TOKEN_BITS) | bucket)
-                kind, own = np.asarray(block.column(1).fill_null(-1))[once >> TOKEN_BITS], once & (size - 1)
-                every += np.bincount(own, minlength=size)
-                toxic += np.bincount(own[kind == 1], minlength=size)
-                clean += np.bincount(own[kind == 0], minlength=size)
                 side = np.zeros(len(h), np.uint64)
                 side[1:] ^= mix(h[:-1], 1)
                 side[:-1] ^= mix(h[1:], 2)
-                at = np.flatnonzero(label == 1)
-                np.bitwise_or.at(contexts, bucket[at], np.uint64(1) << (side[at] & np.uint64(63)))
+                for bucket in words.features():
+                    once = np.unique(((row << TOKEN_BITS) | bucket)[bucket >= 0])
+                    kind, own = np.asarray(block.column(1).fill_null(-1))[once >> TOKEN_BITS], once & (size - 1)
+                    every += np.bincount(own, minlength=size)
+                    toxic += np.bincount(own[kind == 1], minlength=size)
+                    clean += np.bincount(own[kind == 0], minlength=size)
+                    at = np.flatnonzero((label == 1) & (bucket >= 0))
+                    np.bitwise_or.at(contexts, bucket[at], np.uint64(1) << (side[at] & np.uint64(63)))
         some = np.flatnonzero(every)
         for at in range(0, len(some), 50_000):
             own = some[at : at + 50_000]
@@ -161,7 +181,7 @@ def _segments(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Data
         for batch in batches:
             for block in slices(batch, 1 << 20, 3):
                 words = Tokens(block.column(3))
-                own = scores[(words.hashes() & np.uint64(len(scores) - 1)).astype(np.int64)]
+                own = words.scores(scores)
                 found = [[{"first": a, "end": b, "score": s} for a, b, s in maximal_segments(own[i:j])] for i, j in zip(words.first, words.first[1:])]
                 yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array(np.diff(words.first).astype(np.int64)), pa.array(found, span)], names=names)
 
