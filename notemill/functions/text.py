@@ -182,7 +182,7 @@ def ngrams(text: Column, sizes: list[int]) -> Column:
     """Windows of words, the longest first, left to right: array of (n, at, span)."""
 
     def of(words: Column, n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.lit(n).alias("n"), i.cast("int").alias("at"), F.array_join(F.slice(words, i + 1, n), " ").alias("span")))
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.lit(n).alias("n"), i.cast("int").alias("at"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("span")))
         return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<n:int,at:int,span:string>>"))
 
     return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda words: F.concat(*[of(words, n) for n in sizes]))
