@@ -48,6 +48,10 @@ BOILERPLATE = (
     "lorem ipsum",
 )
 MENU = ("home", "menu", "about", "contact", "login", "log in", "sign in", "search", "next", "previous", "back to top", "skip to content")
+BOILERPLATE_PATTERN = "|".join(BOILERPLATE)
+MENU_PATTERN = r"^\W*(?:" + "|".join(MENU) + r")(?:\W+(?:" + "|".join(MENU) + r"))*\W*$"
+#: A terminal mark at the end of the line, or the end of a sentence within it.
+SENTENCE_PATTERN = r"""[.!?…:;。！？]["'”’»)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”’»)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""
 
 
 def line_rule(line: Column) -> Column:
@@ -57,14 +61,13 @@ def line_rule(line: Column) -> Column:
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
     low = F.lower(line)
-    boilerplate = low.rlike("|".join(BOILERPLATE))
-    menu = low.rlike(r"^\W*(?:" + "|".join(MENU) + r")(?:\W+(?:" + "|".join(MENU) + r"))*\W*$")
+    boilerplate, menu = low.rlike(BOILERPLATE_PATTERN), low.rlike(MENU_PATTERN)
     return (
         F.when(~line.rlike(r"[^\x20\x09-\x0D]"), F.lit(None).cast("string"))
         .when((bars >= 3) & (bars * 6 >= n_words) | menu, F.lit("navigation"))
         .when((symbols * 2 > n_words) & (symbols >= 3) | (shouts * 5 > n_words) & (shouts >= 3), F.lit("symbols"))
         .when((n_words <= 30) & boilerplate, F.lit("boilerplate"))
-        .when(~line.rlike(r"""[.!?…:;。！？]["'”’»)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”’»)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""), F.lit("punctuation"))
+        .when(~line.rlike(SENTENCE_PATTERN), F.lit("punctuation"))
     )
 
 

@@ -122,5 +122,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
+def _op1_sql() -> str:
+    """The base columns and the line rules; the same patterns, counted with SQL alone."""
+    from . import quality as Q
+
+    text = lambda p: "'" + p.replace("'", "''") + "'"
+    drop = lambda c, p: f"regexp_replace({c}, {text(p)}, '', 'g')"
+    gone = lambda c, p: f"(length({c}) - length({drop(c, p)}))"
+    space, symbols = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
+    n, bars, signs = "(length(line) - length(replace(line, ' ', '')) + 1)", gone("line", "[|»›•]"), gone("line", symbols)
+    shouts = "((length(line) - length(replace(line, '!!', ''))) / 2)"
+    failed = f"""regexp_matches(line, {text("[^" + space[1:])}) AND ({bars} >= 3 AND {bars} * 6 >= {n} OR regexp_matches(lower(line), {text(Q.MENU_PATTERN)})
+        OR {signs} * 2 > {n} AND {signs} >= 3 OR {shouts} * 5 > {n} AND {shouts} >= 3
+        OR {n} <= 30 AND regexp_matches(lower(line), {text(Q.BOILERPLATE_PATTERN)}) OR NOT regexp_matches(line, {text(Q.SENTENCE_PATTERN)}))"""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+      w AS (SELECT r, list_filter(string_split_regex(t, {text(space + "+")}), lambda x: x <> '') AS w FROM d),
+      g AS (SELECT r, unnest(generate_series(1, len(w) - 4)) AS i, w FROM w WHERE len(w) >= 5),
+      c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n FROM g) WHERE n > 1),
+      cover AS (SELECT r, sum(least(5, coalesce(next - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM c) GROUP BY r),
+      l AS (SELECT r, line, length({drop("line", space)}) AS chars FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+      s AS (SELECT r, count(*) FILTER (chars > 0) - count(DISTINCT line) FILTER (chars > 0) AS dup, coalesce(sum(chars) FILTER ({failed}), 0) AS lost FROM l GROUP BY r),
+      b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length({drop("t", space)}) AS BIGINT) AS word_chars, CAST({gone("t", symbols)} AS BIGINT) AS n_symbols,
+        CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, lost FROM d JOIN w USING (r) JOIN s USING (r) LEFT JOIN cover USING (r)),
+      f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+    SELECT * EXCLUDE (lost), NOT base_failed AND lost * 100 <= word_chars * 30 AS kept FROM f"""
+
+
+_OP8_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op8_topk": _OP8_SQL}
