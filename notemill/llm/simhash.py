@@ -211,7 +211,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     distinct = scratch(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(scratch(fuzzy_links(distinct), "links"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a table of its own: joined as read, a root with many fingerprints can be split
+    least = scratch(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     member = scratch(rooted.join(least, "root").select("fp", "component_id", "root"), "members")
     return prints.join(member, "fp").select(id_col, "text_key", "fp", "component_id", "root")
 
