@@ -19,7 +19,6 @@ equal results; an empty table gives an empty table.
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,17 @@ STATE = ("piece_chars", "piece_tokens", "n_tokens")
 
 
 class Tree:
-    """Sums of code points and tokens over segments of pieces."""
+    """Sums of code points and tokens over segments of pieces; a segment that no edit touches stays a
+    view of the arrays it came from."""
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        self.parts = [[chars[i : i + SEGMENT], tokens[i : i + SEGMENT]] for i in range(0, len(chars), SEGMENT)] or [[[], []]]
+    def __init__(self, chars: np.ndarray, tokens: np.ndarray):
+        cuts = range(0, len(chars), SEGMENT)
+        self.parts = [[chars[i : i + SEGMENT], tokens[i : i + SEGMENT]] for i in cuts] or [[chars, tokens]]
         self.size = 1 << (len(self.parts) - 1).bit_length()
         self.sums = [[0] * (2 * self.size), [0] * (2 * self.size)]
-        for s, own in enumerate(self.sums):
-            own[self.size : self.size + len(self.parts)] = [sum(p[s]) for p in self.parts]
+        for values, own in zip((chars, tokens), self.sums):
+            if len(values):
+                own[self.size : self.size + len(self.parts)] = np.add.reduceat(values, cuts, dtype=np.int64).tolist()
             for i in range(self.size - 1, 0, -1):
                 own[i] = own[2 * i] + own[2 * i + 1]
 
@@ -57,7 +59,7 @@ class Tree:
                 before += chars[node]
                 node += 1
         segment = min(node - self.size, len(self.parts) - 1)
-        ends = list(accumulate(self.parts[segment][0]))
+        ends = np.cumsum(self.parts[segment][0]).tolist()
         piece = min(bisect_right(ends, at - before), max(len(ends) - 1, 0))
         return segment, piece, before + (ends[piece - 1] if piece else 0)
 
@@ -66,7 +68,7 @@ class Tree:
         (segment, piece), and the code points that they span."""
         a, i, start = self._step(*self.find(at - 1), -1)
         b, j, last = self._step(*self.find(at + cut), 1)
-        return (a, i), (b, j), start, last + (self.parts[b][0][j] if self.parts[b][0] else 0)
+        return (a, i), (b, j), start, last + (int(self.parts[b][0][j]) if len(self.parts[b][0]) else 0)
 
     def _step(self, segment: int, piece: int, start: int, by: int) -> tuple[int, int, int]:
         """The next piece that way, or the same at the end of the text."""
@@ -76,18 +78,18 @@ class Tree:
             p = 0 if by > 0 else len(self.parts[s][0]) - 1 if s >= 0 else -1
         if not 0 <= s < len(self.parts):
             return segment, piece, start
-        return s, p, start + self.parts[segment][0][piece] if by > 0 else start - self.parts[s][0][p]
+        return s, p, start + int(self.parts[segment][0][piece]) if by > 0 else start - int(self.parts[s][0][p])
 
-    def splice(self, first: tuple[int, int], last: tuple[int, int], chars: list[int], tokens: list[int]) -> None:
+    def splice(self, first: tuple[int, int], last: tuple[int, int], chars: np.ndarray, tokens: np.ndarray) -> None:
         (a, i), (b, j) = first, last
         for k, new in enumerate((chars, tokens)):
             tail = self.parts[b][k][j + 1 :]
             if a == b:
-                self.parts[a][k] = self.parts[a][k][:i] + new + tail
+                self.parts[a][k] = np.concatenate([self.parts[a][k][:i], new, tail])
             else:
-                self.parts[a][k] = self.parts[a][k][:i] + new
+                self.parts[a][k] = np.concatenate([self.parts[a][k][:i], new])
                 for s in range(a + 1, b):
-                    self.parts[s][k] = []
+                    self.parts[s][k] = new[:0]
                 self.parts[b][k] = tail
         if len(self.parts[a][0]) > 4 * SEGMENT:  # too much in one leaf: deal the pieces anew
             self.__init__(*self.pieces())
@@ -95,19 +97,31 @@ class Tree:
         for s in range(a, b + 1):
             for own, part in zip(self.sums, self.parts[s]):
                 node = self.size + s
-                own[node] = sum(part)
+                own[node] = int(part.sum())
                 while node > 1:
                     node //= 2
                     own[node] = own[2 * node] + own[2 * node + 1]
 
-    def pieces(self) -> tuple[list[int], list[int]]:
-        return [x for p in self.parts for x in p[0]], [x for p in self.parts for x in p[1]]
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
 
     @property
     def n_tokens(self) -> int:
         return self.sums[1][1]
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays, without copying; null as empty."""
+    at, values = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+
+
 _INTS = T.ArrayType(T.IntegerType())
 
 
@@ -124,7 +138,7 @@ def build(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataF
         for batch in batches:
             for block in slices(batch, 4 << 20, column):
                 sizes = coder.piece_sizes(block.column(column))
-                lists = [pa.array([x[k].astype(np.int32) for x in sizes], pa.list_(pa.int32())) for k in (0, 1)]
+                lists = [_lists([x[k] for x in sizes]) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*block.columns, *lists, pa.array([int(x[1].sum()) for x in sizes], pa.int64())], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -143,7 +157,7 @@ def edit(state: DataFrame, tokenizer_path: str, edits_col: str, text_col: str =
         for batch in batches:
             for block in slices(batch, 2 << 20, column):
                 texts = pc.fill_null(block.column(column), "").to_pylist()
-                trees = [Tree(c or [], t or []) for c, t in zip(block.column(place[STATE[0]]).to_pylist(), block.column(place[STATE[1]]).to_pylist())]
+                trees = [Tree(c, t) for c, t in zip(_views(block.column(place[STATE[0]])), _views(block.column(place[STATE[1]])))]
                 todo = [[x for x in e or [] if x] for e in block.column(place[edits_col]).to_pylist()]
                 cost = [0] * len(texts)
                 for turn in range(max(map(len, todo), default=0)):  # one edit of each text at a time, encoded together
@@ -160,10 +174,10 @@ def edit(state: DataFrame, tokenizer_path: str, edits_col: str, text_col: str =
                             spots.append((first, last))
                             cost[i] += len(regions[-1])
                     for i, (first, last), (chars, tokens) in zip(rows, spots, coder.piece_sizes(pa.array(regions, pa.string()))):
-                        trees[i].splice(first, last, chars.tolist(), tokens.tolist())
+                        trees[i].splice(first, last, chars.astype(np.int32), tokens.astype(np.int32))
                 pieces = [t.pieces() for t in trees]
                 new = {text_col: pa.array(texts, pa.string()), STATE[2]: pa.array([t.n_tokens for t in trees], pa.int64())}
-                new |= {STATE[k]: pa.array([p[k] for p in pieces], pa.list_(pa.int32())) for k in (0, 1)}
+                new |= {STATE[k]: _lists([p[k] for p in pieces]) for k in (0, 1)}
                 yield pa.RecordBatch.from_arrays([*[new.get(c, block.column(place[c])) for c in kept], pa.array(cost, pa.int64())], names=names)
 
     return state.mapInArrow(run, schema)
