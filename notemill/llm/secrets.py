@@ -3,8 +3,9 @@
 Every whole text is scanned for three kinds of secrets. Then a worklist of layers runs to its
 fixpoint: URL and Unicode escapes of a layer are resolved in place, base64 segments are
 decoded, compressed data in them is unpacked, and each layer that this gives is scanned and
-unwrapped again. A layer whose text was seen before in the document is not opened again, so
-that encodings which lead to themselves end. Spans found in a layer are mapped back to the
+unwrapped again. Within a segment of the document a layer whose text was seen before is not
+opened again, so that encodings which lead to themselves end; a segment that comes at several
+places is opened once and reported at each. Spans found in a layer are mapped back to the
 document: through escapes character by character, to the whole segment through base64 and
 compression.
 
@@ -98,7 +99,9 @@ def _decoded(segment: str, limit: int) -> str | None:
     if len(body) % 4 == 1:
         return None
     data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
-    while (more := _unpack(data, limit)) is not None:
+    opened = set()  # compressed data can unpack to itself
+    while data not in opened and (more := _unpack(data, limit)) is not None:
+        opened.add(data)
         data = more
     try:
         text = data.decode()
@@ -120,62 +123,87 @@ def _unescape(m: re.Match) -> str | None:
     return "".join(map(chr, units)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _children(text: str, places, limit: int):
-    """Layers one step below: (text, places). ``places`` maps a place to the document: None for
-    the document itself, (start, end) for all of a segment, or two lists."""
-    first = _ESCAPES.search(text)
-    if first:
-        out, starts, ends, at = [], [], [], 0
-        for m in _ESCAPES.finditer(text):
-            new = _unescape(m)
-            if new is None:
-                continue
-            out += [text[at : m.start()], new]
-            starts += [*range(at, m.start()), *[m.start()] * len(new)]
-            ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
-            at = m.end()
-        if at:
-            starts += range(at, len(text))
-            ends += range(at + 1, len(text) + 1)
-            text_below = "".join([*out, text[at:]])
-            if isinstance(places, list):
-                yield text_below, [[places[0][i] for i in starts], [places[1][i - 1] for i in ends]]
-            else:
-                yield text_below, places or [starts, ends]
+def _unescaped(text: str, places=None):
+    """The text with its escapes resolved, and the places in the document where each character
+    starts and ends; None without escapes. The text gets shorter each time."""
+    if not _ESCAPES.search(text):
+        return None
+    out, starts, ends, at = [], [], [], 0
+    for m in _ESCAPES.finditer(text):
+        new = _unescape(m)
+        if new is None:
+            continue
+        out += [text[at : m.start()], new]
+        starts += [*range(at, m.start()), *[m.start()] * len(new)]
+        ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
+        at = m.end()
+    if not at:
+        return None
+    starts += range(at, len(text))
+    ends += range(at + 1, len(text) + 1)
+    if places:
+        starts, ends = [places[0][i] for i in starts], [places[1][i - 1] for i in ends]
+    return "".join([*out, text[at:]]), (starts, ends)
+
+
+def _segments(text: str):
+    """(start, end) of what could be base64."""
     for pattern in (_BASE64, _URLSAFE) if "_" in text or "-" in text else (_BASE64,):
         for m in pattern.finditer(text):
-            try:
-                below = _decoded(m.group(), limit)
-            except Refused:
-                below = Refused
-            if below is not None:
-                yield below, _back(places, m.start(), m.end())
-
+            yield m.span()
 
-def _back(places, start: int, end: int) -> tuple[int, int]:
-    if places is None:
-        return start, end
-    return places if isinstance(places, tuple) else (places[0][start], places[1][end - 1])
 
+def _inside(segment: str, limit: int) -> tuple[frozenset[int], int]:
+    """Kinds of the secrets in all layers of a segment, and the number of refused layers. All of them
+    map to the whole segment, so a layer that comes again in it has nothing new."""
+    kinds, seen, refused, work = set(), set(), 0, deque()
 
-def scan(text: str, limit: int = UNPACK_LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans, and the number of refused layers of one text."""
-    base = base_spans(text)
-    found, seen, refused = set(base), {text}, 0
-    work = deque(_children(text, None, limit))
+    def put(part: str) -> int:
+        try:
+            below = _decoded(part, limit)
+        except Refused:
+            return 1
+        if below is not None:
+            work.append(below)
+        return 0
+
+    refused += put(segment)
     while work:
-        layer, places = work.popleft()
-        if layer is Refused:
-            refused += 1
-            continue
+        layer = work.popleft()
         if layer in seen:
             continue
         seen.add(layer)
-        for start, kind, end in base_spans(layer):
-            a, b = _back(places, start, end)
-            found.add((a, kind, b))
-        work.extend(_children(layer, places, limit))
-    return base, sorted(found), refused
+        kinds.update(kind for _, kind, _ in base_spans(layer))
+        if below := _unescaped(layer):
+            work.append(below[0])
+        refused += sum(put(layer[a:b]) for a, b in _segments(layer))
+    return frozenset(kinds), refused
+
+
+def scan(text: str, limit: int = UNPACK_LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """Base spans, all spans, and the number of refused layers of one text."""
+    base = base_spans(text)
+    found, known, refused = set(base), {}, {}
+    layer, places = text, None
+    while True:
+        back = lambda a, b, p=places: (p[0][a], p[1][b - 1]) if p else (a, b)
+        if places:
+            for start, kind, end in base_spans(layer):
+                a, b = back(start, end)
+                found.add((a, kind, b))
+        for start, end in _segments(layer):
+            segment = layer[start:end]
+            if segment not in known:
+                known[segment] = _inside(segment, limit)
+            kinds, n = known[segment]
+            a, b = back(start, end)
+            found.update((a, kind, b) for kind in kinds)
+            if n:
+                refused[a, b, segment] = n
+        below = _unescaped(layer, places)
+        if below is None:
+            return base, sorted(found), sum(refused.values())
+        layer, places = below
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

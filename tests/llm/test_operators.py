@@ -274,6 +274,14 @@ def test_nested_secrets(spark, body):
     assert "[SECRET]" in row[0].text and row[0].text.startswith("é see ") and row[0].text.endswith(" end.") and row[1].text is None
 
 
+@pytest.mark.parametrize("body", nested())
+def test_a_secret_at_two_places_is_found_at_both(body):
+    text = "first " + body + " then " + body + " end."
+    _, found, _ = secrets.scan(text)
+    first, second = [(a, k, b) for a, k, b in found if b <= 6 + len(body)], [(a, k, b) for a, k, b in found if a >= 12 + len(body)]
+    assert first and second == [(a + 6 + len(body), k, b + 6 + len(body)) for a, k, b in first]
+
+
 def test_secrets_end_and_refuse():
     assert secrets.scan("%2541" * 50 + "%25")[2] == 0
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
