@@ -7,8 +7,9 @@
    documents have it. A token that owes its toxic counts to copies of one text has few contexts;
    its count is held to their estimated number (linear counting).
 2. *Log-odds with a Dirichlet prior* (Monroe, Colaresi and Quinn, 2008): the prior's pseudo-counts
-   follow all documents. A feature whose z-score reaches ``LEAST_Z`` scores its log-odds; a token
-   scores as its best feature does, and ``-DRIFT`` where it has none.
+   follow all documents. A feature scores its log-odds if the signed root of its likelihood ratio,
+   which holds for counts of zero too, reaches ``LEAST_Z``; a token scores as its best feature
+   does, and ``-DRIFT`` where it has none.
 3. *Segments.* The all-maximal-segments scan of Ruzzo and Tompa finds every passage of maximal
    score in linear time.
 4. *Extreme values* (Karlin and Altschul, 1990): lambda solves sum p(w) exp(lambda s(w)) = 1 over
@@ -42,6 +43,7 @@ TOKEN_BITS = 20
 #: Words of one stem share their beginnings.
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 500.0
+CONTINUITY = 0.5
 LEAST_Z = 4.0
 DRIFT = 0.02
 MOST_EXPECTED = 0.05
@@ -116,6 +118,20 @@ def _counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("every", "toxic", "clean")], F.bit_or("contexts").alias("contexts"))
 
 
+def significance(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Signed root of the likelihood ratio (Dunning, 1993) of two binomials; it holds for counts of zero too."""
+    both, n = toxic + clean, n1 + n0
+    part = lambda x, of: x * np.log(np.maximum(x, 1e-300) / np.maximum(of, 1e-300))
+    g = part(toxic, both * n1 / n) + part(clean, both * n0 / n) + part(n1 - toxic, (n - both) * n1 / n) + part(n0 - clean, (n - both) * n0 / n)
+    return np.sqrt(2 * np.maximum(g, 0)) * np.sign(toxic * n0 - clean * n1)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-odds with the prior and ``CONTINUITY`` as pseudo-counts, finite however rare a feature is."""
+    a, b = toxic + prior + CONTINUITY, clean + prior + CONTINUITY
+    return np.log(a / (n1 + PRIOR + 2 * CONTINUITY - a)) - np.log(b / (n0 + PRIOR + 2 * CONTINUITY - b))
+
+
 class Model:
     """Token scores and the parameters of the extreme-value law."""
 
@@ -132,8 +148,8 @@ class Model:
         if not self.trained:
             return
         a, b = toxic + prior, clean + prior
-        odds = np.log(a / (n1 + PRIOR - a)) - np.log(b / (n0 + PRIOR - b))
-        good = odds / np.sqrt(1 / a + 1 / b) >= LEAST_Z
+        odds = log_odds(toxic, clean, prior, n1, n0)
+        good = (significance(toxic, clean, n1, n0) >= LEAST_Z) & (odds > 0)
         self.scores[bucket[good]] = odds[good]
         share = b / b.sum()
         s = self.scores[bucket].astype(float)

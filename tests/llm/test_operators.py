@@ -493,6 +493,21 @@ def test_toxicity(spark):
     assert none == 0 and toxicity.toxicity(df.limit(0), lab).count() == 0
 
 
+def test_toxic_words_that_no_clean_text_has(spark):
+    r = random.Random(15)
+    bad = ["%sq%s" % (x, y) for x in "ab" for y in "xyz"]
+    rows = []
+    for i in range(900):
+        w = ["%06d" % r.randrange(10**6) for _ in range(60)]
+        if i % 5 == 0:
+            w[r.randrange(60)] = r.choice(bad)
+        rows.append((i, " ".join(w), "en"))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = [x for x in toxicity.toxicity(spark.createDataFrame(rows, DOCS).repartition(3), labels).collect() if x.held_out]
+    assert sum(x.predicted for x in got if x.doc_id % 5 == 0) > 0.9 * sum(x.doc_id % 5 == 0 for x in got)
+    assert sum(x.predicted for x in got if x.doc_id % 5) < 0.02 * len(got)
+
+
 def test_hash_columns_of_queries(spark):
     from notemill.llm.queries import QUERIES, op10_bpe
 
