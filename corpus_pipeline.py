@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 reread as the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 1. ``quality``: lines that fail the line rules go from a text, documents that the rules reject go.
-2. ``near_dedup``: one document of each group of near duplicates stays, that of the smallest id.
+2. ``near_dedup``: of documents that are linked by a similarity of 0.8 or more of their shingles of five
+   words, the one of the smallest id stays.
 3. ``substring_dedup``: words of passages of 35 words or more that repeat anywhere go; a text with
    none keeps its form, others become their kept words joined by single spaces. Documents that
    have no word left go.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import common, packing, quality, secrets, simhash, substring
+from notemill.llm import common, near, packing, quality, secrets, substring
 from notemill.llm.queries import table, tokenizer_path
 
 
@@ -37,7 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release()
-    return simhash.near_dedup(docs)
+    return near.near_dedup(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

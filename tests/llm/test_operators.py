@@ -203,6 +203,47 @@ def test_simhash(spark):
     assert simhash.classes(df.limit(0)).count() == 0 and simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def similar_components(rows, least=0.8):
+    """The smallest id of each component of texts whose five-word shingles are that similar."""
+    own = []
+    for d, t, _ in rows:
+        w = words((t or "").lower())
+        own.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= least * len(own[i] | own[j]) - 1e-9:
+                parent[find(i)] = find(j)
+    least_id = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            least_id[find(i)] = min(d, least_id.get(find(i), d))
+    return sorted(least_id.values())
+
+
+@pytest.mark.parametrize("small", [24, 3])
+def test_pipeline_removes_texts_of_similarity_0_8(spark, small, monkeypatch):
+    import corpus_pipeline
+    from notemill.llm import near
+
+    monkeypatch.setattr(near, "SMALL", small)
+    r = random.Random(21)
+    rows = near_corpus()
+    for i in range(300, 340):  # up to seven edits in 400 words: similarities from 0.84, where fingerprints differ in more bits than 4
+        w = ["v%d" % x for x in random.Random(i % 4).sample(range(5000), 400)]
+        for at in r.sample(range(400), r.randint(0, 7)):
+            w[at] = "edit%d" % r.randrange(10**6)
+        rows.append((i, " ".join(w), "en"))
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS).repartition(4), "")
+    assert sorted(x.doc_id for x in kept.collect()) == similar_components(rows)
+
+
 def test_large_groups_give_a_spanning_forest():
     r = np.random.default_rng(3)
     prints = np.unique(np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64)))
