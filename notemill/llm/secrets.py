@@ -2,7 +2,7 @@
 
 Every whole text is scanned for three kinds of secrets. Then a worklist of layers runs to its
 fixpoint: URL and Unicode escapes of a layer are resolved in place, base64 segments are
-decoded, compressed data in them is unpacked, and each layer that this gives is scanned and
+decoded (bad bytes are replaced), compressed data in them is unpacked, and each layer that this gives is scanned and
 unwrapped again. Within a segment of the document a layer whose text was seen before is not
 opened again, so that encodings which lead to themselves end; a segment that comes at several
 places is opened once and reported at each. Spans found in a layer are mapped back to the
@@ -24,6 +24,7 @@ import bz2
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 
 import pyarrow as pa
@@ -42,8 +43,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal: a shorter run ha
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _URLSAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
+#: How gzip, zlib, bzip2, xz and zstd data begin.
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 UNPACK_LIMIT = 64 << 20
 
@@ -93,21 +97,31 @@ def _unpack(data: bytes, limit: int) -> bytes | None:
         return None
 
 
-def _decoded(segment: str, limit: int) -> str | None:
-    """The text in a base64 segment, through any layers of compression; None if there is none."""
+def _bytes(segment: str) -> bytes:
+    """The bytes in a base64 segment; a lone last character, which holds none, goes."""
     body = re.sub(r"[\r\n=]", "", segment)
-    if len(body) % 4 == 1:
-        return None
-    data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
+
+
+def _decoded(segment: str, limit: int) -> str:
+    """The text in a base64 segment, through any layers of compression; bad bytes are replaced."""
+    data = _bytes(segment)
     opened = set()  # compressed data can unpack to itself
     while data not in opened and (more := _unpack(data, limit)) is not None:
         opened.add(data)
         data = more
+    return data.decode(errors="replace")
+
+
+def _clean(segment: str, limit: int) -> bool:
+    """Whether a segment decodes to text without a bad byte, so that it is whole as it stands."""
+    if sum(c not in "\r\n=" for c in segment) % 4 == 1:
+        return False
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
+        return not _CONTROL.search(_decoded(segment, limit))
+    except Refused:
+        return True
 
 
 def _unescape(m: re.Match) -> str | None:
@@ -146,9 +160,61 @@ def _unescaped(text: str, places=None):
     return "".join([*out, text[at:]]), (starts, ends)
 
 
-def _segments(text: str):
-    """(start, end) of what could be base64."""
-    for pattern in (_BASE64, _URLSAFE) if "_" in text or "-" in text else (_BASE64,):
+def _segments(text: str, limit: int):
+    """(start, end) of what could be base64. Where lines could be one wrapped segment, also their parts:
+    where the whole has bad bytes the last line may be a word of the text that follows, or several
+    segments may follow each other."""
+    for m in _WRAPPED.finditer(text):
+        yield from _parts(text, *m.span(), limit)
+    for m in _LINE.finditer(text):
+        yield m.span()
+    if "_" in text or "-" in text:
+        for m in _URLSAFE.finditer(text):
+            yield m.span()
+
+
+def _parts(text: str, start: int, end: int, limit: int):
+    """Ranges of the lines of a block that could hold a segment: the whole, the whole without its last
+    line, runs of lines of one length, and, as the others may be cut in the middle, for each
+    of the four phases the lines that a secret covers and what is compressed from a line on."""
+    lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\r\n]+", text[start:end])]
+    whole, before = _clean(text[start:end], limit), (start, lines[-2][1])
+    if not whole and _clean(text[slice(*before)], limit):
+        yield before
+        if text[end : end + 1] in (" ", "\t") and text[end - 1] != "=":  # a word of a sentence
+            lines.pop()
+    else:
+        yield start, end
+    first = 0
+    for i in range(1, len(lines) + 1):
+        size = lambda k: lines[k][1] - lines[k][0]
+        if i == len(lines) or size(i) != size(first):
+            if i - first > 1:
+                yield lines[first][0], lines[i - 1][1]
+            if i < len(lines) and size(i) < size(first):
+                yield lines[first][0], lines[i][1]
+            first = i
+    at, sums = 0, []  # characters before each line
+    for a, b in lines:
+        sums.append(at)
+        at += b - a
+    stream = "".join(text[a:b] for a, b in lines)
+    for phase in sorted({x % 4 for x in sums}):
+        data = _bytes(stream[phase:])
+        for a, b in _exact(data):
+            i, j = bisect_right(sums, phase + a * 4 // 3) - 1, bisect_right(sums, phase + (b - 1) * 4 // 3 + 1) - 1
+            yield lines[i][0], lines[min(j, len(lines) - 1)][1]
+        for i, x in enumerate(sums):
+            if x % 4 == phase and i and _MAGIC.match(data, (x - phase) // 4 * 3):
+                yield lines[i][0], lines[-1][1]
+
+
+def _exact(data: bytes):
+    """Secrets and nested segments in decoded bytes: (start, end)."""
+    text = data.decode("latin-1")
+    for a, _, b in base_spans(text):
+        yield a, b
+    for pattern in (_LINE, _ESCAPES):
         for m in pattern.finditer(text):
             yield m.span()
 
@@ -163,8 +229,7 @@ def _inside(segment: str, limit: int) -> tuple[frozenset[int], int]:
             below = _decoded(part, limit)
         except Refused:
             return 1
-        if below is not None:
-            work.append(below)
+        work.append(below)
         return 0
 
     refused += put(segment)
@@ -176,10 +241,20 @@ def _inside(segment: str, limit: int) -> tuple[frozenset[int], int]:
         kinds.update(kind for _, kind, _ in base_spans(layer))
         if below := _unescaped(layer):
             work.append(below[0])
-        refused += sum(put(layer[a:b]) for a, b in _segments(layer))
+        refused += sum(put(layer[a:b]) for a, b in set(_segments(layer, limit)))
     return frozenset(kinds), refused
 
 
+def _outer(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that no other span of their kind contains."""
+    out, reach = [], {}
+    for start, kind, end in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if end > reach.get(kind, -1):
+            reach[kind] = end
+            out.append((start, kind, end))
+    return out
+
+
 def scan(text: str, limit: int = UNPACK_LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans, and the number of refused layers of one text."""
     base = base_spans(text)
@@ -191,15 +266,18 @@ def scan(text: str, limit: int = UNPACK_LIMIT) -> tuple[list[tuple[int, int, int
             for start, kind, end in base_spans(layer):
                 a, b = back(start, end)
                 found.add((a, kind, b))
-        for start, end in _segments(layer):
+        own = set()
+        for start, end in dict.fromkeys(_segments(layer, limit)):
             segment = layer[start:end]
             if segment not in known:
                 known[segment] = _inside(segment, limit)
             kinds, n = known[segment]
             a, b = back(start, end)
-            found.update((a, kind, b) for kind in kinds)
+            # a part of a segment, or a run within it, adds nothing to what is reported of the whole
+            own.update((a, kind, b) for kind in kinds)
             if n:
                 refused[a, b, segment] = n
+        found.update(_outer(own))
         below = _unescaped(layer, places)
         if below is None:
             return base, sorted(found), sum(refused.values())

@@ -323,6 +323,22 @@ def test_a_secret_at_two_places_is_found_at_both(body):
     assert first and second == [(a + 6 + len(body), k, b + 6 + len(body)) for a, k, b in first]
 
 
+def test_secrets_on_lines_of_their_own():
+    r = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (21, 25, 27, 30):
+        for _ in range(40):
+            body = base64.b64encode(("password=" + "".join(r.choice(letters) for _ in range(n))).encode()).decode().rstrip("=")
+            for text in (body + "\nThe next line.", "Words " + body + "\r\nnext, then", body + "\n" + body + "\nThe end"):
+                spans = [(a, b) for a, k, b in secrets.scan(text)[1] if k == 0]
+                at = [m.start() for m in re.finditer(re.escape(body), text)]
+                assert all(any(a <= x and x + len(body) <= b for a, b in spans) for x in at), text
+    mixed = base64.b64encode(b"zip: " + gzip.compress(b"x") + b"\x00\xff " + SECRET.encode() + b"\x01").decode()
+    assert secrets.scan("see " + mixed + " end")[1] and secrets.scan("see " + mixed[:41].rstrip("=") + "\n" + mixed[41:])[1]
+    wrapped = base64.encodebytes(b"a line of text, and another. " * 3 + SECRET.encode() + b" more of it" * 9).decode().strip()
+    assert secrets.scan("at " + wrapped + "\n end")[1] == [(3, 0, 3 + len(wrapped)), (3, 2, 3 + len(wrapped))]
+
+
 def test_secrets_end_and_refuse():
     assert secrets.scan("%2541" * 50 + "%25")[2] == 0
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
