@@ -10,11 +10,19 @@ reread as the next stage's ``docs``. All but the last return the columns of ``do
    none keeps its form, others become their kept words joined by single spaces. Documents that
    have no word left go.
 4. ``secrets``: each secret, also a nested one, gives way to a mark.
-5. ``packing``: the placed pieces of the tokenised documents.
+5. ``packing``: the pieces of the tokenised documents with their token ids, each with its place in a
+   sequence; ``packing.sequences`` joins them to whole sequences.
+
+Defined results of every stage: null texts count as empty (the quality stage rejects them, the others keep a null
+text null or give it one end token); ids may be null, repeat, and be of any type that can be ordered; rows that are equal in id
+and text stay once (near_dedup) or are rows of their own (other stages); any other columns are handed on as they are, whatever
+their names, but ``n_chars``, which is counted anew; texts of any length are taken whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,32 +38,39 @@ def _with_text(found: DataFrame, docs: DataFrame, text) -> DataFrame:
     return new.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _added(docs: DataFrame, *names: str) -> list:
+    """The columns that an operator adds under these names."""
+    return [F.col(f"`{x}`") for x in common.free_names(docs, *names)]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()  # scratch tables of stages before: their results are written
-    judged = quality.quality(docs).where("kept")
-    return _with_text(judged, docs, F.when(F.col("n_failed_lines") > 0, F.col("clean_text")).otherwise(F.col("text")))
+    """Documents that pass, without their failed lines."""
+    kept, failed, clean = _added(docs, "kept", "n_failed_lines", "clean_text")
+    judged = quality.quality(docs).where(kept)
+    return _with_text(judged, docs, F.when(failed > 0, clean).otherwise(F.col("text")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
+    """One document of each group of near-duplicates."""
     return near.near_dedup(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
-    found = substring.substring_dedup(docs).where("n_words > n_removed")
-    return _with_text(found, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    """Documents without their repeated passages."""
+    words, removed, text = _added(docs, "n_words", "n_removed", "kept_text")
+    found = substring.substring_dedup(docs).where((words > removed) | (words == 0))
+    return _with_text(found, docs, F.when(removed > 0, text).otherwise(F.col("text")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
-    found = secrets.redact(secrets.secret_scan(docs))
+    """Documents with a mark for each secret."""
+    found = secrets.redact(secrets.secret_scan(docs), spans_col=common.free_name(docs, "secrets"))
     return _with_text(found, docs, F.col("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release()
-    return packing.pack(docs, tokenizer_path(), capacity=1024, end_id=2, keep_ids=False)
+    """Pieces with token ids and places."""
+    return packing.pack(docs, tokenizer_path(), capacity=1024, end_id=2, keep_ids=True)
 
 
 STAGES = [
@@ -66,16 +81,21 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Fingerprints, repeats and token ids are beyond SQL; the stages are tested against brute force.
+#: Similarities, nested encodings and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what stages hand on lies in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder; what stages hand on lies in the shared folder until the next stage
+    has read it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/notemill-pipeline-{common.uuid.uuid4().hex}-{name}"
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = f"{common.shared_dir(spark)}/notemill-pipeline-{uuid.uuid4().hex}-{name}"
+        with common.holding(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        common.delete(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), [path]
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its tables are written; it doesn't read the documents again
+    common.delete(spark, before)
+    return packed

@@ -288,8 +288,8 @@ def rank_encode(vocabulary: Vocabulary, words: set[bytes]) -> dict[bytes, list[i
 
     if not hasattr(vocabulary, "ranks"):
         vocabulary.ranks = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.id, special_tokens={})
-    single = vocabulary.ranks._encode_single_piece
-    return {w: single(w) for w in words}
+    whole = vocabulary.ranks.encode_ordinary
+    return {w: whole(w.decode()) for w in words}
 
 
 def encoder(path: str, of_words=trie_encode) -> Encoder:

@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators.
 
-* ``scratch`` writes a table into the folder that ``spark.checkpoint.dir`` names and reads
-  it back: lineage is cut by files that every executor can see, so a lost executor costs
+* ``Scratch`` writes tables into the folder that ``spark.checkpoint.dir`` names and reads
+  them back: lineage is cut by files that every executor can see, so a lost executor costs
   only its own tasks.
 * ``Words`` finds and hashes the words of a block of texts with numpy, over the UTF-8
   bytes of the Arrow buffer, without making one Python object per word.
@@ -9,9 +9,11 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,43 +24,78 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than these; all multi-byte UTF-8 bytes belong to words.
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
-_written: list[tuple[SparkSession, str]] = []
+#: Where tables go that a lazy result reads; None: they stay until the cluster's folder is cleared.
+_holder: contextvars.ContextVar[list | None] = contextvars.ContextVar("notemill_holder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset, as in tests, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` names, else the one set on the context. Only on one
+    machine (a ``local`` master) and with neither set, as in tests, a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.notemill.scratch", None)
     if not base:
-        base = spark.conf.get("spark.notemill.scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="notemill-")
-            spark.conf.set("spark.notemill.scratch", base)
-            spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="notemill-")
+        spark.conf.set("spark.notemill.scratch", base)
     return base.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back with its schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notemill-{uuid.uuid4().hex}-{name}"
-    _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of a file system that Spark knows."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """The intermediate tables of one call of an operator, in the shared folder.
+
+    ``with Scratch(spark) as run:`` deletes at its end what ``run.table`` wrote, so nothing that
+    leaves the block may read that. ``run.keep`` writes a table that the operator's lazy result
+    reads; it is left in the folder, or, within ``holding``, deleted when that ends. Calls share
+    nothing, so one never takes away what another's result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
 
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.paths)
+        self.paths = []
 
-def release() -> None:
-    """Delete the scratch tables written so far. Call it when no lazy result needs them."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already; the folder is the cluster's
-            return
+    def _write(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = f"{shared_dir(self.spark)}/notemill-{uuid.uuid4().hex}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path, back = self._write(df, name)
+        self.paths.append(path)
+        return back
 
-atexit.register(release)
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path, back = self._write(df, name)
+        held = _holder.get()
+        if held is not None:
+            held.append(path)
+        return back
+
+
+@contextlib.contextmanager
+def holding(spark: SparkSession) -> Iterator[list]:
+    """Tables that results made in this block read are deleted at its end; use it where those results
+    are written within the block."""
+    held: list[str] = []
+    token = _holder.set(held)
+    try:
+        yield held
+    finally:
+        _holder.reset(token)
+        delete(spark, held)
 
 
 def stored_bytes(df: DataFrame, text_col: str) -> int:
@@ -84,14 +121,34 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_key(text: Column) -> Column:
-    """32 bits of a text's hash, to tell apart rows that repeat one id."""
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    return [free_name(df, x) for x in names]
+
+
+def row_key(doc_id: Column, text: Column, column: str = "_id", other: str = "_key") -> list[Column]:
+    """96 bits (a long and an int) that stand for an id of any type and a text, null or not: rows that
+    share both are alike to every operator, and no others share the key."""
+    seed = [doc_id.isNull(), doc_id, text.isNull(), text]
+    return [F.xxhash64(F.lit(1), *seed).alias(column), F.xxhash64(F.lit(2), *seed).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(other)]
+
 
+def id_order(doc_id: Column) -> list[Column]:
+    """What ids of any type are ordered by: null last."""
+    return [doc_id.isNull(), doc_id]
 
-def id_key(doc_id: Column) -> Column:
-    """A non-null long for an id; null ids share one value and differ by their text."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63) + 1))
+
+#: Rows of a table that is broadcast at most (16 bytes each); larger ones are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= MOST_BROADCAST else df
+
+
+def by_bucket(df: DataFrame, n_buckets: int, column: str = "bucket", each: int = 4) -> DataFrame:
+    """``df`` dealt out by bucket to a number of partitions that grows with the buckets."""
+    return df.repartition(max(1, -(-n_buckets // each)), column)
 
 
 def _generator(seed: int, n: int) -> np.ndarray:
@@ -150,6 +207,21 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - low
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def mapped(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """The texts with each byte replaced by its entry in a table."""
+    data, at = text_bytes(texts)
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(table[data])])
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z as a-z; null as empty."""
+    return mapped(texts, _LOWER)
+
+
 class Words:
     """Words of several texts that lie one after the other in one byte buffer.
 

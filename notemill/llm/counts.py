@@ -13,7 +13,9 @@ that logs of any length go through in rounds. Both are row-local.
 Defined results: null counts as the empty text; places outside the text are moved to its ends,
 negative lengths count as 0; null edits, and null parts of an edit, change nothing; edits of a
 row apply in their order, each to the text that the edits before it left; repeated rows get
-equal results; an empty table gives an empty table.
+equal results; an empty table gives an empty table. The state's columns get leading underscores where
+the input of ``build`` has columns of that name; ``edit`` takes, of the columns called so, the one with the most.
+Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import slices
+from .common import free_names, slices
 
 SEGMENT = 64
-STATE = ("piece_chars", "piece_tokens", "n_tokens")
+STATE = ("piece_chars", "piece_tokens", "n_tokens", "reencoded_chars")
 
 
 class Tree:
@@ -125,41 +127,46 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _INTS = T.ArrayType(T.IntegerType())
 
 
+def state_names(state: DataFrame) -> list[str]:
+    """What the state's columns are called in a table."""
+    return [max((c for c in state.columns if c.lstrip("_") == x), key=len) for x in STATE]
+
+
 def build(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with its state: ``piece_chars``, ``piece_tokens`` (arrays) and ``n_tokens``."""
-    taken = {c.lower() for c in docs.columns} & set(STATE)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are the state's own")
-    schema = T.StructType([*docs.schema.fields, T.StructField(STATE[0], _INTS), T.StructField(STATE[1], _INTS), T.StructField(STATE[2], T.LongType())])
+    """``docs`` with its state: ``piece_chars``, ``piece_tokens`` (arrays), ``n_tokens``, and ``reencoded_chars``, the code
+    points that edits made to be encoded again: none yet."""
+    added = free_names(docs, *STATE)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, kind) for x, kind in zip(added, (_INTS, _INTS, T.LongType(), T.LongType()))]])
     names, column = schema.names, docs.columns.index(text_col)
 
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            for block in slices(batch, 4 << 20, column):
+            for block in slices(batch, 2 << 20, column):
                 sizes = coder.piece_sizes(block.column(column))
                 lists = [_lists([x[k] for x in sizes]) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*block.columns, *lists, pa.array([int(x[1].sum()) for x in sizes], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*block.columns, *lists, pa.array([int(x[1].sum()) for x in sizes], pa.int64()), pa.array([0] * len(sizes), pa.int64())], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def edit(state: DataFrame, tokenizer_path: str, edits_col: str, text_col: str = "text") -> DataFrame:
-    """The state after the edits of ``edits_col`` (array of struct at, cut: integers, put: string), with
-    ``reencoded_chars``, the code points that were encoded again; ``edits_col`` is dropped."""
-    kept = [c for c in state.columns if c not in (edits_col, "reencoded_chars")]
-    schema = T.StructType([*[state.schema[c] for c in kept], T.StructField("reencoded_chars", T.LongType())])
+    """The state after the edits of ``edits_col`` (array of struct at, cut: integers, put: string); ``reencoded_chars``
+    grows by what was encoded again, and ``edits_col`` is dropped."""
+    kept = [c for c in state.columns if c != edits_col]
+    own_names = state_names(state)
+    schema = T.StructType([state.schema[c] for c in kept])
     names, place = schema.names, {c: i for i, c in enumerate(state.columns)}
     column = place[text_col]
 
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            for block in slices(batch, 2 << 20, column):
+            for block in slices(batch, 1 << 20, column):
                 texts = pc.fill_null(block.column(column), "").to_pylist()
-                trees = [Tree(c, t) for c, t in zip(_views(block.column(place[STATE[0]])), _views(block.column(place[STATE[1]])))]
+                trees = [Tree(c, t) for c, t in zip(_views(block.column(place[own_names[0]])), _views(block.column(place[own_names[1]])))]
                 todo = [[x for x in e or [] if x] for e in block.column(place[edits_col]).to_pylist()]
-                cost = [0] * len(texts)
+                cost = block.column(place[own_names[3]]).to_pylist()
                 for turn in range(max(map(len, todo), default=0)):  # one edit of each text at a time, encoded together
                     rows, spots, regions = [], [], []
                     for i, (text, tree, own) in enumerate(zip(texts, trees, todo)):
@@ -176,8 +183,8 @@ def edit(state: DataFrame, tokenizer_path: str, edits_col: str, text_col: str =
                     for i, (first, last), (chars, tokens) in zip(rows, spots, coder.piece_sizes(pa.array(regions, pa.string()))):
                         trees[i].splice(first, last, chars.astype(np.int32), tokens.astype(np.int32))
                 pieces = [t.pieces() for t in trees]
-                new = {text_col: pa.array(texts, pa.string()), STATE[2]: pa.array([t.n_tokens for t in trees], pa.int64())}
-                new |= {STATE[k]: _lists([p[k] for p in pieces]) for k in (0, 1)}
-                yield pa.RecordBatch.from_arrays([*[new.get(c, block.column(place[c])) for c in kept], pa.array(cost, pa.int64())], names=names)
+                new = {text_col: pa.array(texts, pa.string()), own_names[2]: pa.array([t.n_tokens for t in trees], pa.int64()), own_names[3]: pa.array(cost, pa.int64())}
+                new |= {own_names[k]: _lists([p[k] for p in pieces]) for k in (0, 1)}
+                yield pa.RecordBatch.from_arrays([new.get(c, block.column(place[c])) for c in kept], names=names)
 
     return state.mapInArrow(run, schema)

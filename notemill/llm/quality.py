@@ -30,7 +30,7 @@ from .common import free_name
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Phrases of page furniture.
+#: Phrases of page furniture, in English, French, German and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -46,24 +46,60 @@ BOILERPLATE = (
     "share on facebook",
     "follow us on",
     "lorem ipsum",
+    "tous droits réservés",
+    "accepter les cookies",
+    "politique de confidentialité",
+    "mentions légales",
+    "conditions d'utilisation",
+    "cliquez ici",
+    "lire la suite",
+    "abonnez-vous à",
+    "activez javascript",
+    "suivez-nous sur",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "klicken sie hier",
+    "weiterlesen",
+    "abonnieren sie unseren",
+    "aktivieren sie javascript",
+    "folgen sie uns auf",
+    "todos los derechos reservados",
+    "aceptar las cookies",
+    "política de privacidad",
+    "aviso legal",
+    "condiciones de uso",
+    "haga clic aquí",
+    "leer más",
+    "suscríbase a",
+    "active javascript",
+    "síganos en",
+)
+#: What menus say, in the same languages.
+MENU = (
+    "home", "menu", "about", "contact", "login", "log in", "sign in", "search", "next", "previous", "back to top", "skip to content",
+    "accueil", "connexion", "rechercher", "suivant", "précédent", "haut de page",
+    "startseite", "menü", "kontakt", "anmelden", "suche", "weiter", "zurück", "nach oben",
+    "inicio", "menú", "contacto", "iniciar sesión", "buscar", "siguiente", "anterior", "volver arriba",
 )
-MENU = ("home", "menu", "about", "contact", "login", "log in", "sign in", "search", "next", "previous", "back to top", "skip to content")
 BOILERPLATE_PATTERN = "|".join(BOILERPLATE)
 MENU_PATTERN = r"^\W*(?:" + "|".join(MENU) + r")(?:\W+(?:" + "|".join(MENU) + r"))*\W*$"
 #: A terminal mark at the end of the line, or the end of a sentence within it.
-SENTENCE_PATTERN = r"""[.!?…:;。！？]["'”’»)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”’»)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""
+SENTENCE_PATTERN = r"""[.!?…:;。！？]["'”“’‘»«)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”“’‘»«)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def line_rule(line: Column) -> Column:
     """The rule that a line fails, or null; a line without words fails none."""
-    n_words = F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    n_words = F.regexp_count(line, F.lit(WORD_PATTERN))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
     low = F.lower(line)
     boilerplate, menu = low.rlike(BOILERPLATE_PATTERN), low.rlike(MENU_PATTERN)
     return (
-        F.when(~line.rlike(r"[^\x20\x09-\x0D]"), F.lit(None).cast("string"))
+        F.when(n_words == 0, F.lit(None).cast("string"))
         .when((bars >= 3) & (bars * 6 >= n_words) | menu, F.lit("navigation"))
         .when((symbols * 2 > n_words) & (symbols >= 3) | (shouts * 5 > n_words) & (shouts >= 3), F.lit("symbols"))
         .when((n_words <= 30) & boilerplate, F.lit("boilerplate"))

@@ -50,19 +50,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import format_chat, read_back
+    from .chat import format_chat, read_turns
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     windows = format_chat(turns.unionByName(own), budget=2048, history=512)
-    chars = windows.groupBy("conv_id").agg(F.sum(F.length("formatted").cast("long")).alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"))
-    parts = F.sort_array(F.collect_list(F.struct("ordinal", "role", "text", "learnt")))
-    back = read_back(windows).groupBy("conv_id").agg(parts.alias("p"))
+    same = F.col("learnt") == F.col("text")
+    part = F.when(~F.col("repeated"), F.struct("ordinal", "role", "text", F.when(~same, F.col("learnt")).alias("learnt")))
+    back = read_turns(windows).groupBy("conv_id").agg(F.sum("chars").alias("formatted_chars"), F.count("chars").alias("n_windows"), F.sort_array(F.collect_list(part)).alias("p"))
     text = F.array_join(F.transform("p", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    back = back.select(F.col("conv_id").alias("c"), F.size("p").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.array_join(F.transform("p", lambda x: x["learnt"]), "").alias("learnt"))
-    joined = chars.join(back, F.col("conv_id").eqNullSafe(F.col("c")))
-    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+    learnt = F.array_join(F.transform("p", lambda x: F.coalesce(x["learnt"], x["text"])), "")
+    digests = back.select("conv_id", F.size("p").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), learnt.alias("learnt"), "formatted_chars", "n_windows")
+    return digests.select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _op1_sql() -> str:
     drop = lambda c, p: f"regexp_replace({c}, {text(p)}, '', 'g')"
     gone = lambda c, p: f"(length({c}) - length({drop(c, p)}))"
     space, symbols = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
-    n, bars, signs = "(length(line) - length(replace(line, ' ', '')) + 1)", gone("line", "[|»›•]"), gone("line", symbols)
+    n, bars, signs = f"len(regexp_extract_all(line, {text(Q.WORD_PATTERN)}))", gone("line", "[|»›•]"), gone("line", symbols)
     shouts = "((length(line) - length(replace(line, '!!', ''))) / 2)"
     failed = f"""regexp_matches(line, {text("[^" + space[1:])}) AND ({bars} >= 3 AND {bars} * 6 >= {n} OR regexp_matches(lower(line), {text(Q.MENU_PATTERN)})
         OR {signs} * 2 > {n} AND {signs} >= 3 OR {shouts} * 5 > {n} AND {shouts} >= 3
@@ -155,5 +155,14 @@ _OP8_SQL = """
       s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
+#: Words and repeated windows of 35 words, each known by its own text; windows are judged on the input.
+_OP2_SQL = """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      g AS (SELECT r, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+      c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+      p AS (SELECT r, list(DISTINCT j) AS gone FROM (SELECT r, unnest(generate_series(i, i + 34)) AS j FROM c) GROUP BY r),
+      k AS (SELECT doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN p USING (r))
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op8_topk": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op2_substring": _OP2_SQL, "op8_topk": _OP8_SQL}

@@ -1,16 +1,18 @@
 """Secret scans through nested encodings.
 
 Every whole text is scanned for three kinds of secrets. Then a worklist of layers runs to its
-fixpoint: URL and Unicode escapes of a layer are resolved in place, base64 segments are
-decoded (bad bytes are replaced), compressed data in them is unpacked, and each layer that this gives is scanned and
-unwrapped again. Within a segment of the document a layer whose text was seen before is not
-opened again, so that encodings which lead to themselves end; a segment that comes at several
+fixpoint: URL and Unicode escapes of a layer are resolved in place, base64 segments are decoded from each of
+the four alignments (they may follow other letters), compressed data is unpacked, and each layer that this gives, an
+unpacked one that is compressed again included, is scanned and unwrapped in its turn. Bad bytes are replaced, and
+a layer with NUL bytes (UTF-16) is read without them as well. A layer that was seen before in its segment of the
+document is not opened again, so that encodings which lead to themselves end; a segment that comes at several
 places is opened once and reported at each. Spans found in a layer are mapped back to the
-document: through escapes character by character, to the whole segment through base64 and
+document: through escapes character by character (by runs), to the whole segment through base64 and
 compression.
 
-Row-local: no shuffle, bounded by the longest text. A compressed layer that unpacks to more
-than ``unpack_limit`` bytes is refused whole and counted in ``n_refused``.
+Row-local: no shuffle. The worklist goes depth first, so that of each depth one layer is held; layers that unpack to more
+than ``HOLD`` bytes are read as a stream, in parts that are cut at white space (a run without any that is longer than
+that is cut with an overlap of ``OVERLAP`` bytes), and known again by their first ``OVERLAP`` bytes. Nothing is refused.
 
 Defined results: null counts as the empty text and has no spans; repeated rows get equal
 results; an empty table gives an empty table. Added columns get leading underscores where the
@@ -25,7 +27,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_names, slices
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex")
@@ -45,11 +48,11 @@ _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 _LINE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _URLSAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
 #: How gzip, zlib, bzip2, xz and zstd data begin.
 _MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
-UNPACK_LIMIT = 64 << 20
+HOLD, OVERLAP, READ = 64 << 20, 1 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,38 +66,139 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-class Refused(ValueError):
-    """Compressed data that unpacks to more than the limit."""
+def _worker(data: bytes):
+    """What unpacks data that begin as a known format; None if they don't."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
 
+        return zstandard.ZstdDecompressor()
+    return None
 
-def _unpack(data: bytes, limit: int) -> bytes | None:
-    """Data unpacked once, if it begins as a known format; None if it doesn't or is broken."""
+
+def _unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Unpacked data in pieces of at most READ bytes, from packed ones; what a broken format gives before it breaks."""
+    first = next(pieces, b"")
+    worker = _worker(first)
+    if worker is None:
+        return
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            worker = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            worker = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            worker = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(limit + 1)
-            if len(out) > limit:
-                raise Refused
-            return out
-        else:
-            return None
-        out = worker.decompress(data, limit + 1)
-        if len(out) > limit:
-            raise Refused
-        return out if worker.eof else None
+        if hasattr(worker, "stream_reader"):
+            reader = worker.stream_reader(_Pieces(first, pieces))
+            while out := reader.read(READ):
+                yield out
+            return
+        data = first
+        while data or data is first:
+            if isinstance(worker, type(zlib.decompressobj())):
+                while data and not worker.eof:
+                    if out := worker.decompress(data, READ):
+                        yield out
+                    data = worker.unconsumed_tail
+            else:
+                while not worker.eof:
+                    if out := worker.decompress(data, READ):
+                        yield out
+                    data = b""
+                    if worker.needs_input:
+                        break
+            if worker.eof:
+                return
+            data = next(pieces, b"")
+            if not data:
+                return
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
+        return
     except Exception as error:
-        if isinstance(error, Refused) or "zstd" not in type(error).__name__.lower():
+        if "zstd" not in type(error).__name__.lower():
             raise
-        return None
+
+
+class _Pieces:
+    """A file of pieces of bytes."""
+
+    def __init__(self, first: bytes, rest: Iterator[bytes]):
+        self.held, self.rest = first, rest
+
+    def read(self, n: int = -1) -> bytes:
+        if not self.held:
+            self.held = next(self.rest, b"")
+        out, self.held = (self.held, b"") if n < 0 else (self.held[:n], self.held[n:])
+        return out
+
+
+def _whole(data: bytes) -> bool:
+    """Whether packed data unpack to their end."""
+    worker = _worker(data)
+    if worker is None or hasattr(worker, "stream_reader"):
+        return worker is not None and any(True for _ in _unpacked(iter([data])))
+    try:
+        while not worker.eof:
+            out = worker.decompress(data, READ)
+            data = worker.unconsumed_tail if hasattr(worker, "unconsumed_tail") else b""
+            if not out and not data:
+                return worker.eof
+        return True
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return False
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """Data as text: bad bytes replaced, and without NUL bytes where there are any."""
+    yield data.decode(errors="replace")
+    if 0 in data:
+        yield data.replace(b"\0", b"").decode(errors="replace")
+
+
+def _layers(pieces: Iterator[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """The texts of data and of all that they unpack to, one after the other. ``above``: digests of the data that
+    these came from, so that data which unpack to themselves end."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size > HOLD:
+            break
+    data = b"".join(held)
+    key = blake2b(data if size <= HOLD else data[:OVERLAP], digest_size=16).digest()
+    if key in above:
+        return
+    more: Iterator[bytes] = iter(())
+    if size > HOLD:
+        more = pieces
+        if _worker(data) is not None:  # read once: as packed data
+            yield from _layers(_unpacked(_chained(data, more)), above | {key})
+            return
+    elif _worker(data) is not None:
+        yield from _layers(_unpacked(iter([data])), above | {key})
+    while data:
+        cut = len(data)
+        if size > HOLD:
+            cut = max(data.rfind(b" "), data.rfind(b"\n"), data.rfind(b"\t")) + 1 or len(data)
+        yield from _texts(data[:cut])
+        rest = data[cut:] if cut < len(data) else data[-OVERLAP:]
+        fresh = []
+        n = 0
+        for piece in more:
+            fresh.append(piece)
+            n += len(piece)
+            if n > HOLD:
+                break
+        if not n:
+            if cut < len(data):
+                yield from _texts(rest)
+            return
+        data, size = rest + b"".join(fresh), HOLD + 1 if n > HOLD else 0
+
+
+def _chained(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
 
 
 def _bytes(segment: str) -> bytes:
@@ -104,68 +208,79 @@ def _bytes(segment: str) -> bytes:
     return base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
 
 
-def _decoded(segment: str, limit: int) -> str:
-    """The text in a base64 segment, through any layers of compression; bad bytes are replaced."""
-    data = _bytes(segment)
-    opened = set()  # compressed data can unpack to itself
-    while data not in opened and (more := _unpack(data, limit)) is not None:
-        opened.add(data)
-        data = more
-    return data.decode(errors="replace")
-
-
-def _clean(segment: str, limit: int) -> bool:
-    """Whether a segment decodes to text without a bad byte, so that it is whole as it stands."""
+def _clean(segment: str) -> bool:
+    """Whether a segment decodes to text without a bad byte, or to whole packed data, so that it is whole as it stands."""
     if sum(c not in "\r\n=" for c in segment) % 4 == 1:
         return False
-    try:
-        return not _CONTROL.search(_decoded(segment, limit))
-    except Refused:
-        return True
+    data = _bytes(segment)
+    return _whole(data) or not _CONTROL.search(data.decode(errors="replace"))
 
 
-def _unescape(m: re.Match) -> str | None:
-    run = m.group()
+def _unescape(run: str) -> tuple[str, list[int]] | None:
+    """The characters that a run of escapes stands for, and how long the escapes of each are."""
     if run[0] == "%":
         try:
-            return bytes.fromhex(run.replace("%", "")).decode()
+            text = bytes.fromhex(run.replace("%", "")).decode()
         except UnicodeDecodeError:
             return None
-    units = [int(x or y, 16) for x, y in _ONE_ESCAPE.findall(run)]
-    if any(u > 0x10FFFF for u in units):
-        return None
-    return "".join(map(chr, units)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        return text, [3 * len(c.encode()) for c in text]
+    out, sizes = [], []
+    for m in _ONE_ESCAPE.finditer(run):
+        unit = int(m[1] or m[2], 16)
+        if unit > 0x10FFFF:
+            return None
+        if 0xDC00 <= unit < 0xE000 and out and 0xD800 <= out[-1] < 0xDC00:
+            out[-1] = 0x10000 + ((out[-1] - 0xD800) << 10) + unit - 0xDC00
+            sizes[-1] += len(m[0])
+        else:
+            out.append(unit)
+            sizes.append(len(m[0]))
+    return "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in out), sizes
 
 
-def _unescaped(text: str, places=None):
-    """The text with its escapes resolved, and the places in the document where each character
-    starts and ends; None without escapes. The text gets shorter each time."""
-    if not _ESCAPES.search(text):
-        return None
-    out, starts, ends, at = [], [], [], 0
+class Places:
+    """Where the characters of an unescaped text lie in the text before: runs of characters that take the same room."""
+
+    def __init__(self, runs: list[tuple[int, int, int]]):
+        self.at, self.start, self.room = zip(*runs)  # first character of a run; its place; places of each character
+
+    def back(self, first: int, end: int) -> tuple[int, int]:
+        """A span of the text as a span of the text before."""
+        i, j = bisect_right(self.at, first) - 1, bisect_right(self.at, end - 1) - 1
+        return self.start[i] + (first - self.at[i]) * self.room[i], self.start[j] + (end - self.at[j]) * self.room[j]
+
+
+def _unescaped(text: str) -> tuple[str, Places] | None:
+    """The text with its escapes resolved, and where it lies; None without escapes. The text gets shorter each time."""
+    out, runs, at, size = [], [], 0, 0
     for m in _ESCAPES.finditer(text):
-        new = _unescape(m)
-        if new is None:
+        found = _unescape(m[0])
+        if found is None:
             continue
+        new, rooms = found
+        if m.start() > at:
+            runs.append((size, at, 1))
+            size += m.start() - at
+        place = m.start()
+        for k, room in enumerate(rooms):
+            if not k or room != rooms[k - 1]:
+                runs.append((size, place, room))
+            size, place = size + 1, place + room
         out += [text[at : m.start()], new]
-        starts += [*range(at, m.start()), *[m.start()] * len(new)]
-        ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
         at = m.end()
     if not at:
         return None
-    starts += range(at, len(text))
-    ends += range(at + 1, len(text) + 1)
-    if places:
-        starts, ends = [places[0][i] for i in starts], [places[1][i - 1] for i in ends]
-    return "".join([*out, text[at:]]), (starts, ends)
+    if at < len(text):
+        runs.append((size, at, 1))
+    return "".join([*out, text[at:]]), Places(runs)
 
 
-def _segments(text: str, limit: int):
+def _segments(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of what could be base64. Where lines could be one wrapped segment, also their parts:
     where the whole has bad bytes the last line may be a word of the text that follows, or several
     segments may follow each other."""
     for m in _WRAPPED.finditer(text):
-        yield from _parts(text, *m.span(), limit)
+        yield from _parts(text, *m.span())
     for m in _LINE.finditer(text):
         yield m.span()
     if "_" in text or "-" in text:
@@ -173,13 +288,13 @@ def _segments(text: str, limit: int):
             yield m.span()
 
 
-def _parts(text: str, start: int, end: int, limit: int):
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Ranges of the lines of a block that could hold a segment: the whole, the whole without its last
     line, runs of lines of one length, and, as the others may be cut in the middle, for each
     of the four phases the lines that a secret covers and what is compressed from a line on."""
     lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\r\n]+", text[start:end])]
-    whole, before = _clean(text[start:end], limit), (start, lines[-2][1])
-    if not whole and _clean(text[slice(*before)], limit):
+    whole, before = _clean(text[start:end]), (start, lines[-2][1])
+    if not whole and _clean(text[slice(*before)]):
         yield before
         if text[end : end + 1] in (" ", "\t") and text[end - 1] != "=":  # a word of a sentence
             lines.pop()
@@ -219,30 +334,36 @@ def _exact(data: bytes):
             yield m.span()
 
 
-def _inside(segment: str, limit: int) -> tuple[frozenset[int], int]:
-    """Kinds of the secrets in all layers of a segment, and the number of refused layers. All of them
-    map to the whole segment, so a layer that comes again in it has nothing new."""
-    kinds, seen, refused, work = set(), set(), 0, deque()
+def _below(layer: str) -> Iterator[str]:
+    """The layers that a layer leads to."""
+    if below := _unescaped(layer):
+        yield below[0]
+    for a, b in dict.fromkeys(_segments(layer)):
+        yield from _decoded(layer[a:b])
 
-    def put(part: str) -> int:
-        try:
-            below = _decoded(part, limit)
-        except Refused:
-            return 1
-        work.append(below)
-        return 0
-
-    refused += put(segment)
-    while work:
-        layer = work.popleft()
-        if layer in seen:
+
+def _decoded(segment: str) -> Iterator[str]:
+    """The layers in a base64 segment, whichever of its first characters it begins at."""
+    body = re.sub(r"[\r\n]", "", segment)
+    for first in range(4):
+        yield from _layers(iter([_bytes(body[first:])]))
+
+
+def _inside(segment: str) -> frozenset[int]:
+    """Kinds of the secrets in all layers of a segment. All of them map to the whole segment, so a layer that comes
+    again in it has nothing new, and nothing is new when all kinds are found."""
+    kinds, seen, stack = set(), set(), [_decoded(segment)]
+    while stack and len(kinds) < len(KINDS):
+        layer = next(stack[-1], None)
+        if layer is None:
+            stack.pop()
             continue
-        seen.add(layer)
-        kinds.update(kind for _, kind, _ in base_spans(layer))
-        if below := _unescaped(layer):
-            work.append(below[0])
-        refused += sum(put(layer[a:b]) for a, b in set(_segments(layer, limit)))
-    return frozenset(kinds), refused
+        key = blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key not in seen:
+            seen.add(key)
+            kinds.update(kind for _, kind, _ in base_spans(layer))
+            stack.append(_below(layer))
+    return frozenset(kinds)
 
 
 def _outer(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -255,52 +376,56 @@ def _outer(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def scan(text: str, limit: int = UNPACK_LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans, and the number of refused layers of one text."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and all spans of one text."""
     base = base_spans(text)
-    found, known, refused = set(base), {}, {}
-    layer, places = text, None
+    found, known = set(base), {}
+    layer, way = text, []
     while True:
-        back = lambda a, b, p=places: (p[0][a], p[1][b - 1]) if p else (a, b)
-        if places:
+
+        def back(a: int, b: int) -> tuple[int, int]:
+            for places in reversed(way):
+                a, b = places.back(a, b)
+            return a, b
+
+        if way:
             for start, kind, end in base_spans(layer):
                 a, b = back(start, end)
                 found.add((a, kind, b))
         own = set()
-        for start, end in dict.fromkeys(_segments(layer, limit)):
+        for start, end in dict.fromkeys(_segments(layer)):
             segment = layer[start:end]
             if segment not in known:
-                known[segment] = _inside(segment, limit)
-            kinds, n = known[segment]
-            a, b = back(start, end)
-            # a part of a segment, or a run within it, adds nothing to what is reported of the whole
-            own.update((a, kind, b) for kind in kinds)
-            if n:
-                refused[a, b, segment] = n
+                known[segment] = _inside(segment)
+            if known[segment]:
+                a, b = back(start, end)
+                # a part of a segment, or a run within it, adds nothing to what is reported of the whole
+                own.update((a, kind, b) for kind in known[segment])
         found.update(_outer(own))
-        below = _unescaped(layer, places)
+        below = _unescaped(layer)
         if below is None:
-            return base, sorted(found), sum(refused.values())
-        layer, places = below
+            return base, sorted(found)
+        layer = below[0]
+        way.append(below[1])
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def secret_scan(docs: DataFrame, text_col: str = "text", unpack_limit: int = UNPACK_LIMIT) -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base_secrets`` and ``secrets`` (arrays of kind, start, end: code points of
-    the text, end exclusive, sorted by start and kind) and ``n_refused``."""
-    added = [free_name(docs, x) for x in ("base_secrets", "secrets", "n_refused")]
-    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], _SPANS), T.StructField(added[1], _SPANS), T.StructField(added[2], T.LongType())])
+    the text, end exclusive, sorted by start and kind)."""
+    added = free_names(docs, "base_secrets", "secrets")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, _SPANS) for x in added]])
     names, column = schema.names, docs.columns.index(text_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             for block in slices(batch, 4 << 20, column):
-                done = [scan(t, unpack_limit) for t in pc.fill_null(block.column(column), "").to_pylist()]
+                done = [scan(t) for t in pc.fill_null(block.column(column), "").to_pylist()]
                 spans = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in row[i]] for row in done], span) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*block.columns, *spans, pa.array([row[2] for row in done], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*block.columns, *spans], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -313,7 +438,7 @@ def spans_string(spans: Column) -> Column:
 def redact(scanned: DataFrame, text_col: str = "text", spans_col: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
     """``scanned`` with each span of its text, overlapping ones as one, replaced by ``mark``;
     null stays null."""
-    spans, text = F.col(spans_col), F.col(text_col)
+    spans, text = F.col(f"`{spans_col}`"), F.col(f"`{text_col}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(done: Column, x: Column) -> Column:

@@ -14,12 +14,18 @@ word shingles have it. Fingerprints link at ``MOST_BITS`` = 4 or fewer differing
   cluster only a spanning forest is passed on: a pair of linked fingerprints that is left
   out is still connected by pairs that are not, so that no component loses a member.
 
-Copies share a fingerprint and are folded before anything is compared; the components of
+In a group of over ``LARGE`` fingerprints of one key only those are compared that agree on one of five
+blocks of their 64 bits, as any two within 4 bits do; so a key's work grows with its links, not its
+square. Copies share a fingerprint and are folded before anything is compared; the components of
 distinct fingerprints are found in the shared folder (``graph.components``).
 
-Defined results: null and word-less texts have fingerprint zero and link like any other;
-null ids don't count for ``component_id``, which is null where all ids are; repeated rows
-get equal rows; an empty table gives an empty table.
+``classes`` is the operator with links by bits; ``near.near_dedup`` is the one for a similarity.
+
+Defined results: null and word-less texts have fingerprint zero and link like any other; ids are of
+any type that can be ordered; null ids don't count for ``component_id``, which is null where all ids
+are; repeated rows get equal rows; what is returned has the id's name and ``fp``, ``component_id``, ``root``
+(with leading underscores where the id is called so), other columns don't matter; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key, mix, scratch, slices, text_key, texts_of
+from .common import Scratch, by_bucket, mix, slices, texts_of
 from .graph import components
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
+#: Groups beyond this are split by blocks of bits.
+LARGE = 512
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # lowest bit, bits
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit, bits
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -73,6 +82,12 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return upper, patterns, number
 
 
+def code_bits() -> np.ndarray:
+    """The 4096 codewords as rows of 23 bits."""
+    word = np.array([i << 11 | _remainder(i << 11) for i in range(4096)], np.uint32)
+    return (word[:, None] >> np.arange(23, dtype=np.uint32) & 1).astype(np.uint8)
+
+
 _tables: list = []
 
 
@@ -120,18 +135,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """id, ``text_key`` (int) and ``fp`` (long: the 64 bits) of each row."""
-    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("text_key", T.IntegerType()), T.StructField("fp", T.LongType())])
-
-    names = schema.names
+    """The id (as ``id``) and ``fp`` (long: the 64 bits) of each row."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([own.schema["id"], T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for block in slices(batch, 4 << 20, 2):
-                fps = np.array([fingerprint(t, shingle) for t in texts_of(block.column(2))], np.uint64)
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(fps.view(np.int64))], names=names)
+            for block in slices(batch, 4 << 20, 1):
+                fps = np.array([fingerprint(t, shingle) for t in texts_of(block.column(1))], np.uint64)
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_key(F.col(text_col)), text_col).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def _forest(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -152,15 +166,23 @@ def _forest(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def links(keys: np.ndarray, prints: np.ndarray, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between distinct prints that share a key; groups over ``small`` give a
-    spanning forest."""
+    """Verified links between distinct prints that share a key. Groups over ``small`` give spanning forests:
+    not every link, but links that connect whatever is connected."""
     order = np.argsort(keys, kind="stable")
     keys, prints = keys[order], prints[order]
     edge = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
     size = np.diff(np.append(edge, len(keys)))
     found = []
     for i in np.flatnonzero(size > small):
-        found += _forest(np.unique(prints[edge[i] : edge[i] + size[i]]))
+        own = np.unique(prints[edge[i] : edge[i] + size[i]])
+        if len(own) <= LARGE:
+            found += _forest(own)
+            continue
+        for low, bits in BLOCKS:
+            part = (own >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+            by = np.argsort(part, kind="stable")
+            for group in np.split(own[by], np.flatnonzero(np.diff(part[by])) + 1):
+                found += _forest(group)
     inside = np.repeat(size <= small, size)
     keys, prints = keys[inside], prints[inside]
     at = np.arange(len(keys))
@@ -179,7 +201,8 @@ def links(keys: np.ndarray, prints: np.ndarray, small: int = 24) -> tuple[np.nda
 
 
 def fuzzy_links(distinct: DataFrame, keys_at_once: int = 1_000_000) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` of a table."""
+    """Links (a, b) between the distinct fingerprints ``fp`` of a table: all of small groups, spanning forests
+    of large ones, so that components are whole but pairs need not be."""
     n = distinct.count()
     buckets = int(max(64, n * 84 // keys_at_once))
 
@@ -202,25 +225,20 @@ def fuzzy_links(distinct: DataFrame, keys_at_once: int = 1_000_000) -> DataFrame
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     packed = distinct.select("fp").mapInArrow(spread, "bucket int, keys binary, prints binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return by_bucket(packed, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """id, ``text_key``, ``fp`` and ``component_id``, the smallest id that is reachable by links."""
-    prints = scratch(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = scratch(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(scratch(fuzzy_links(distinct), "links"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # a table of its own: joined as read, a root with many fingerprints can be split
-    least = scratch(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    member = scratch(rooted.join(least, "root").select("fp", "component_id", "root"), "members")
-    return prints.join(member, "fp").select(id_col, "text_key", "fp", "component_id", "root")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (null last), and of rows
-    that repeat it, that of the smallest text key; its columns stay as they are."""
-    found = classes(docs, id_col, text_col, shingle)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), id_key(F.col(id_col)).alias("_id"), "text_key")).alias("k")).select(F.col("k._id").alias("_id"), F.col("k.text_key").alias("_key"))
-    own = docs.withColumns({"_id": id_key(F.col(id_col)), "_key": text_key(F.col(text_col))})
-    return own.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """id, ``fp``, ``component_id``, the smallest id that is reachable by links, and ``root``, the smallest
+    fingerprint (as a long) of the component."""
+    spark = docs.sparkSession
+    with Scratch(spark) as run:
+        prints = run.keep(fingerprints(docs, id_col, text_col, shingle), "prints")
+        distinct = run.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+        roots = components(run.table(fuzzy_links(distinct), "links"), run)
+        rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        # a table of its own: joined as read, a root with many fingerprints can be split
+        least = run.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        member = run.keep(rooted.join(least, "root").select("fp", "component_id", "root"), "members")
+    added = [x if x != id_col else "_" + x for x in ("fp", "component_id", "root")]
+    return prints.join(member, "fp").select(F.col("id").alias(id_col), *[F.col(x).alias(y) for x, y in zip(("fp", "component_id", "root"), added)])

@@ -20,8 +20,9 @@ task, not one row a place; so no bucket receives more than one row a task for an
 
 Defined results: a null text has no words; words are joined by single spaces in what is kept;
 repeated rows and ids are texts of their own, so that copies of 35 words or more remove each
-other; null ids stay null; an empty table gives an empty table. Columns that are added get
-leading underscores where the input has one of the same name.
+other; ids are of any type, and null ids stay null; an empty table gives an empty table. Columns that are added get
+leading underscores where the input has one of the same name; the input's own stay as they are.
+Rows of one id and text share one list of repeats (equal parts of it are one, whatever the number of rows).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, buckets, free_name, id_key, mix, rolling, scratch, slices, text_key, texts_of
+from .common import MOST_BROADCAST, Scratch, Words, buckets, by_bucket, free_names, mix, rolling, row_key, slices, texts_of
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
@@ -194,7 +195,7 @@ def _anchor_hits(docs: DataFrame, n_buckets: int, window: int) -> DataFrame:
                 yield from packer.add(block.column(0).to_numpy(), block.column(1).to_numpy(), row[own], place[own], h, h >> np.uint64(32), place[own] % block_words == 0)
         yield from packer.flush()
 
-    return docs.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(_meet(4), _HITS)
+    return by_bucket(docs.mapInArrow(run, _PACKED), n_buckets).groupBy("bucket").applyInArrow(_meet(4), _HITS)
 
 
 def _places_of(column: pa.Array, first: np.ndarray) -> np.ndarray:
@@ -223,23 +224,33 @@ def _repeat_hits(docs: DataFrame, n_buckets: int, window: int) -> DataFrame:
                 yield from packer.add(block.column(0).to_numpy(), block.column(1).to_numpy(), row[own], place[own], rolling(h, window)[own], route, np.ones(len(own), bool))
         yield from packer.flush()
 
-    return docs.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(_meet(8), _HITS)
+    return by_bucket(docs.mapInArrow(run, _PACKED), n_buckets).groupBy("bucket").applyInArrow(_meet(8), _HITS)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``_id``, ``_key`` and ``places``: the first words of all repeated windows of a text."""
+def _few(table: DataFrame, names: list[str]) -> DataFrame | None:
+    """The keys of a table, to be broadcast, if they are counted to be few enough."""
+    return F.broadcast(table.select("_id", "_key").toDF(*names)) if table.count() <= MOST_BROADCAST else None
+
+
+def repeats(docs: DataFrame, run: Scratch, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``_id`` and ``_key`` (``row_key``) and ``places``: the first words of all repeated windows of a text. A table
+    that ``run`` keeps."""
     n = buckets(docs, text_col)
-    keyed = docs.select(id_key(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(*row_key(F.col(f"`{id_col}`"), text), text.alias("text"))
     gather = lambda hits: hits.groupBy("_id", "_key").agg(F.collect_set("places").alias("places"))
-    anchors = scratch(gather(_anchor_hits(keyed, n, window)), "anchors")
-    return scratch(gather(_repeat_hits(keyed.join(anchors, ["_id", "_key"]).select("_id", "_key", "text", "places"), n, window)), "repeats")
+    anchors = run.table(gather(_anchor_hits(keyed, n, window)), "anchors")
+    few = _few(anchors, ["_id", "_key"])
+    near = keyed if few is None else keyed.join(few, ["_id", "_key"], "left_semi")
+    return run.keep(gather(_repeat_hits(near.join(anchors, ["_id", "_key"]).select("_id", "_key", "text", "places"), n, window)), "repeats")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_words``, ``n_removed`` and ``removed``: the maximal repeats,
     as first word and the word after the last."""
-    found = repeats(docs, id_col, text_col, window)
-    added = [free_name(docs, x) for x in ("kept_text", "n_words", "n_removed", "removed")]
+    with Scratch(docs.sparkSession) as scope:
+        found = repeats(docs, scope, id_col, text_col, window)
+    added = free_names(docs, "kept_text", "n_words", "n_removed", "removed")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.StringType(), T.LongType(), T.LongType(), spans))])
     names, width, column = schema.names, len(docs.columns), docs.columns.index(text_col)
@@ -267,5 +278,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     texts.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([*block.columns[:width], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span)], names=names)
 
-    own = docs.withColumns({"_id": id_key(F.col(id_col)), "_key": text_key(F.col(text_col))}).join(found, ["_id", "_key"], "left")
-    return own.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("places")).mapInArrow(run, schema)
+    names_ = free_names(docs, "_id", "_key", "_places")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select("*", *row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *names_[:2]))
+    found_ = found.toDF(*names_)
+    few = _few(found, names_[:2])
+    if few is None:
+        return keyed.join(found_, names_[:2], "left").select(*own, F.col(names_[2])).mapInArrow(run, schema)
+    # texts without a repeat stay where they are
+    some = keyed.join(few, names_[:2], "left_semi").join(found_, names_[:2]).select(*own, F.col(names_[2]))
+    rest = keyed.join(few, names_[:2], "left_anti").select(*own, F.lit(None).cast("array<binary>").alias(names_[2]))
+    return some.union(rest).mapInArrow(run, schema)

@@ -1,18 +1,19 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are the rows whose id is divisible by ``every``; candidates are all rows. Both sides are
-dealt into a grid: a query block meets each shard of candidates in one cell, and a cell is a
-bounded matrix product (``block`` queries by ``shard`` candidates), taken in tiles of which each
-keeps its best k of every query. The partial lists are merged as a tree: first within groups of
-shards, then per query. The grid grows with the table, the cells don't; nothing is broadcast.
+Queries are the rows whose id is divisible by ``every``; candidates are all rows. Queries are taken in
+blocks of a bounded size (``block_bytes``), each of which is broadcast; candidates stay where they are: a task reads its
+shard of them in tiles, takes the matrix product of each tile and the block, keeps the best k of the tile for
+every query (partial selection), and merges them into its running lists. The lists are then merged as a tree: first
+within groups of shards, then per query. More queries are more blocks; nothing that is broadcast or held grows with the table.
 
 Components x become floor(256 x), x as double; products of integers are exact (double precision
 while all sums stay under 2**53, Python integers beyond; scores are held to 64 bits).
 
-Defined results: vectors that are null or hold a null or non-finite component, and null ids,
+Defined results: ids are integers; vectors that are null or hold a null or non-finite component, and null ids,
 take no part; a shorter vector counts as padded with zeros; ties go to the smaller id; a
 query's own id is no candidate; rows that repeat id and vector count once; rows that share an
-id but not the vector are searched together as that id; an empty table gives no rows.
+id but not the vector are searched together as that id, and one score of theirs counts once; only the columns named
+below are returned, so other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
+#: Groups of shards whose lists are merged first.
+GROUP = 16
+
 
 def quantised(column: pa.Array) -> np.ndarray:
     """floor(256 x) of the vectors as a matrix of doubles, padded with zeros."""
@@ -82,34 +88,60 @@ def best_of_tile(query_ids, queries, ids, rows, k: int, tile: int = 256):
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, shard: int = 16384) -> DataFrame:
+def _pruned(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The k best distinct (candidate, score) of each query."""
+    order = np.lexsort((ids, np.invert(scores), query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    query, ids, scores = query[new], ids[new], scores[new]
+    first = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[rank < k], ids[rank < k], scores[rank < k]
+
+
+def _search(own: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, tile: int) -> DataFrame:
+    """query_id, id, score and shard: the k best of each shard of candidates for a block of queries."""
+    shared = own.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        asked, queries = shared.value
+        best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for batch in batches:
+            for at in range(0, len(batch), tile):
+                part = batch.slice(at, tile)
+                ids, rows = _once(part.column(0).to_numpy(), quantised(part.column(1)))
+                found = best_of_tile(asked, queries, ids, rows, k)
+                best = _pruned(*(np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(best, found)), k)
+        shard = TaskContext.get().partitionId()
+        for at in range(0, len(best[0]), 50_000):
+            query, ids, scores = (x[at : at + 50_000] for x in best)
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores), pa.array(np.full(len(query), shard, np.int32))], names=["query_id", "id", "score", "shard"])
+
+    return own.mapInArrow(run, "query_id long, id long, score long, shard int")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 32 << 20, tile: int = 4096) -> DataFrame:
     """``query_id``, ``rank``, id and ``score`` of the k best candidates of each query."""
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     own = own.where(F.forall("v", lambda x: fine(x.cast("double"))))
-    n = vectors.count()
-    n_blocks, n_shards = max(1, -(-n // every // block)), max(8, -(-n // shard))
-    line = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = own.select(line(n_blocks).alias("r"), F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("c"), F.lit(False).alias("query"), "id", "v")
-    queries = own.where(F.col("id") % every == 0).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("r"), line(n_shards).alias("c"), F.lit(True).alias("query"), "id", "v")
-
-    def cell(table: pa.Table) -> pa.Table:
-        asks = table.column("query")
-        sides = []
-        for part in (table.filter(asks), table.filter(pa.compute.invert(asks))):
-            part = part.combine_chunks()
-            ids = part.column("id").to_numpy()
-            vectors_ = part.column("v").combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float64()))
+    with Scratch(vectors.sparkSession) as run:
+        queries = run.table(own.where(F.col("id") % every == 0), "queries")
+        n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+        n_blocks = max(1, -(-n * (8 * width + 16) // block_bytes))
+        partial = None
+        for b in range(n_blocks):
+            table = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()  # about block_bytes
+            vectors_ = table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
             vectors_ = pa.concat_arrays(vectors_.chunks) if isinstance(vectors_, pa.ChunkedArray) else vectors_
-            sides += _once(ids, quantised(vectors_))
-        q, v, s = best_of_tile(*sides, k)
-        shard_ = table.column("c")[0].as_py()
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64()), "c": pa.array([shard_] * len(q), pa.int32())})
-
-    partial = candidates.unionByName(queries).groupBy("r", "c").applyInArrow(cell, "query_id long, id long, score long, c int")
-    group = max(2, int(n_shards**0.5))
+            block = _once(table.column("id").to_numpy(), quantised(vectors_))
+            found = run.keep(_search(own, block, k, tile), "lists")
+            partial = found if partial is None else partial.union(found)
     best = [F.col("score").desc(), F.col("id")]
-    inner = partial.dropDuplicates(["query_id", "id", "score"]).withColumn("g", F.col("c") % group)
+    inner = partial.dropDuplicates(["query_id", "id", "score"]).withColumn("g", F.col("shard") % GROUP)
     inner = inner.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "g").orderBy(*best))).where(F.col("n") <= k)
     ranked = inner.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -1,14 +1,15 @@
 """Toxicity by maximum-scoring segments.
 
-1. *Counts.* Tokens (runs of ASCII letters and digits and of bytes beyond ASCII, A-Z as a-z) and
-   their beginnings of a few bytes (words of one stem share them) are hashed into ``2**TOKEN_BITS`` buckets, a fixed size whatever the vocabulary. For each bucket:
-   in how many documents it occurs, of all documents (the prior), of labelled toxic and of
-   labelled clean ones, and a 64-bit map of the contexts (neighbouring tokens) in which toxic
-   documents have it. A token that owes its toxic counts to copies of one text has few contexts;
-   its count is held to their estimated number (linear counting).
+1. *Counts.* Features are tokens (runs of ASCII letters and digits and of bytes beyond ASCII, A-Z as
+   a-z) and their beginnings of a few bytes (words of one stem share them), known by 64-bit hashes. Of
+   the labelled rows a distributed table counts, for each feature and each of two folds, the toxic
+   and the clean documents that have it, and a 64-bit map of the contexts (neighbouring tokens) in which
+   toxic documents have it. A token that owes its toxic counts to copies of one text has few
+   contexts; its count is held to their estimated number (linear counting). The background is counted over
+   all documents, for the features that can be significant.
 2. *Log-odds with a Dirichlet prior* (Monroe, Colaresi and Quinn, 2008): the prior's pseudo-counts
-   follow all documents. A feature scores its log-odds if the signed root of its likelihood ratio,
-   which holds for counts of zero too, reaches ``LEAST_Z``; a token scores as its best feature
+   follow the occurrences in all documents. A feature scores its log-odds if the signed root of its likelihood
+   ratio, which holds for counts of zero too, reaches ``LEAST_Z``; a token scores as its best feature
    does, and ``-DRIFT`` where it has none.
 3. *Segments.* The all-maximal-segments scan of Ruzzo and Tompa finds every passage of maximal
    score in linear time.
@@ -17,17 +18,20 @@
    K m exp(-lambda S) is the expected number of segments of score S by chance in m tokens. A
    segment is significant if that is under ``MOST_EXPECTED``; the document's own evidence is
    the sum of its significant segments beyond chance.
-5. *Calibration* of the evidence to a probability: monotone regression on ``BINS`` bins of all
-   training rows, scaled so that 0.7 is the cut of best F1.
+5. *Calibration* of the evidence to a probability: monotone regression on ``BINS`` bins, scaled so
+   that 0.7 is the cut of best F1. K and the calibration are cross-fitted: a training row is scored
+   by the log-odds of the other fold, any other row by those of both.
 
 Labels are used of at most ``most_labels`` rows (those of the smallest id hashes), which bounds
-what is broadcast; everything else covers all documents. What reaches the driver is bounded by
-the buckets. Text is never shuffled: two passes over it, each row-local.
+what is broadcast; everything else covers all documents. What reaches the driver and is broadcast are
+the significant features, bounded by the labelled rows. Text is never shuffled: three row-local passes, one
+of them over labelled rows alone.
 
 Defined results: null counts as the empty text; texts without significant segment score low, as
 such training rows do; ids with several labels are toxic if one says so, null labels don't
-count; with no toxic or no clean training row all scores are 0; repeated rows get equal
-results; an empty table gives an empty table.
+count; with no toxic or no clean training row in a fold all scores are 0; repeated rows get equal
+results; an empty table gives an empty table. Only the id and the columns named below are returned, so
+other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _BASE_INV, Words, mix, powers, scratch, slices, text_bytes
+from .common import _BASE_INV, Scratch, Words, mapped, mix, powers, slices
 
-TOKEN_BITS = 20
 #: Words of one stem share their beginnings.
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 500.0
@@ -58,27 +62,33 @@ _FOLD[128:] = np.arange(128, 256)
 
 class Tokens(Words):
     def __init__(self, texts: pa.Array):
-        data, at = text_bytes(texts)
-        offsets = pa.py_buffer(np.ascontiguousarray(at, np.int64))
-        super().__init__(pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, offsets, pa.py_buffer(_FOLD[data])]))
+        super().__init__(mapped(texts, _FOLD))
 
-    def features(self) -> list[np.ndarray]:
-        """Buckets of each token, and of its beginnings of PREFIXES bytes (-1: it is shorter)."""
-        sums, size = self.sums(), np.uint64((1 << TOKEN_BITS) - 1)
+    def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of the tokens, then of their beginnings of PREFIXES bytes, each with the numbers of the
+        tokens that have one."""
+        sums = self.sums()
         back = powers(_BASE_INV, len(self.data) + 1)[self.start]
-        out = [(mix((sums[self.end] - sums[self.start]) * back) & size).astype(np.int64)]
+        out = [(mix((sums[self.end] - sums[self.start]) * back), np.arange(len(self.start)))]
         for n in PREFIXES:  # a feature of its own, also where it is all of the token
-            long = self.end - self.start >= n
-            h = mix((sums[np.minimum(self.start + n, len(self.data))] - sums[self.start]) * back, n)
-            out.append(np.where(long, (h & size).astype(np.int64), -1))
+            own = np.flatnonzero(self.end - self.start >= n)
+            out.append((mix((sums[self.start[own] + n] - sums[self.start[own]]) * back[own], n), own))
         return out
 
-    def scores(self, table: np.ndarray) -> np.ndarray:
-        """Each token's score: the largest of its features'."""
-        out = np.full(len(self.start), -DRIFT, np.float32)
-        for bucket in self.features():
-            np.maximum(out, np.where(bucket >= 0, table[bucket], -DRIFT), out=out)
-        return out
+
+class Lookup:
+    """Places of hashes in a sorted table; most are ruled out by 20 of their bits."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.bits = table, np.zeros(1 << 20, bool)
+        self.bits[table & np.uint64((1 << 20) - 1)] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their places."""
+        own = np.flatnonzero(self.bits[hashes & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.table, hashes[own]), max(len(self.table) - 1, 0))
+        good = self.table[at] == hashes[own] if len(self.table) else np.zeros(0, bool)
+        return own[good], at[good]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,36 +96,83 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    size = 1 << TOKEN_BITS
+_COUNTS = ("feature", "toxic_0", "toxic_1", "clean_0", "clean_1", "contexts_0", "contexts_1")
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """Documents by feature, label and fold, of rows (text, label, fold)."""
+
+    def combined(parts):
+        feature, kind, bits = (np.concatenate(x) for x in zip(*parts))
+        distinct, which = np.unique(feature, return_inverse=True)
+        count = np.bincount(which * 4 + kind, minlength=4 * len(distinct)).reshape(-1, 4)  # clean 0, clean 1, toxic 0, toxic 1
+        maps = np.zeros((len(distinct), 2), np.uint64)
+        some = np.flatnonzero(bits)
+        np.bitwise_or.at(maps, (which[some], kind[some] & 1), bits[some])
+        for at in range(0, len(distinct), 50_000):
+            own = slice(at, at + 50_000)
+            columns = [distinct[own].view(np.int64), count[own, 2], count[own, 3], count[own, 0], count[own, 1], maps[own, 0].view(np.int64), maps[own, 1].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=list(_COUNTS))
 
     def run(batches):
-        every, toxic, clean = (np.zeros(size, np.int64) for _ in range(3))
-        contexts = np.zeros(size, np.uint64)
+        parts, held = [], 0
         for batch in batches:
             for block in slices(batch, 1 << 20, 0):
                 words = Tokens(block.column(0))
-                h = words.hashes()
                 row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-                label = np.asarray(block.column(1).fill_null(-1))[row]
-                side = np.zeros(len(h), np.uint64)
+                kind = np.asarray(block.column(1)).astype(np.int64) * 2 + np.asarray(block.column(2))
+                h, side = words.hashes(), np.zeros(len(row), np.uint64)
                 side[1:] ^= mix(h[:-1], 1)
                 side[:-1] ^= mix(h[1:], 2)
-                for bucket in words.features():
-                    once = np.unique(((row << TOKEN_BITS) | bucket)[bucket >= 0])
-                    kind, own = np.asarray(block.column(1).fill_null(-1))[once >> TOKEN_BITS], once & (size - 1)
-                    every += np.bincount(own, minlength=size)
-                    toxic += np.bincount(own[kind == 1], minlength=size)
-                    clean += np.bincount(own[kind == 0], minlength=size)
-                    at = np.flatnonzero((label == 1) & (bucket >= 0))
-                    np.bitwise_or.at(contexts, bucket[at], np.uint64(1) << (side[at] & np.uint64(63)))
-        some = np.flatnonzero(every)
-        for at in range(0, len(some), 50_000):
-            own = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(every[own]), pa.array(toxic[own]), pa.array(clean[own]), pa.array(contexts[own].view(np.int64))], names=["bucket", "every", "toxic", "clean", "contexts"])
-
-    parts = docs.mapInArrow(run, "bucket int, every long, toxic long, clean long, contexts long")
-    return parts.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("every", "toxic", "clean")], F.bit_or("contexts").alias("contexts"))
+                bit = np.uint64(1) << (side & np.uint64(63))
+                for feature, token in words.features():
+                    at = row[token]
+                    order = np.lexsort((feature, at))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (at[order][1:] != at[order][:-1]) | (feature[order][1:] != feature[order][:-1])
+                    first = np.flatnonzero(new)
+                    if len(first):
+                        own = order[first]
+                        maps = np.bitwise_or.reduceat(bit[token[order]], first) * (kind[at[own]] >= 2).astype(np.uint64)
+                        parts.append((feature[own], kind[at[own]], maps))
+                        held += len(own)
+                if held > 4_000_000:
+                    yield from combined(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from combined(parts)
+
+    found = labelled.mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTS))
+    return found.groupBy("feature").agg(*[F.sum(x).alias(x) for x in _COUNTS[1:5]], *[F.bit_or(x).alias(x) for x in _COUNTS[5:]])
+
+
+#: The folds that a model learns from: both, or the one that a training row is not in.
+MODELS = ((0, 1), (1,), (0,))
+
+
+def _sides(table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Toxic and clean counts of each model; toxic ones held to their estimated contexts."""
+    column = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+    out = []
+    for folds in MODELS:
+        toxic, clean = (sum(column(f"{side}_{f}") for f in folds) for side in ("toxic", "clean"))
+        bits = np.bitwise_count(np.bitwise_or.reduce([column(f"contexts_{f}").view(np.uint64) for f in folds])).astype(float)
+        estimate = np.where(bits < 60, -64 * np.log1p(-np.minimum(bits, 63) / 64), np.inf)
+        out.append((np.minimum(toxic, estimate), clean.astype(float)))
+    return out
+
+
+def _totals(counts: DataFrame) -> list[tuple[float, float]]:
+    """Sums of both sides, by model."""
+
+    def run(batches):
+        for batch in batches:
+            sums = [float(x.sum()) for side in _sides(batch) for x in side]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"s{i}" for i in range(len(sums))])
+
+    names = [f"s{i}" for i in range(2 * len(MODELS))]
+    row = counts.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*[F.coalesce(F.sum(F.round(n, 6).cast("decimal(30,6)")), F.lit(0)).cast("double").alias(n) for n in names]).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(MODELS))]
 
 
 def significance(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -133,31 +190,72 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: np.ndarray, n1: float,
 
 
 class Model:
-    """Token scores and the parameters of the extreme-value law."""
+    """Feature scores and lambda of each of MODELS."""
 
-    def __init__(self, counts: DataFrame):
-        table = counts.toArrow()  # at most 2**TOKEN_BITS rows
-        bucket, every, toxic, clean = (table.column(x).to_numpy() for x in ("bucket", "every", "toxic", "clean"))
-        bits = np.bitwise_count(table.column("contexts").to_numpy().view(np.uint64)).astype(float)
-        estimate = np.where(bits < 60, -64 * np.log1p(-np.minimum(bits, 63) / 64), np.inf)
-        toxic = np.minimum(toxic, estimate)
-        n1, n0, prior = toxic.sum(), clean.sum(), PRIOR * every / max(every.sum(), 1)
-        self.scores = np.full(1 << TOKEN_BITS, -DRIFT, np.float32)
-        self.trained = bool(len(bucket)) and n1 > 0 and n0 > 0
-        self.scale = self.chance = 0.0
+    def __init__(self, counts: DataFrame, docs: DataFrame, text_col: str):
+        totals = _totals(counts)
+        self.trained = all(n1 > 0 and n0 > 0 for n1, n0 in totals)
+        self.features, self.scores, self.scales = np.zeros(0, np.uint64), np.zeros((len(MODELS), 0), np.float32), [0.0] * len(MODELS)
         if not self.trained:
             return
-        a, b = toxic + prior, clean + prior
-        odds = log_odds(toxic, clean, prior, n1, n0)
-        good = (significance(toxic, clean, n1, n0) >= LEAST_Z) & (odds > 0)
-        self.scores[bucket[good]] = odds[good]
-        share = b / b.sum()
-        s = self.scores[bucket].astype(float)
-        low, high = 1e-6, 50.0
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if (share * np.exp(np.minimum(mid * s, 700))).sum() < 1 else (low, mid)
-        self.scale = low
+
+        def sure(batches):
+            for batch in batches:
+                z = [significance(t, c, n1, n0) for (t, c), (n1, n0) in zip(_sides(batch), totals)]
+                yield batch.filter(pa.array(np.max(z, axis=0) >= LEAST_Z))
+
+        table = counts.mapInArrow(sure, counts.schema).toArrow().sort_by("feature").combine_chunks()  # bounded by the labelled rows
+        feature = table.column("feature").to_numpy().view(np.uint64)
+        order = np.argsort(feature)
+        self.features = feature[order]
+        every, total = _background(docs, text_col, self.features)
+        scores = []
+        for (toxic, clean), (n1, n0) in zip(_sides(table), totals):
+            toxic, clean, prior = toxic[order], clean[order], PRIOR * every / max(total, 1)
+            odds = log_odds(toxic, clean, prior, n1, n0)
+            good = (significance(toxic, clean, n1, n0) >= LEAST_Z) & (odds > 0)
+            scores.append(np.where(good, odds, -DRIFT))
+        self.scores = np.array(scores, np.float32)
+        for m, ((_, clean), (_, n0)) in enumerate(zip(_sides(table), totals)):
+            b = clean[order] + PRIOR * every / max(total, 1)
+            self.scales[m] = karlin_lambda(b, self.scores[m].astype(float), n0 + PRIOR)
+
+
+def karlin_lambda(mass: np.ndarray, scores: np.ndarray, total: float) -> float:
+    """lambda > 0 with sum p exp(lambda s) = 1, where features of score -DRIFT hold what ``mass`` leaves of ``total``."""
+    up = scores > 0
+    share, s, rest = mass[up] / total, scores[up], 1 - mass[up].sum() / total
+    low, high = 1e-6, 50.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        value = (share * np.exp(np.minimum(mid * s, 700))).sum() + rest * np.exp(-mid * DRIFT)
+        low, high = (mid, high) if value < 1 else (low, mid)
+    return low
+
+
+def _background(docs: DataFrame, text_col: str, features: np.ndarray) -> tuple[np.ndarray, int]:
+    """Occurrences of the features in all documents, and of all features."""
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def run(batches):
+        find = Lookup(shared.value)
+        seen, total = np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            for block in slices(batch, 1 << 20, 0):
+                for feature, _ in Tokens(block.column(0)).features():
+                    total += len(feature)
+                    seen += np.bincount(find(feature)[1], minlength=len(seen))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], total))], names=["at", "n"])
+
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    every, total = np.zeros(len(features)), 0
+    for at, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist()):
+        if at < 0:
+            total = n
+        else:
+            every[at] = n
+    return every, total
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -184,24 +282,34 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(y - x)) for a, b, x, y, _ in found]
 
 
-def _segments(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, label, held_out, ``n_tokens``, ``best`` and ``segments``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.scores)
-    kind = "array<struct<first:int,end:int,score:double>>"
+def _segments(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row (id, label, held_out, fold, text): id, label, held_out, ``n_tokens`` and ``segments``, whose scores
+    are in units of 1 / lambda."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.scores, model.scales))
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    names = [id_col, "label", "held_out", "n_tokens", "segments"]
+    kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([*docs.schema.fields[:3], T.StructField("n_tokens", T.LongType()), T.StructField("segments", kind)])
+    names = schema.names
 
     def run(batches):
-        scores = shared.value
+        features, scores, scales = shared.value
+        find = Lookup(features)
         for batch in batches:
-            for block in slices(batch, 1 << 20, 3):
-                words = Tokens(block.column(3))
-                own = words.scores(scores)
-                found = [[{"first": a, "end": b, "score": s} for a, b, s in maximal_segments(own[i:j])] for i, j in zip(words.first, words.first[1:])]
+            for block in slices(batch, 1 << 20, 4):
+                words = Tokens(block.column(4))
+                fold = block.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+                own = np.full(len(row), -DRIFT, np.float32)
+                for hashes, token in words.features():
+                    which, at = find(hashes)
+                    which = token[which]
+                    own[which] = np.maximum(own[which], scores[fold[row[which]] + 1, at])
+                found = []
+                for i, j, f in zip(words.first.tolist(), words.first[1:].tolist(), fold.tolist()):
+                    found.append([{"first": a, "end": b, "score": s * scales[f + 1]} for a, b, s in maximal_segments(own[i:j])])
                 yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array(np.diff(words.first).astype(np.int64)), pa.array(found, span)], names=names)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "label", "held_out", text_col).mapInArrow(run, f"`{id_col}` {id_type}, label int, held_out boolean, n_tokens long, segments {kind}")
+    return docs.mapInArrow(run, schema)
 
 
 def _monotone(good: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -235,24 +343,27 @@ def _calibrated(rows: list) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labels: int = 200_000) -> DataFrame:
     """Per row of ``docs``: id, ``held_out``, ``score``, ``predicted`` and ``passages``, its significant
-    segments (first token, end token, score, expected number by chance)."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("_known")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    known = scratch(known.orderBy(F.xxhash64("_known"), "_known").limit(most_labels), "labels")
-    own = docs.select(id_col, text_col, held_out(F.col(id_col)).alias("held_out")).join(F.broadcast(known), F.col(id_col) == F.col("_known"), "left")  # bound: most_labels rows
-    model = Model(scratch(_counts(own.select(text_col, "label")), "counts"))
-    rows = scratch(_segments(own, model, id_col, text_col), "segments")
-    scale, m = F.lit(model.scale), F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
+    segments (first token, end token, score in units of 1 / lambda, expected number by chance)."""
+    with Scratch(docs.sparkSession) as run:
+        known = labels.select(F.col(f"`{id_col}`").alias("known"), F.col(f"`{label_col}`").cast("int").alias("label")).where("known is not null and label is not null").where(~held_out(F.col("known")))
+        known = known.groupBy("known").agg(F.max("label").alias("label"))
+        known = run.table(known.orderBy(F.xxhash64("known"), "known").limit(most_labels).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "known"), F.lit(2)).cast("int")), "labels")
+        own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), F.col("id") == F.col("known"), "left")  # bound: most_labels rows
+        labelled = own.where("label is not null").select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "fold")
+        model = Model(run.table(_counts(labelled), "counts"), docs, text_col)
+        rows = run.keep(_segments(own.select("id", "label", held_out(F.col("id")).alias("held_out"), "fold", "text"), model), "segments")
+    m = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
     best = F.coalesce(F.array_max(F.transform("segments", lambda x: x["score"])), F.lit(0.0))
-    mean = rows.where("label = 0 and size(segments) > 0").agg(F.avg(best * scale - F.log(m))).first()[0]
+    mean = rows.where("label = 0 and size(segments) > 0").agg(F.avg(best - F.log(m))).first()[0]
     chance = F.lit((mean if mean is not None else 0.0) - 0.5772156649)  # ln K; Euler's constant is the mean of the standard law
-    expected = lambda s: F.exp(chance + F.log(m) - s * scale)
+    expected = lambda s: F.exp(chance + F.log(m) - s)
     passages = F.filter(F.transform("segments", lambda x: F.struct(x["first"].alias("first"), x["end"].alias("end"), x["score"].alias("score"), expected(x["score"]).alias("expected"))), lambda x: x["expected"] < MOST_EXPECTED)
-    beyond = F.aggregate("segments", F.lit(0.0), lambda a, x: a + F.greatest(x["score"] * scale - F.log(F.lit(1 / MOST_EXPECTED)), F.lit(0.0)))
-    evidence = F.when(best > 0, F.log1p(beyond) + F.log1p(best * scale)).otherwise(0.0)
+    beyond = F.aggregate("segments", F.lit(0.0), lambda a, x: a + F.greatest(x["score"] - F.log(F.lit(1 / MOST_EXPECTED)), F.lit(0.0)))
+    evidence = F.when(best > 0, F.log1p(beyond) + F.log1p(best)).otherwise(0.0)
     rows = rows.withColumn("bin", F.least(F.floor(evidence * (BINS / 16)), F.lit(BINS)).cast("int"))
-    table = rows.where("label is not null and not held_out").groupBy("bin", "label").count().collect()  # at most 2 (BINS + 1) rows
+    table = rows.where("label is not null and not held_out").groupBy("bin", F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).count().collect()  # at most 2 (BINS + 1) rows
     rate = _calibrated([tuple(r) for r in table]) if model.trained else np.zeros(BINS + 1)
     inner = evidence * (BINS / 16) - F.floor(evidence * (BINS / 16))
     score = F.when(F.lit(bool(rate.any())), F.least(F.get(F.array(*[F.lit(float(x)) for x in rate]), F.col("bin")) + inner * 1e-5 * 0.5, F.lit(1.0))).otherwise(0.0)
-    return rows.select(id_col, "held_out", score.alias("score"), passages.alias("passages")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    found = rows.select(F.col("id").alias(id_col), "held_out", score.alias("score"), passages.alias("passages"))
+    return found.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
