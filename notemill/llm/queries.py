@@ -155,6 +155,30 @@ _OP8_SQL = """
       s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
+def _op3_sql() -> str:
+    """Windows turn by turn: spans from running sums, and for each span its history and system turn."""
+    from . import chat as C
+
+    said = "</s>[INST] ok [/INST]"
+    text = lambda p: "'" + p.replace("'", "''") + "'"
+    marks = "|".join(x[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for x in C.CONTROL)
+    escape = lambda c: f"regexp_replace(replace({c}, '\\', '\\\\'), {text(r'([<' + chr(92) + '[])(' + marks + ')')}, {text(chr(92) + '1' + chr(92) * 2 + chr(92) + '2')}, 'g')"
+    return f"""
+    WITH t AS (SELECT conv_id AS c, turn AS t, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations UNION ALL SELECT -7, 0, 'user', {text(said)} UNION ALL SELECT -7, 1, 'assistant', {text(said)}),
+      s AS (SELECT *, length({text(C.START)}) + length(replace({escape("role")}, chr(10), chr(92) || chr(10))) + 1 + length({escape("x")}) + {len(C.END)} AS size FROM t),
+      n AS (SELECT *, CAST(ceil(size / 4) AS BIGINT) AS n FROM s),
+      a AS (SELECT *, row_number() OVER w - 1 AS k, sum(n) OVER w AS after FROM n WINDOW w AS (PARTITION BY c ORDER BY t NULLS FIRST, role, x ROWS UNBOUNDED PRECEDING)),
+      y AS (SELECT c AS yc, min(k) AS sk, arg_min(n, k) AS sn, arg_min(size, k) AS ssize FROM a WHERE role = 'system' GROUP BY c),
+      r AS (SELECT a.*, sk, ssize, after - n AS before, greatest(2048 - 512 - coalesce(sn, 0), 1) AS room FROM a LEFT JOIN y ON c IS NOT DISTINCT FROM yc),
+      p AS (SELECT *, 2 * floor(before / room) + CASE WHEN floor(before / room) = floor((after - 1) / room) THEN 0 ELSE 1 END AS span FROM r),
+      b AS (SELECT c AS bc, span AS bspan, min(before) AS s0, min(k) AS k0, any_value(sk) AS bsk, any_value(ssize) AS bsize FROM p GROUP BY ALL),
+      m AS (SELECT c, span, size FROM p UNION ALL SELECT bc, bspan, bsize FROM b WHERE k0 > bsk
+        UNION ALL SELECT c, bspan, size FROM p JOIN b ON c IS NOT DISTINCT FROM bc AND after <= s0 AND before >= s0 - 512 AND n <= 512 AND k IS DISTINCT FROM sk),
+      f AS (SELECT c AS fc, CAST(sum(size) AS BIGINT) AS formatted_chars, count(DISTINCT span) AS n_windows FROM m GROUP BY c),
+      d AS (SELECT c, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(string_agg(x, '' ORDER BY k) FILTER (role = 'assistant'), '') AS learnt FROM a GROUP BY c)
+    SELECT c AS conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars, n_windows FROM d JOIN f ON c IS NOT DISTINCT FROM fc"""
+
+
 #: Words and repeated windows of 35 words, each known by its own text; windows are judged on the input.
 _OP2_SQL = """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -165,4 +189,4 @@ _OP2_SQL = """
     SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
 
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op2_substring": _OP2_SQL, "op8_topk": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op2_substring": _OP2_SQL, "op3_chat": _op3_sql(), "op8_topk": _OP8_SQL}
