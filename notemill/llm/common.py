@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -151,6 +152,13 @@ def by_bucket(df: DataFrame, n_buckets: int, column: str = "bucket", each: int =
     return df.repartition(max(1, -(-n_buckets // each)), column)
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _generator(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=np.uint64)
 
@@ -171,7 +179,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[int(base)] = have
     return have[:n]
 

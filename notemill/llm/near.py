@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Words, by_bucket, free_names, id_order, lowered, mix, powers, rolling, row_key, slices, small
+from .common import Scratch, Words, by_bucket, free_names, id_order, lowered, mix, powers, rolling, row_key, slices, small, tidy
 from .common import _BASE, _BASE_INV
 from .graph import components
 from .simhash import code_bits
@@ -95,24 +95,34 @@ def soft_indices(margins: np.ndarray) -> np.ndarray:
     """The NEAREST codeword indices of each segment of each row: (rows, SEGMENTS, NEAREST)."""
     if not _code:
         _code.append(code_bits().astype(np.float32).T * 2 - 1)
-    near = margins.reshape(-1, 23).astype(np.float32) @ _code[0]
-    out = np.empty((len(near), NEAREST), np.uint16)
-    each = np.arange(len(near))
-    for k in range(NEAREST):
-        out[:, k] = best = near.argmax(axis=1)
-        near[each, best] = -np.inf
+    segments = margins.reshape(-1, 23)
+    out = np.empty((len(segments), NEAREST), np.uint16)
+    for at in range(0, len(segments), 512):  # 8 MB at a time
+        near = segments[at : at + 512].astype(np.float32) @ _code[0]
+        each = np.arange(len(near))
+        for k in range(NEAREST):
+            out[at : at + 512, k] = best = near.argmax(axis=1)
+            near[each, best] = -np.inf
     return out.reshape(len(margins), SEGMENTS, NEAREST)
 
 
-def _prints(margins: np.ndarray) -> np.ndarray:
-    """Two 64-bit words of signs a row."""
+_SIGNS, _SIZE = np.uint64((1 << BITS - 64) - 1), np.uint64(BITS - 64)
+
+
+def _prints(margins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit words a row: the signs, and in the bits that they leave the size of the set in steps of a 20th."""
     bits = np.zeros((len(margins), 128), np.uint8)
     bits[:, :BITS] = margins > 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    words[:, 1] |= (np.log(np.maximum(sizes, 1)) / np.log(1.05)).astype(np.uint64) << _SIZE
+    return words
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16) + np.bitwise_count(x[..., 1] ^ y[..., 1])
+    """Differing bits; 1000 more where the sizes alone rule a similarity of LEAST out (a step of slack included)."""
+    signs = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16) + np.bitwise_count((x[..., 1] ^ y[..., 1]) & _SIGNS)
+    away = np.abs((x[..., 1] >> _SIZE).astype(np.int16) - (y[..., 1] >> _SIZE).astype(np.int16))
+    return signs + 1000 * (away > 6).astype(np.int16)
 
 
 def _pairs_of(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +191,17 @@ def candidates(keys: np.ndarray, entry: np.ndarray, nodes: np.ndarray, prints: n
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """isnull, id, _id, _key, node and margins of each row."""
+    """isnull, id, _id, _key, node, the number n of its shingles and margins of each row."""
     own = docs.select(F.col(f"`{id_col}`").isNull().alias("isnull"), F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([*own.schema.fields[:4], T.StructField("node", T.LongType()), T.StructField("margins", T.BinaryType())])
+    schema = T.StructType([*own.schema.fields[:4], T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("margins", T.BinaryType())])
     names = schema.names
 
     def run(batches):
         for batch in batches:
             for block in slices(batch, 1 << 20, 4):
                 sets = Sets(block.column(4), shingle)
-                yield pa.RecordBatch.from_arrays([*block.columns[:4], pa.array(sets.node.view(np.int64)), pa.array(sets.margins(), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*block.columns[:4], pa.array(sets.node.view(np.int64)), pa.array(np.diff(sets.first_).astype(np.int32)), pa.array(sets.margins(), pa.binary())], names=names)
+        tidy()
 
     return own.mapInArrow(run, schema)
 
@@ -204,7 +215,7 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
                 part = batch.slice(at, 2048)
                 margins = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, BITS)
                 node = part.column(0).to_numpy()
-                index, prints = soft_indices(margins), _prints(margins)
+                index, prints = soft_indices(margins), _prints(margins, part.column(2).to_numpy())
                 group, row, second = [], [], []
                 for p, (x, y) in enumerate(_PAIRS):
                     for k in range(NEAREST):
@@ -219,7 +230,7 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
                 parts = [(group[a:b].astype("<u4").tobytes(), second[a:b].tobytes(), node[row[a:b]].tobytes(), prints[row[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *[pa.array(x, pa.binary()) for x in zip(*parts)]], names=["bucket", "groups", "seconds", "nodes", "prints"])
 
-    return nodes.select("node", "margins").mapInArrow(run, "bucket int, groups binary, seconds binary, nodes binary, prints binary")
+    return nodes.select("node", "margins", "n").mapInArrow(run, "bucket int, groups binary, seconds binary, nodes binary, prints binary")
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -271,35 +282,21 @@ def _next(begin: int, end: int):
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n_wanted: int, shingle: int) -> DataFrame:
-    """node and packed set of the rows ``wanted`` (_id, _key)."""
+    """node and set of the rows ``wanted`` (_id, _key)."""
     own = docs.select(*row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text")).join(small(wanted, n_wanted), ["_id", "_key"], "left_semi")
 
     def run(batches):
         for batch in batches:
             for block in slices(batch, 1 << 20, 0):
                 sets = Sets(block.column(0), shingle)
-                first = sets.first_.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node.view(np.int64)), pa.array([sets.hashes_[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["node", "set"])
-
-    return own.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node.view(np.int64)), pa.ListArray.from_arrays(pa.array(sets.first_.astype(np.int32)), pa.array(sets.hashes_.view(np.int64)))], names=["node", "set"])
+        tidy()
 
-def _similar(least: float):
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                keep = []
-                for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                    few, many = sorted((len(x), len(y)))
-                    shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if few >= least * many else 0
-                    keep.append(shared >= least * ((few + many) // 8 - shared) - 1e-9)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+    return own.select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str, text_col: str, shingle: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
-    """``node`` and ``root`` of the nodes (node, _id, _key, margins) that are linked to another."""
+    """``node`` and ``root`` of the nodes (node, _id, _key, n, margins) that are linked to another."""
     worded = nodes.where("margins is not null")
     n = worded.count()
     n_buckets = max(64, n * 30 // 400_000)
@@ -312,7 +309,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str,
     links, first, begin, size = None, None, 0, FIRST
     while True:
         both = pairs.where("a < b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        new = run.table(both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long"), "links")
+        shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+        new = run.table(shared.where(F.col("n") >= (F.col("m") - F.col("n")) * least - 1e-9).select("a", "b"), "links")
         if links is None or not new.isEmpty():
             links = new if links is None else links.union(new)
             roots = components(links, run)
@@ -327,12 +325,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str,
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates."""
+    """``docs`` with one row of each group of near-duplicates of a similarity of ``least`` (0.8 or more, which the number
+    of bits allows for)."""
+    if least < LEAST:
+        raise ValueError(f"least must be {LEAST} or more")
     spark = docs.sparkSession
     with Scratch(spark) as run:
         rows = run.table(_rows(docs, id_col, text_col, shingle), "rows")
         order = F.struct("isnull", "id", "_id", "_key")
-        nodes = run.table(rows.groupBy("node").agg(F.min(order).alias("k"), F.first("margins").alias("margins")).select("node", "k", "k._id", "k._key", "margins"), "nodes")
+        nodes = run.table(rows.groupBy("node").agg(F.min(order).alias("k"), F.first("n").alias("n"), F.first("margins").alias("margins")).select("node", "k", "k._id", "k._key", "n", "margins"), "nodes")
         roots = similar_links(docs, nodes, run, id_col, text_col, shingle, least)
         rooted = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
         kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select("k._id", "k._key")

@@ -83,16 +83,23 @@ MENU = (
     "startseite", "menü", "kontakt", "anmelden", "suche", "weiter", "zurück", "nach oben",
     "inicio", "menú", "contacto", "iniciar sesión", "buscar", "siguiente", "anterior", "volver arriba",
 )
-BOILERPLATE_PATTERN = "|".join(BOILERPLATE)
+#: A phrase, from the beginning of a word on; alternatives are tried by first letter.
+BOILERPLATE_PATTERN = r"(?:^|[^\p{L}])(?:" + "|".join(a + "(?:" + "|".join(x[1:] for x in BOILERPLATE if x[0] == a) + ")" for a in sorted({x[0] for x in BOILERPLATE})) + ")"
 MENU_PATTERN = r"^\W*(?:" + "|".join(MENU) + r")(?:\W+(?:" + "|".join(MENU) + r"))*\W*$"
 #: A terminal mark at the end of the line, or the end of a sentence within it.
 SENTENCE_PATTERN = r"""[.!?…:;。！？]["'”“’‘»«)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”“’‘»«)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def line_rule(line: Column) -> Column:
+def words_in(line: Column) -> Column:
+    """The number of words of a line; a regular expression only where spaces are not single ones between words."""
+    uneven = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (F.length(F.translate(line, "\t\x0b\f\r", "")) < F.length(line))
+    return F.when(line == "", 0).when(uneven, F.regexp_count(line, F.lit(WORD_PATTERN))).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1)
+
+
+def line_rule(line: Column, n_words: Column | None = None) -> Column:
     """The rule that a line fails, or null; a line without words fails none."""
-    n_words = F.regexp_count(line, F.lit(WORD_PATTERN))
+    n_words = words_in(line) if n_words is None else n_words
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
@@ -120,7 +127,8 @@ def quality(docs: DataFrame, text_col: str = "text", least_words: int = 10, most
     step = docs.select(*own, text.alias(name["q_text"]), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias(name["q_words"]))
     w = col["q_words"]
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    judged = F.transform(F.split(col["q_text"], "\n"), lambda x: F.struct(x.alias("line"), line_rule(x).alias("rule"), word_chars(x).alias("n")))
+    counted = F.transform(F.split(col["q_text"], "\n"), lambda x: F.struct(x.alias("line"), words_in(x).alias("w")))  # once, not in each rule
+    judged = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), line_rule(x["line"], x["w"]).alias("rule"), word_chars(x["line"]).alias("n")))
     step = step.withColumns({name["q_grams"]: F.when(F.size(w) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")), name["q_lines"]: judged})
     g = col["q_grams"]
     # places of windows, sorted by hash: equal windows are neighbours

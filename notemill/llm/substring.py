@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MOST_BROADCAST, Scratch, Words, buckets, by_bucket, free_names, mix, rolling, row_key, slices, texts_of
+from .common import MOST_BROADCAST, Scratch, Words, buckets, by_bucket, free_names, mix, rolling, row_key, slices, texts_of, tidy
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
 #: Windows a task packs at once.
-PACKED_AT_ONCE = 1_500_000
+PACKED_AT_ONCE = 1_000_000
 _PACKED = "bucket int, size int, meta binary, hashes binary, marks binary"
 _NAMES = ["bucket", "size", "meta", "hashes", "marks"]
 _HITS = "_id long, _key int, places binary"
@@ -194,6 +194,7 @@ def _anchor_hits(docs: DataFrame, n_buckets: int, window: int) -> DataFrame:
                 h = rolling(words.hashes(), block_words)[own]
                 yield from packer.add(block.column(0).to_numpy(), block.column(1).to_numpy(), row[own], place[own], h, h >> np.uint64(32), place[own] % block_words == 0)
         yield from packer.flush()
+        tidy()
 
     return by_bucket(docs.mapInArrow(run, _PACKED), n_buckets).groupBy("bucket").applyInArrow(_meet(4), _HITS)
 
@@ -223,6 +224,7 @@ def _repeat_hits(docs: DataFrame, n_buckets: int, window: int) -> DataFrame:
                 route = rolling(mix(h, 5), window)[own]
                 yield from packer.add(block.column(0).to_numpy(), block.column(1).to_numpy(), row[own], place[own], rolling(h, window)[own], route, np.ones(len(own), bool))
         yield from packer.flush()
+        tidy()
 
     return by_bucket(docs.mapInArrow(run, _PACKED), n_buckets).groupBy("bucket").applyInArrow(_meet(8), _HITS)
 

@@ -297,7 +297,7 @@ def test_soft_keys_find_similar_sets(similarity, least):
             sets.hashes_, sets.first_ = np.sort(own), np.array([0, len(own)])
             rows.append(np.frombuffer(sets.margins()[0], np.int8))
         x, y = near.soft_indices(np.array(rows))
-        found += sum(bool(set(a) & set(b)) for a, b in zip(x.tolist(), y.tolist())) >= 2 and near._differ(*near._prints(np.array(rows))[:, None])[0] <= near.MOST_BITS
+        found += sum(bool(set(a) & set(b)) for a, b in zip(x.tolist(), y.tolist())) >= 2 and near._differ(*near._prints(np.array(rows), np.array([n, n]))[:, None])[0] <= near.MOST_BITS
     assert found >= least * 200
 
 
