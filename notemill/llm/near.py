@@ -16,15 +16,16 @@ differ in many more bits than a hard decision bears (about 15 in 100 at a simila
   Those that share a key and differ in ``MOST_BITS`` bits or fewer are candidates.
 * Candidates are verified on their whole shingle sets (64-bit hashes).
 
-Texts of equal words (A-Z as a-z) are folded to one node before anything is compared. In a group of up
-to ``SMALL`` nodes of one key all candidates are verified. In a larger one a spanning forest and each
-node's four nearest are; then, in rounds that double, each node's next nearest candidates of other
-components, until none are left: a cluster of near copies costs its size, and no link is lost.
+Texts of equal words (A-Z as a-z) are folded to one node before anything is compared. Of each key's group a spanning
+forest of its candidates is verified first, so that a cluster of near copies costs its size. What candidates
+connect is then compared wherever that left several components: in rounds that grow, each node's next nearest candidates
+of other components, until none are left. So no link is lost, and pairs within a component aren't formed. Large
+groups are split into cells of two blocks.
 
 Defined results: null and word-less texts are one node; the smallest id of a component stays (null
 last; ids of any type), and of rows that repeat it, that of the smallest row key; rows that are equal in id and
 text count once; columns stay as they are, whatever their names; an empty table gives an empty table.
-A key's group is held by one task, at 32 bytes a distinct text.
+A key's group is held by one task, at 34 bytes a distinct text.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ from .simhash import code_bits
 SHINGLE_WORDS, LEAST = 5, 0.8
 SEGMENTS, NEAREST, BITS = 5, 3, 115
 MOST_BITS = 34
-SMALL, FIRST = 24, 4
+#: Nearest candidates of a node in the first round, and how many more the next rounds take; nodes of a block.
+FIRST, GROWTH, BLOCK = 16, 4, 20_000
 _PAIRS = [(x, y) for x in range(SEGMENTS) for y in range(x + 1, SEGMENTS)]
 
 
@@ -125,69 +127,49 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return signs + 1000 * (away > 6).astype(np.int16)
 
 
-def _pairs_of(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of a large group at first: a spanning forest, and each node's nearest of its block."""
-    a, b = [], []
-    rest = np.arange(len(nodes))
+def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that connect what is connected among the entries of a key, by numbers."""
+    a, b, rest = [], [], np.arange(len(prints))
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
             near = _differ(prints[rest], prints[x]) <= MOST_BITS
-            found, rest = rest[near], rest[~near]
-            a.append(np.full(len(found), x))
-            b.append(found)
-            todo.extend(found.tolist())
-    for at in range(0, len(nodes), 4096):
-        own = np.arange(at, min(at + 4096, len(nodes)))
-        for i in range(0, len(own), 256):
-            x, y = _nearest(prints, own[i : i + 256], own, None, 0, FIRST)
-            a.append(x)
-            b.append(y)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _nearest(prints: np.ndarray, left: np.ndarray, right: np.ndarray, roots: np.ndarray | None, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of ``left`` its ``begin``-th to ``end``-th nearest of ``right`` within MOST_BITS, of
-    another root where roots are given; nearer ones and ties in order."""
-    away = _differ(prints[left][:, None], prints[right][None]).astype(np.int32)
-    away[left[:, None] == right[None]] = 1 << 20
-    if roots is not None:
-        away[roots[left][:, None] == roots[right][None]] = 1 << 20
-    order = np.argsort(away, axis=1, kind="stable")[:, begin:end]
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                todo.extend(found.tolist())
+    return (np.concatenate(a), np.concatenate(b)) if a else (rest[:0], rest[:0])
+
+
+def _nearest(prints: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of each of ``left`` its ``begin``-th to ``end``-th nearest candidates of ``right`` of another root, ties in order, and
+    whether any has more."""
+    away = _differ(prints[left][:, None], prints[right][None])
+    away[roots[left][:, None] == roots[right][None]] = 1000
+    order = np.argsort(away, axis=1, kind="stable")[:, begin : end + 1]
     good = np.take_along_axis(away, order, axis=1) <= MOST_BITS
-    return np.repeat(left, good.sum(axis=1)), right[order[good]]
+    more = good.shape[1] > end - begin and bool(good[:, -1].any())
+    order, good = order[:, : end - begin], good[:, : end - begin]
+    return np.repeat(left, good.sum(axis=1)), right[order[good]], more
 
 
-def candidates(keys: np.ndarray, entry: np.ndarray, nodes: np.ndarray, prints: np.ndarray):
-    """Candidate pairs of entries (by number) that share a key, and (key, entry) of larger groups' members
-    that are in one."""
+def candidates(keys: np.ndarray, entry: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of entries (by number) that connect those that are connected within any key."""
     order = np.lexsort((entry, keys))
     keys, entry = keys[order], entry[order]
     edge = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
     size = np.diff(np.append(edge, len(keys)))
-    a, b, large_key, large = [], [], [], []
-    for i in np.flatnonzero(size > SMALL).tolist():
+    two = edge[size == 2]  # most groups
+    near = two[_differ(prints[entry[two]], prints[entry[two + 1]]) <= MOST_BITS]
+    a, b = [entry[near]], [entry[near + 1]]
+    for i in np.flatnonzero(size > 2).tolist():
         own = entry[edge[i] : edge[i] + size[i]]
-        x, y = _pairs_of(nodes[own], prints[own])
+        x, y = _forest(prints[own])
         a.append(own[x])
         b.append(own[y])
-        member = np.unique(np.concatenate([x, y]))
-        large_key.append(np.full(len(member), keys[edge[i]]))
-        large.append(own[member])
-    inside = np.repeat(size <= SMALL, size)
-    keys, entry = keys[inside], entry[inside]
-    at = np.arange(len(keys))
-    for step in range(1, SMALL):
-        at = at[at + step < len(keys)]
-        at = at[keys[at] == keys[at + step]]
-        if not len(at):
-            break
-        near = at[_differ(prints[entry[at]], prints[entry[at + step]]) <= MOST_BITS]
-        a.append(entry[near])
-        b.append(entry[near + step])
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return join(a, np.int64), join(b, np.int64), join(large_key, np.int64), join(large, np.int64)
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -234,44 +216,39 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Candidate pairs of a bucket (key -1), and members of large groups (b null)."""
+    """Candidate pairs of a bucket, each with the prints of both."""
     joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     group, second, node, prints = joined("groups", "<u4"), joined("seconds", np.uint16).reshape(-1, NEAREST), joined("nodes", np.int64), joined("prints", "<u8").reshape(-1, 2)
     distinct, at, entry = np.unique(node, return_index=True, return_inverse=True)
     keys = ((group.astype(np.int64) << 12)[:, None] | second).ravel()
-    prints = prints[at]
-    a, b, large_key, large = candidates(keys, np.repeat(entry, NEAREST), distinct, prints)
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(lo * len(distinct) + hi)
-    lo, hi = distinct[pair // max(len(distinct), 1)], distinct[pair % max(len(distinct), 1)]
-    none = pa.nulls(len(large), pa.int64())
-    return pa.table(
-        {
-            "a": pa.array(np.concatenate([lo, distinct[large]])),
-            "b": pa.chunked_array([pa.array(hi), none], pa.int64()),
-            "key": pa.array(np.concatenate([np.full(len(lo), -1), large_key])),
-            "print": pa.chunked_array([pa.nulls(len(lo), pa.binary()), pa.array([x.tobytes() for x in prints[large]], pa.binary())], pa.binary()),
-        }
-    )
+    prints, n = prints[at], max(len(distinct), 1)
+    a, b = candidates(keys, np.repeat(entry, NEAREST), prints)
+    pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    a, b = pair // n, pair % n
+    packed = lambda x: pa.array([y.tobytes() for y in prints[x]], pa.binary())
+    return pa.table({"a": pa.array(distinct[a]), "b": pa.array(distinct[b]), "pa": packed(a), "pb": packed(b)})
 
 
 def _next(begin: int, end: int):
-    """The next nearest candidates of other roots, within a group."""
+    """The next nearest candidates of other roots, within a cell: of its first block to its second, both ways."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        node, root, first, block = (table.column(x).to_numpy() for x in ("node", "root", "first", "block"))
         prints = np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8").reshape(-1, 2)
-        first = table.column("first").to_numpy()  # ranks go by the roots before the first round, so that they stay
-        _, which, count = np.unique(first, return_inverse=True, return_counts=True)
-        left, a, b, more = np.flatnonzero(which != count.argmax()), [], [], False  # each pair has an end outside the largest
-        width = max(1, (1 << 22) // len(node))
-        for at in range(0, len(left), width):
-            x, y = _nearest(prints, left[at : at + width], np.arange(len(node)), first, begin, end + 1)
-            more |= bool(len(x)) and int(np.unique(x, return_counts=True)[1].max()) > end - begin
-            other = root[x] != root[y]
-            a.append(node[np.minimum(x, y)[other]])
-            b.append(node[np.maximum(x, y)[other]])
+        sides = [np.flatnonzero(block == x) for x in np.unique(block)]
+        a, b, more = [], [], False
+        for left, right in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
+            if len(sides) == 1:  # each pair has an end outside the largest root
+                _, which, count = np.unique(first, return_inverse=True, return_counts=True)
+                left = left[which[left] != count.argmax()]
+            width = max(1, (1 << 22) // max(len(right), 1))
+            for at in range(0, len(left), width):
+                x, y, rest = _nearest(prints, first, left[at : at + width], right, begin, end)  # ranks stay: they go by the first roots
+                other = root[x] != root[y]
+                a.append(node[np.minimum(x, y)[other]])
+                b.append(node[np.maximum(x, y)[other]])
+                more |= rest
         if more:  # told by a pair of a node and itself
             a.append(node[:1])
             b.append(node[:1])
@@ -300,28 +277,45 @@ def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str,
     worded = nodes.where("margins is not null")
     n = worded.count()
     n_buckets = max(64, n * 30 // 400_000)
-    found = run.table(by_bucket(_entries(worded, n_buckets), n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, print binary"), "found")
-    pairs = run.table(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    large = found.where("b is null").select(F.col("a").alias("node"), "key", "print")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = run.table(by_bucket(_entries(worded, n_buckets), n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, pa binary, pb binary"), "found")
+    pairs = run.table(found.select("a", "b").distinct(), "pairs")
+    involved = run.table(found.select(F.col("a").alias("node"), F.col("pa").alias("print")).union(found.select("b", "pb")).groupBy("node").agg(F.first("print").alias("print")), "involved")
     wanted = run.table(worded.join(involved, "node", "left_semi").select("_id", "_key"), "wanted")
     sets = run.table(_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets")
-    links, first, begin, size = None, None, 0, FIRST
-    while True:
-        both = pairs.where("a < b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-        new = run.table(shared.where(F.col("n") >= (F.col("m") - F.col("n")) * least - 1e-9).select("a", "b"), "links")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
+    verified = _verified(pairs, sets, least)
+    links = run.table(verified, "links")
+    roots = components(links, run)
+    near = components(pairs, run).withColumnRenamed("root", "group")
+    member = involved.join(near, "node").join(roots.withColumnRenamed("root", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
+    mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.max("first") > F.min("first")).alias("more")).where("more and n > 2").select("group", "n")
+    member = member.join(mixed, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a cell is two blocks of a group, or one
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    member = run.table(member.select("group", "node", "print", "first", "block", F.explode(cells).alias("cell")), "members")
+    done, begin, size = [pairs], 0, FIRST
+    while not member.isEmpty():
+        own = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        told = run.table(own.repartition("group", "cell").groupBy("group", "cell").applyInArrow(_next(begin, begin + size), "a long, b long").distinct(), "told")
+        if told.isEmpty():
+            break
+        new = told.where("a < b")
+        for before in done:
+            new = new.join(before, ["a", "b"], "left_anti")
+        new = run.table(new, "pairs")
+        done.append(new)
+        more = run.table(_verified(new, sets, least), "links")
+        if not more.isEmpty():
+            links = links.union(more)
             roots = components(links, run)
-        first = roots if first is None else first
-        member = large.join(roots, "node", "left").join(first.withColumnRenamed("root", "first"), "node", "left").withColumns({"root": F.coalesce("root", "node"), "first": F.coalesce("first", "node")})
-        mixed = member.groupBy("key").agg((F.max("root") > F.min("root")).alias("more")).where("more").select("key")
-        step = by_bucket(member.join(mixed, "key", "left_semi"), n_buckets, "key").groupBy("key")
-        pairs = run.table(step.applyInArrow(_next(begin, begin + size), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            return roots
-        begin, size = begin + size, 2 * size
+        begin, size = begin + size, GROWTH * size
+    return roots
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return shared.where(F.col("n") >= (F.col("m") - F.col("n")) * least - 1e-9).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:

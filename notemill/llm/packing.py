@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import encoder, rank_encode
-from .common import Scratch, slices
+from .common import Scratch, slices, small
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row a piece: ``id``, piece, start, length, ids_crc32 and, if asked for, its ids."""
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         pieces = run.keep(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
         placed = run.keep(place(pieces.select(F.col("_row").alias("id"), F.col("length").alias("size")), run, capacity, each), "places")
     columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    return pieces.join(placed.select(F.col("id").alias("_row"), F.col("bin").alias("sequence_id"), "offset"), "_row").select(*columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
+    return pieces.join(small(placed.select(F.col("id").alias("_row"), F.col("bin").alias("sequence_id"), "offset")), "_row").select(*columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -260,11 +260,12 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("small", [24, 3])
-def test_pipeline_removes_texts_of_similarity_0_8(spark, small, monkeypatch):
+@pytest.mark.parametrize("first,block", [(16, 20_000), (1, 5)])
+def test_pipeline_removes_texts_of_similarity_0_8(spark, first, block, monkeypatch):
     import corpus_pipeline
 
-    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "FIRST", first)
+    monkeypatch.setattr(near, "BLOCK", block)  # cells of two blocks
     rows = edited()
     kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS).repartition(4), "")
     assert sorted(x.doc_id for x in kept.collect()) == similar_components(rows)
