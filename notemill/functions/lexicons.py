@@ -5,26 +5,31 @@ All of them are fixed values: the results hang on them. Code that uses them is e
 
 from __future__ import annotations
 
-# --- fixed values: accent rules, "pattern replacement" in their order; patterns are whole words,
-# --- ``o_neil`` stands for an o, white space and neil.
-ACCENT_RULES = """
-shon sean, shawn sean, niv niamh, neev niamh, aife aoife, eefa aoife, keeran ciaran, kiran ciaran,
-kieran ciaran, granya grainne, sineadh? sinead, noola nuala, mev maeve, maev maeve, meev maeve,
-keeva caoimhe, kweva caoimhe, leesha laoise, feekra fiachra, owan eoghan, ewon eoghan, roree ruairi,
-rooree ruairi, farrel fearghal, sive sadhbh, syve sadhbh, orla orlaith, orlaw orlaith, sorka sorcha,
-surka sorcha, kilian cillian, killian cillian, dermid diarmuid, dermot diarmuid, breed brigid,
-conker conor, conkur conor, paurik padraig, padrig padraig, aishlin aisling, ashling aisling,
-ashleen aisling, tige tadhg, teague tadhg, deerdra deirdre, darag darragh, cloda clodagh, ronen ronan,
-brenden brendan, sined sinead, finn fionn, fin fionn, odonel odonnell, oshe oshea, mccarty mccarthy,
-makarti mccarthy, keli kelly, murfy murphy, nolen nolan, rayen ryan, rayan ryan, doyel doyle,
-linch lynch, mcgrat mcgrath, kavanah kavanagh, galger gallagher, gallager gallagher, brenen brennan,
-brenan brennan, vargis varghese, vargees varghese, vargese varghese, chako chacko, jacko chacko,
-pillay pillai, pilli pillai, kurop kurup, jorj george, tomas thomas, mathu mathew, josif joseph,
-nayr nair, menoan menon, krishnen krishnan, iyar iyer, iyyer iyer, tankachan thankachan, baboo babu,
-sooresh suresh, shuresh suresh, santosh santhosh, bindhu bindu, sreejit sreejith, sreejeet sreejith,
-nambear nambiar, nambiyar nambiar, o_neil oneill, o_brien obrien, o_reilly oreilly, o_hara ohara,
-o_shea oshea, o_donnell odonnell
-"""
+# --- fixed values: accent rules (pattern, replacement), in their order; any case.
+ACCENT_RULES = [
+    (r"\bshon\b", "sean"), (r"\bshawn\b", "sean"), (r"\bniv\b", "niamh"), (r"\bneev\b", "niamh"), (r"\baife\b", "aoife"), (r"\beefa\b", "aoife"),
+    (r"\bkeeran\b", "ciaran"), (r"\bkiran\b", "ciaran"), (r"\bkieran\b", "ciaran"), (r"\bgranya\b", "grainne"), (r"\bsineadh?\b", "sinead"),
+    (r"\bnoola\b", "nuala"), (r"\bmev\b", "maeve"), (r"\bmaev\b", "maeve"), (r"\bmeev\b", "maeve"), (r"\bkeeva\b", "caoimhe"),
+    (r"\bkweva\b", "caoimhe"), (r"\bleesha\b", "laoise"), (r"\bfeekra\b", "fiachra"), (r"\bowan\b", "eoghan"), (r"\bewon\b", "eoghan"),
+    (r"\broree\b", "ruairi"), (r"\brooree\b", "ruairi"), (r"\bfarrel\b", "fearghal"), (r"\bsive\b", "sadhbh"), (r"\bsyve\b", "sadhbh"),
+    (r"\borla\b", "orlaith"), (r"\borlaw\b", "orlaith"), (r"\bsorka\b", "sorcha"), (r"\bsurka\b", "sorcha"), (r"\bkilian\b", "cillian"),
+    (r"\bkillian\b", "cillian"), (r"\bdermid\b", "diarmuid"), (r"\bdermot\b", "diarmuid"), (r"\bbreed\b", "brigid"), (r"\bbreed\b", "brid"),
+    (r"\bconker\b", "conor"), (r"\bconkur\b", "conor"), (r"\bpaurik\b", "padraig"), (r"\bpadrig\b", "padraig"), (r"\baishlin\b", "aisling"),
+    (r"\bashling\b", "aisling"), (r"\bashleen\b", "aisling"), (r"\btige\b", "tadhg"), (r"\bteague\b", "tadhg"), (r"\bdeerdra\b", "deirdre"),
+    (r"\bdarag\b", "darragh"), (r"\bcloda\b", "clodagh"), (r"\bronen\b", "ronan"), (r"\bbrenden\b", "brendan"), (r"\bsined\b", "sinead"),
+    (r"\bfinn\b", "fionn"), (r"\bfin\b", "fionn"), (r"\boneill\b", "oneill"), (r"\boreilly\b", "oreilly"), (r"\bosullivan\b", "osullivan"),
+    (r"\bodonel\b", "odonnell"), (r"\bohara\b", "ohara"), (r"\boshe\b", "oshea"), (r"\bmccarty\b", "mccarthy"), (r"\bmakarti\b", "mccarthy"),
+    (r"\bkeli\b", "kelly"), (r"\bmurfy\b", "murphy"), (r"\bnolen\b", "nolan"), (r"\bnolan\b", "nolan"), (r"\brayen\b", "ryan"),
+    (r"\brayan\b", "ryan"), (r"\bdoyel\b", "doyle"), (r"\blinch\b", "lynch"), (r"\bmcgrat\b", "mcgrath"), (r"\bkavanah\b", "kavanagh"),
+    (r"\bgalger\b", "gallagher"), (r"\bgallager\b", "gallagher"), (r"\bbrenen\b", "brennan"), (r"\bbrenan\b", "brennan"), (r"\bvargis\b", "varghese"),
+    (r"\bvargees\b", "varghese"), (r"\bvargese\b", "varghese"), (r"\bchako\b", "chacko"), (r"\bjacko\b", "chacko"), (r"\bpillay\b", "pillai"),
+    (r"\bpilli\b", "pillai"), (r"\bkurop\b", "kurup"), (r"\bjorj\b", "george"), (r"\btomas\b", "thomas"), (r"\bmathu\b", "mathew"),
+    (r"\bjosif\b", "joseph"), (r"\bnayr\b", "nair"), (r"\bmenoan\b", "menon"), (r"\bkrishnen\b", "krishnan"), (r"\biyar\b", "iyer"),
+    (r"\biyyer\b", "iyer"), (r"\btankachan\b", "thankachan"), (r"\bbaboo\b", "babu"), (r"\bsooresh\b", "suresh"), (r"\bshuresh\b", "suresh"),
+    (r"\bsantosh\b", "santhosh"), (r"\bbindhu\b", "bindu"), (r"\bsreejit\b", "sreejith"), (r"\bsreejeet\b", "sreejith"), (r"\bnambear\b", "nambiar"),
+    (r"\bnambiyar\b", "nambiar"), (r"\bo\s+neil\b", "oneill"), (r"\bo\s+brien\b", "obrien"), (r"\bo\s+reilly\b", "oreilly"),
+    (r"\bo\s+hara\b", "ohara"), (r"\bo\s+shea\b", "oshea"), (r"\bo\s+donnell\b", "odonnell"),
+]
 
 MALE_FIRST_NAMES = """
 Aidan Aaron Barry Brian Brendan Cathal Cian Ciarán Cillian Colm Conor Cormac Darragh Declan Denis
@@ -52,28 +57,28 @@ Kearney Kinsella Lawlor Lennon Loftus Meagher Moloney Mulcahy Nagle
 """.split()
 
 #: Spoken variant and canonical name.
-PHONETIC_VARIANTS = """
-shivawn Siobhán, shivon Siobhán, shavon Siobhán, shivaan Siobhán, keeva Caoimhe, kweeva Caoimhe,
-caoimhe Caoimhe, neev Niamh, neeav Niamh, niv Niamh, eersha Saoirse, searsha Saoirse, seersha Saoirse,
-ashling Aisling, ashleen Aisling, ayshling Aisling, eefa Aoife, eefah Aoife, aifa Aoife, orla Orla,
-orlagh Orla, sorcha Sorcha, surra Sorcha, granya Gráinne, grainne Gráinne, grawn_ya Gráinne,
-maeve Maeve, mayve Maeve, sinead Sinéad, shinade Sinéad, shunaid Sinéad, deirdre Deirdre,
-derdree Deirdre, nuala Nuala, noola Nuala, fionnuala Fionnuala, finnoola Fionnuala, finula Fionnuala,
-eimer Eimear, aimer Eimear, emer Emer, clodagh Clodagh, cloda Clodagh, blathnaid Blathnaid,
-blahnid Blathnaid, taig Tadhg, tig Tadhg, tague Tadhg, tierna Tiernan, caran Ciarán, kiaran Ciarán,
-kieran Ciarán, conan Conal, oishin Oisín, ushin Oisín, rori Ruairí, rory Ruairí, ruree Ruairí,
-padraig Pádraig, podraig Pádraig, pawrick Pádraig, donokha Donnacha, donnakha Donnacha,
-feargal Fearghal, fergle Fearghal, lorcan Lorcan, lurcan Lorcan, diarmid Diarmuid, dermid Diarmuid,
-jarmed Diarmuid, laisha Laoise, leesha Laoise, meave Méabh, medb Méabh, mave Méabh, eamon Eamon,
-aymon Eamon, aimon Eamon, shaymus Seamus, shamus Seamus, shaun Sean, shawn Sean, shan Sean,
-reilly O'Reilly, oreilly O'Reilly, brien O'Brien, obrien O'Brien, connor O'Connor, oconnor O'Connor,
-sullivan O'Sullivan, osullivan O'Sullivan, neill O'Neill, oneill O'Neill, donnell O'Donnell,
-odonnell O'Donnell, mahony O'Mahony, omahony O'Mahony, keeffe O'Keeffe, okeeffe O'Keeffe,
-callaghan O'Callaghan, ocallaghan O'Callaghan, donoghue O'Donoghue, odonoghue O'Donoghue,
-doherty O'Doherty, odoherty O'Doherty, riordan O'Riordan, oriordan O'Riordan, carroll O'Carroll,
-ocarroll O'Carroll, macarthy McCarthy, mccarthy McCarthy, mcloughlin McLoughlin,
-mclafflin McLoughlin, mcgrath McGrath, makgrath McGrath, mcdonagh McDonagh, makdonagh McDonagh
-"""
+PHONETIC_VARIANTS = [
+    ("shivawn", "Siobhán"), ("shivon", "Siobhán"), ("shavon", "Siobhán"), ("shivaan", "Siobhán"), ("keeva", "Caoimhe"), ("kweeva", "Caoimhe"),
+    ("caoimhe", "Caoimhe"), ("neev", "Niamh"), ("neeav", "Niamh"), ("niv", "Niamh"), ("eersha", "Saoirse"), ("searsha", "Saoirse"),
+    ("seersha", "Saoirse"), ("ashling", "Aisling"), ("ashleen", "Aisling"), ("ayshling", "Aisling"), ("eefa", "Aoife"), ("eefah", "Aoife"),
+    ("aifa", "Aoife"), ("orla", "Orla"), ("orlagh", "Orla"), ("sorcha", "Sorcha"), ("surra", "Sorcha"), ("granya", "Gráinne"), ("grainne", "Gráinne"),
+    ("grawn ya", "Gráinne"), ("maeve", "Maeve"), ("mayve", "Maeve"), ("sinead", "Sinéad"), ("shinade", "Sinéad"), ("shunaid", "Sinéad"),
+    ("deirdre", "Deirdre"), ("derdree", "Deirdre"), ("nuala", "Nuala"), ("noola", "Nuala"), ("fionnuala", "Fionnuala"), ("finnoola", "Fionnuala"),
+    ("finula", "Fionnuala"), ("eimer", "Eimear"), ("aimer", "Eimear"), ("emer", "Emer"), ("clodagh", "Clodagh"), ("cloda", "Clodagh"),
+    ("blathnaid", "Blathnaid"), ("blahnid", "Blathnaid"), ("taig", "Tadhg"), ("tig", "Tadhg"), ("tague", "Tadhg"), ("tierna", "Tiernan"),
+    ("caran", "Ciarán"), ("kiaran", "Ciarán"), ("kieran", "Ciarán"), ("conan", "Conal"), ("oishin", "Oisín"), ("ushin", "Oisín"), ("rori", "Ruairí"),
+    ("rory", "Ruairí"), ("ruree", "Ruairí"), ("padraig", "Pádraig"), ("podraig", "Pádraig"), ("pawrick", "Pádraig"), ("donokha", "Donnacha"),
+    ("donnakha", "Donnacha"), ("feargal", "Fearghal"), ("fergle", "Fearghal"), ("lorcan", "Lorcan"), ("lurcan", "Lorcan"), ("diarmid", "Diarmuid"),
+    ("dermid", "Diarmuid"), ("jarmed", "Diarmuid"), ("laisha", "Laoise"), ("leesha", "Laoise"), ("meave", "Méabh"), ("medb", "Méabh"),
+    ("mave", "Méabh"), ("eamon", "Eamon"), ("aymon", "Eamon"), ("aimon", "Eamon"), ("shaymus", "Seamus"), ("shamus", "Seamus"), ("shaun", "Sean"),
+    ("shawn", "Sean"), ("shan", "Sean"), ("reilly", "O'Reilly"), ("oreilly", "O'Reilly"), ("brien", "O'Brien"), ("obrien", "O'Brien"),
+    ("connor", "O'Connor"), ("oconnor", "O'Connor"), ("sullivan", "O'Sullivan"), ("osullivan", "O'Sullivan"), ("neill", "O'Neill"),
+    ("oneill", "O'Neill"), ("donnell", "O'Donnell"), ("odonnell", "O'Donnell"), ("mahony", "O'Mahony"), ("omahony", "O'Mahony"),
+    ("keeffe", "O'Keeffe"), ("okeeffe", "O'Keeffe"), ("callaghan", "O'Callaghan"), ("ocallaghan", "O'Callaghan"), ("donoghue", "O'Donoghue"),
+    ("odonoghue", "O'Donoghue"), ("doherty", "O'Doherty"), ("odoherty", "O'Doherty"), ("riordan", "O'Riordan"), ("oriordan", "O'Riordan"),
+    ("carroll", "O'Carroll"), ("ocarroll", "O'Carroll"), ("macarthy", "McCarthy"), ("mccarthy", "McCarthy"), ("mcloughlin", "McLoughlin"),
+    ("mclafflin", "McLoughlin"), ("mcgrath", "McGrath"), ("makgrath", "McGrath"), ("mcdonagh", "McDonagh"), ("makdonagh", "McDonagh"),
+]
 
 CURATED_NAMES = """
 Mary Murphy, Kathleen Kelly, Margaret Walsh, Brigid O'Sullivan, Joan Ryan, Ann Byrne, Patricia O'Brien,
@@ -125,18 +130,13 @@ PREAMBLE = r"(?i)\A(?:```[a-z]*\n?|sure[,!\s]+|of\s+course[,!\s]+|here(?:'s|\s+i
 # --- end of fixed values
 
 
-def pairs(text: str) -> list[tuple[str, str]]:
-    """(key, value) of a list "key value, key value"; an underscore in a key is a blank."""
-    return [(k.replace("_", " "), v) for k, v in (item.split() for item in text.split(","))]
-
-
 def accent_rules() -> list[tuple[str, str]]:
     """(pattern, replacement), in order; patterns match whole words."""
-    return [(r"\b" + k.replace(" ", r"\s+") + r"\b", v) for k, v in pairs(ACCENT_RULES)]
+    return list(ACCENT_RULES)
 
 
 def phonetic_variants() -> dict[str, str]:
-    return dict(pairs(PHONETIC_VARIANTS))
+    return dict(PHONETIC_VARIANTS)
 
 
 def curated_names() -> list[str]:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from . import lexicons as L
 
 _QUOTES = "'’ʼ"
+#: Whether a text holds what NFC could change: marks, conjoining jamo, and characters that it never keeps.
+NOT_NFC = r"[\p{M}\x{1100}-\x{11FF}\x{340}-\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}-\x{B5D}\x{F43}-\x{FB9}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
 
 
 def _fold(name: str) -> str:
@@ -36,13 +38,17 @@ def let(value: Column, body) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; for tables of ASCII alone prefer the column itself."""
-    return _nfc(text)
+    """Unicode NFC. Texts without combining marks or characters that decompose on their own (most are) don't need it; they
+    reach the UDF as null and come back as they are."""
+    plain = ~text.rlike(NOT_NFC)
+    return F.when(text.isNull() | plain, text).otherwise(_nfc(F.when(~plain, text)))
 
 
 def name_fold(name: Column) -> Column:
-    """Marks and apostrophes dropped, lower case; other punctuation and blanks stay."""
-    return _fold_udf(name)
+    """Marks and apostrophes dropped, lower case; other punctuation and blanks stay. ASCII is folded natively and reaches
+    the UDF as null."""
+    plain = name.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, F.translate(F.lower(name), "'", "")).otherwise(_fold_udf(F.when(~plain, name)))
 
 
 def latin_fold(name: Column) -> Column:
@@ -70,8 +76,14 @@ def fold_rewrite(text: Column, rules: list[tuple[str, str]] | Column) -> Column:
 
 
 def accent_normalise(name: Column) -> Column:
-    """Spoken variants of names become their usual form: whole words, any case, in order."""
-    return fold_rewrite(name, [("(?iu)" + p, r) for p, r in L.accent_rules()])
+    """Spoken variants of names become their usual form: whole words, any case, in order. Names that no rule's pattern is in,
+    which are most, are told by one expression."""
+    rules = L.accent_rules()
+    inner: dict[str, list[str]] = {}
+    for p, _ in rules:  # patterns are words between boundaries
+        inner.setdefault(p[2], []).append(p[3:-2])
+    some = r"(?iu)\b(?:" + "|".join(c + "(?:" + "|".join(rest) + ")" for c, rest in inner.items()) + r")\b"
+    return F.when(name.rlike(some), fold_rewrite(name, [("(?iu)" + p, r) for p, r in rules])).otherwise(name)
 
 
 def phonetic_variant(name: Column) -> Column:
@@ -218,7 +230,8 @@ def tier(confidence: Column) -> Column:
 
 
 def json_list(text: Column) -> Column:
-    """Strings of a list literal, in single or double quotes or bare."""
+    """Strings of a list literal, in single or double quotes (commas and escaped quotes in them stay) or bare, in lower case."""
     inner = F.regexp_replace(F.btrim(F.coalesce(text, F.lit(""))), r"\A\[|\]\z", "")
-    parts = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.btrim(x), r"\A['\"]|['\"]\z", ""))
-    return F.filter(F.transform(parts, lambda x: F.lower(F.btrim(x))), lambda x: x != "")
+    parts = F.regexp_extract_all(inner, F.lit(r"""\s*(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,]+)"""), F.lit(0))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.btrim(x), r"""\A(?:'(.*)'|"(.*)")\z""", "$1$2"), r"\\(.)", "$1")
+    return F.filter(F.transform(parts, lambda x: F.lower(F.btrim(bare(x)))), lambda x: x != "")

@@ -5,11 +5,45 @@ that nothing is updated in place: the latest event of a pair decides."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOOST, MOST, OVERRIDE, CONFUSION, MOST_CONFUSION, PENALTY, LEAST = 0.06, 0.99, 0.95, 0.03, 0.97, 0.40, 0.70
 
+#: The log's columns, and the version of its form: a stored log of another version counts as none.
+LOG = "seq long, surface string, proposed string, accepted boolean, role string, correct string, corr_role string"
+VERSION = 1
+log_ = logging.getLogger(__name__)
+
+
+def blank(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LOG)
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Add rows to the stored log; the writer's commit makes them appear at once or not at all."""
+    columns = [c.split()[0] for c in LOG.split(", ")]
+    log.select(*columns).write.mode("append").parquet(f"{path}/version={VERSION}")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The stored log; none yet, or one of another version alone, is a blank one."""
+    from ..sources.tables import exists
+
+    own = f"{path}/version={VERSION}"
+    if not exists(spark, own):
+        if exists(spark, path):
+            log_.warning("%s holds no log of version %d", path, VERSION)
+        return blank(spark)
+    return spark.read.schema(LOG).parquet(own)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Empty the stored log."""
+    blank(spark).write.mode("overwrite").parquet(f"{path}/version={VERSION}")
+
 
 def _key(c: str):
     return F.lower(F.btrim(c))

@@ -19,7 +19,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..session import cut
 
-THRESHOLD, ENTITY_THRESHOLD, FIRST_NAME_LIMIT = 80.0, 72.0, 0.88
+THRESHOLD, ENTITY_THRESHOLD, WINDOW_THRESHOLD, FIRST_NAME_LIMIT = 80.0, 72.0, 75.0, 0.88
 
 
 def role_order(role: Column) -> Column:
@@ -68,14 +68,15 @@ def exact_matches(spans: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def _scores(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([S.span_score(*x) for x in zip(a, b, c, d)], dtype=float)
+def _scores(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([S.span_score(*x) for x in zip(a, b, c, d, least)], dtype=float)
 
 
 def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | float = THRESHOLD) -> DataFrame:
     """Best entry by ``span_score`` among those that share a phonetic code with the span's first token; for
     a role where none does, among all of that role. Entries with fewer tokens than the span can't
     reach the minimum and aren't scored. Emptiness of a block is judged before that."""
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     first = spans.select("span", F.explode(S.codes_udf(F.get("tokens", 0))).alias("code"))
     postings = entries.select("role", "ord", F.explode("codes").alias("code"))
     near = first.join(postings, "code").select("span", "role", "ord").distinct()
@@ -84,8 +85,7 @@ def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | fl
     lone = spans.select("span").join(roles).join(blocks, ["span", "role"], "left_anti")  # spans by the few roles
     pairs = near.unionByName(lone.join(entries.select("role", "ord"), "role"))
     scored = pairs.join(spans, "span").join(entries.select("role", "ord", "role_ord", "name", F.col("norm").alias("e_norm"), F.col("accented").alias("e_accented"), F.size("tokens").alias("e_n")), ["role", "ord"])
-    scored = scored.where(F.size("tokens") <= F.col("e_n")).withColumn("score", _scores("norm", "accented", "e_norm", "e_accented"))
-    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    scored = scored.where(F.size("tokens") <= F.col("e_n")).withColumn("score", _scores("norm", "accented", "e_norm", "e_accented", limit))
     best = scored.where(F.col("score") >= limit).groupBy("span").agg(F.min(F.struct((-F.col("score")).alias("s"), "role_ord", "ord", "role", "name")).alias("b"))
     return best.select("span", "b.role", "b.ord", "b.name", F.round(-F.col("b.s") / 100, 3).alias("confidence"), F.lit("phonetic").alias("path"))
 
@@ -117,38 +117,106 @@ def resolve(spans: DataFrame, entries: DataFrame, threshold: float = THRESHOLD)
     return found
 
 
-def correct_names(notes: DataFrame, registry: DataFrame, feedback: DataFrame | None = None, id_col: str = "note_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Corrected notes (id, ``corrected``) and detections (id, surface, canonical, role, confidence, path,
-    tier, was_corrected, is_unresolved), from capitalised spans.
-
-    A span that fails is tried once more without the surnames that longer spans of its note claimed."""
+def capital_detector(notes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and span: runs of capitalised words; a possessive stays in the text."""
+    found = notes.select(id_col, F.explode(X.capitalised_spans(F.col(text_col))).alias("span"))
+    return found.select(id_col, F.regexp_replace("span", "'s?$", "").alias("span"))
+
+
+def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, threshold: float = WINDOW_THRESHOLD) -> DataFrame:
+    """id and span: windows of three to one words, in any case, that match a registry name; of those of which one contains
+    the other, the first (longer ones first, then from the left). Only windows are formed whose words can all be
+    aligned with a name's, so that most of a text is never looked at twice."""
+    from .blocking import token_links
+    from .redact import matches
+
+    words = notes.select(id_col, F.posexplode(F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "")).alias("at", "word"))
+    folded = cut(words.select("word").distinct().withColumn("w", X.name_fold(X.accent_normalise(F.col("word")))))
+    tokens = registry.select(F.explode(F.split(X.name_fold(F.col("name")), r"(?U)\s+")).alias("t")).where(F.length("t") > 1)
+    linked = token_links(folded.where(F.length("w") > 1), tokens).select("w").distinct()
+    good = cut(folded.join(linked, "w", "left_semi").select("word"))
+    kept = words.join(good, "word", "left_semi").groupBy(id_col).agg(F.collect_set("at").alias("ok"))  # a note's words
+    grams = notes.join(kept, id_col).withColumn("g", X.ngrams(F.col(text_col), [3, 2, 1]))
+    fits = lambda g: F.forall(F.sequence(F.lit(0), g["n"] - 1), lambda k: F.array_contains("ok", g["at"] + k) | (F.length(F.get(F.split(g["span"], " "), k)) < 2))
+    spans = cut(grams.select(id_col, F.explode(F.filter("g", lambda g: fits(g) & (F.length(g["span"]) >= 3) & ~g["span"].rlike(r"\A\p{Nd}+\z"))).alias("g")).select(id_col, "g.n", "g.at", "g.span"))
+    hit = matches(spans.select("span", F.col("span").alias("form")).distinct(), registry, threshold, ["span"]).select("span").distinct()
+    found = spans.join(hit, "span").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "span"))).alias("w"))  # a note's matches
+    over = lambda a, x: F.exists(a, lambda s: F.contains(F.lower(s), F.lower(x["span"])) | F.contains(F.lower(x["span"]), F.lower(s)))
+    taken = F.aggregate("w", F.array().cast("array<string>"), lambda a, x: F.when(over(a, x), a).otherwise(F.concat(a, F.array(x["span"]))))
+    return found.select(id_col, F.explode(taken).alias("span"))
+
+
+def detect(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, recogniser=None, with_windows: bool = True) -> DataFrame:
+    """id, o, span, method: the spans of all detectors, distinct, contained ones dropped, longest first. ``recogniser``
+    takes (notes, id column, text column) and returns id and ``span``; its spans are ``ner``."""
+    parts = [capital_detector(notes, id_col, text_col).withColumn("r", F.lit(1))]
+    if with_windows:
+        parts.append(window_detector(notes, registry, id_col, text_col).withColumn("r", F.lit(2)))
+    if recogniser is not None:
+        own = recogniser(notes, id_col, text_col).select(id_col, F.btrim("span").alias("span"), F.lit(0).alias("r"))
+        parts.append(own.where((F.length("span") >= 2) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS)))
+    spans = parts[0]
+    for more in parts[1:]:
+        spans = spans.unionByName(more)
+    spans = spans.where(~X.is_token(F.col("span")) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS) & (F.length("span") >= 2))
+    first = spans.join(notes.select(id_col, F.col(text_col).alias("_text")), id_col).groupBy(id_col, "span").agg(F.min("r").alias("r"), F.min(F.instr("_text", F.col("span"))).alias("at"))
+    each = first.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("s"))  # a note's spans
+    kept = each.select(id_col, F.posexplode(X.drop_contained(F.transform("s", lambda x: x["span"]))).alias("o", "span"))
+    return kept.join(first.select(id_col, "span", F.when(F.col("r") == 0, "ner").when(F.col("r") == 1, "heuristic").otherwise("window").alias("method")), [id_col, "span"]).select(id_col, "o", "span", "method")
+
+
+def _retried(state: DataFrame, entries: DataFrame, id_col: str) -> DataFrame:
+    """id, o and the match of unresolved spans, without the surnames that spans before them claimed: one token as a first
+    name, several by blocks."""
+    surname = F.when(F.col("name").isNotNull() & (F.col("confidence") >= 0.70), F.element_at(F.split(X.name_fold(F.col("name")), r"(?U)\s+"), -1))
+    before = Window.partitionBy(id_col).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)  # a note's spans
+    claimed = state.withColumn("claimed", F.collect_set(surname).over(before))
+    tokens = F.filter(F.split(X.strip_honorific(F.col("span")), r"(?U)\s+"), lambda w: F.length(w) >= 2)
+    rest = F.filter(tokens, lambda w: ~F.array_contains("claimed", F.lower(w)))
+    retry = cut(claimed.where("name is null").withColumns({"n": F.size(rest), "m": F.size(tokens), "rest": F.array_join(rest, " ")}).where("n > 0 and n < m").select(id_col, "o", "rest", "n"))
+    one = prepared(retry.where("n = 1").select(F.col("rest").alias("span")))
+    more = prepared(retry.where("n > 1").select(F.col("rest").alias("span")))
+    again = first_name_matches(one, entries).unionByName(blocked_matches(more, entries, THRESHOLD))
+    again = again.select(F.col("span").alias("rest"), F.col("role").alias("r2"), F.col("name").alias("n2"), F.col("confidence").alias("c2"))
+    return retry.join(again, "rest").select(id_col, "o", "r2", "n2", "c2")
+
+
+def correct_names(notes: DataFrame, registry: DataFrame, feedback: DataFrame | None = None, id_col: str = "note_id", text_col: str = "text", recogniser=None, with_windows: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Corrected notes (id, ``corrected``, ``n_names``: how many were corrected) and detections (id, surface, canonical, role, confidence,
+    path, tier, method, was_corrected, is_unresolved), from the spans of all detectors.
+
+    A span that fails is tried again without the surnames that spans before it claimed (longer ones come first), as long
+    as that resolves any; what it resolves claims in its turn."""
+    texts = notes.withColumn("_t", X.nfc(F.col(text_col)))
     entries = cut(index(registry))
-    spans = notes.select(id_col, F.posexplode(X.drop_contained(X.capitalised_spans(X.nfc(F.col(text_col))))).alias("o", "span"))
-    spans = spans.withColumn("span", F.regexp_replace("span", "'s?$", ""))  # a possessive stays in the text
-    spans = spans.where(~X.is_token(F.col("span")) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS))
-    found = resolve(spans, entries)
-    joined = cut(spans.join(found, "span", "left"))
-    surname = F.when(F.col("name").isNotNull(), F.element_at(F.split(F.lower("name"), " +"), -1))
-    before = Window.partitionBy(id_col).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    claimed = joined.withColumn("claimed", F.collect_set(surname).over(before))
-    own = F.filter(F.split(F.lower("span"), r"\s+"), lambda w: w != "")
-    retry = claimed.where("name is null").withColumn("rest", F.array_join(F.array_except(own, "claimed"), " ")).where((F.col("rest") != "") & (F.col("rest") != F.array_join(own, " ")))
-    again = resolve(retry.select(F.col("rest").alias("span")), entries).select(F.col("span").alias("rest"), F.col("role").alias("r2"), F.col("name").alias("n2"), F.col("confidence").alias("c2"))
-    second = retry.select(id_col, "o", "rest").join(again, "rest").select(id_col, "o", "r2", "n2", "c2")
-    all_ = joined.join(second, [id_col, "o"], "left").select(
-        id_col, "o", F.col("span").alias("surface"), F.coalesce("name", "n2").alias("canonical"), F.coalesce("role", "r2").alias("role"), F.coalesce("confidence", "c2", F.lit(0.0)).alias("confidence"), F.coalesce("path", F.when(F.col("n2").isNotNull(), "contamination"), F.lit("none")).alias("path")
-    )
+    spans = cut(detect(texts, registry, id_col, "_t", recogniser, with_windows))
+    found = resolve(spans.where("method <> 'ner'"), entries).withColumn("ner", F.lit(False))
+    if recogniser is not None:
+        found = found.unionByName(resolve(spans.where("method = 'ner'"), entries, ENTITY_THRESHOLD).withColumn("ner", F.lit(True)))
+    state = cut(spans.withColumn("ner", F.col("method") == "ner").join(found, ["span", "ner"], "left").select(id_col, "o", "span", "method", "role", "name", "confidence", "path"))
+    while True:
+        again = cut(_retried(state, entries, id_col))
+        if again.isEmpty():
+            break
+        state = cut(state.join(again, [id_col, "o"], "left").select(id_col, "o", "span", "method", F.coalesce("role", "r2").alias("role"), F.coalesce("name", "n2").alias("name"), F.coalesce("confidence", "c2").alias("confidence"), F.coalesce("path", F.when(F.col("n2").isNotNull(), "contamination_filter")).alias("path")))
+    all_ = state.select(id_col, "o", F.col("span").alias("surface"), F.col("name").alias("canonical"), F.col("role"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("path", F.lit("none")).alias("path"), "method")
     if feedback is not None:
         from .feedback import apply_feedback
 
         all_ = apply_feedback(all_, feedback)
     all_ = all_.withColumn("tier", F.when(F.col("canonical").isNull(), "skipped").otherwise(X.tier(F.col("confidence"))))
-    used = (F.col("tier") != "skipped") & (F.col("surface") != F.col("canonical"))
-    all_ = all_.withColumns({"was_corrected": used, "is_unresolved": F.col("canonical").isNull()})
+    used = (F.col("tier") != "skipped") & (X.name_fold(F.col("surface")) != X.name_fold(F.col("canonical")))
+    all_ = cut(all_.withColumns({"was_corrected": F.coalesce(used, F.lit(False)), "is_unresolved": F.col("canonical").isNull()}))
     changes = all_.where("was_corrected").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("o", "surface", "canonical"))).alias("changes"))  # a note's spans
-    text = notes.withColumn("_t", X.nfc(F.col(text_col))).join(changes, id_col, "left")
-    fold = F.aggregate(F.coalesce("changes", F.array().cast("array<struct<o:int,surface:string,canonical:string>>")), F.col("_t"), lambda t, x: X.replace_word(t, x["surface"], x["canonical"]))
-    return text.withColumn("corrected", fold).drop("changes", "_t"), all_.drop("o")
+    text = texts.join(changes, id_col, "left")
+    empty = F.array().cast("array<struct<o:int,surface:string,canonical:string>>")
+    fold = F.aggregate(F.coalesce("changes", empty), F.col("_t"), lambda t, x: X.replace_word(t, x["surface"], x["canonical"]))
+    return text.withColumns({"corrected": fold, "n_names": F.size(F.coalesce("changes", empty))}).drop("changes", "_t"), all_.drop("o")
+
+
+def detection_counts(detections: DataFrame, id_col: str = "note_id") -> DataFrame:
+    """id, ``detected``, ``corrected`` and ``unresolved`` of each note that has a detection."""
+    return detections.groupBy(id_col).agg(F.count(F.lit(1)).alias("detected"), F.count_if("was_corrected").alias("corrected"), F.count_if("is_unresolved").alias("unresolved"))
 
 
 def role_map(detections: DataFrame, id_col: str = "note_id") -> DataFrame:

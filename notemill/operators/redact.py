@@ -12,25 +12,32 @@ from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as X
 from ..session import cut
+from .blocking import candidates, token_links
 from .names import role_order
 
 CONFIRM, WINDOWED = 72.0, 78.0
 
 
+def matches(forms: DataFrame, registry: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """``keys``, role, ord, name and ``s`` of all registry names that each of the forms (keys, form) matches by ``match_score``.
+    Candidates are found without loss by their tokens, and each is scored once."""
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 1)
+    tried = cut(forms.withColumn("f", X.name_fold(X.accent_normalise(F.col("form"))))).withColumn("ft", words("f")).where(F.size("ft") > 0)
+    names = registry.select("role", "ord", "name", X.name_fold(F.col("name")).alias("g")).withColumn("gt", words("g"))
+    tried, names = cut(tried.select(*keys, "f", "ft")), cut(names)
+    links = cut(token_links(tried.select(F.explode("ft").alias("w")), names.select(F.explode("gt").alias("t"))))
+    pairs = candidates(tried, names, links, threshold, keys).join(tried.select(*keys, "f"), keys).join(names.select("role", "ord", "name", "g"), ["role", "ord"])
+    distinct = cut(pairs.select("f", "g").distinct().withColumn("s", _match("f", "g", F.lit(threshold))).where("s is not null"))
+    return pairs.join(distinct, ["f", "g"]).select(*keys, "role", "ord", "name", "s")
+
+
 def confirm(spans: DataFrame, registry: DataFrame, threshold: float = WINDOWED) -> DataFrame:
     """span, canonical, role, confidence: the best registry name of each distinct span by
     ``match_score``. The span itself is tried first, then without its title; a tie goes to the
-    patient, then to registry order. Candidates meet by a shared phonetic code of any token or a
-    shared first letter of one, so that no span is scored against the whole registry."""
+    patient, then to registry order."""
     base = spans.select("span").distinct()
-    tried = base.select("span", F.posexplode(F.array_distinct(F.array(F.btrim("span"), X.strip_honorific(F.col("span"))))).alias("c", "form"))
-    tried = tried.withColumn("f", X.accent_normalise(X.name_fold(F.col("form")))).withColumn("ft", F.filter(F.split("f", r"\s+"), lambda w: F.length(w) > 1)).where(F.size("ft") > 0)
-    names = registry.select("role", "ord", "name", X.name_fold(F.col("name")).alias("g")).withColumn("gt", F.filter(F.split("g", r"\s+"), lambda w: F.length(w) > 1))
-    key = lambda t: F.array_union(S.codes_udf(t), F.array(F.concat(F.lit("^"), F.substring(t, 1, 1))))
-    left = tried.select("span", "c", "f", "ft", F.explode("ft").alias("w")).withColumn("k", F.explode(key(F.col("w")))).drop("w")
-    right = names.select("role", "ord", "name", "g", "gt", F.explode("gt").alias("w")).withColumn("k", F.explode(key(F.col("w")))).drop("w")
-    pairs = left.join(right, "k").where(F.size("ft") <= F.size("gt")).select("span", "c", "f", "role", "ord", "name", "g").distinct()
-    scored = pairs.withColumn("s", _match("f", "g", F.lit(threshold))).where("s is not null")
+    forms = base.select("span", F.posexplode(F.array_distinct(F.array(F.btrim("span"), X.strip_honorific(F.col("span"))))).alias("c", "form"))
+    scored = matches(forms, registry, threshold, ["span", "c"])
     best = scored.groupBy("span").agg(F.min(F.struct("c", (-F.round("s", 2)).alias("s"), role_order(F.col("role")).alias("r"), "ord", "role", "name")).alias("b"))
     return best.select("span", F.col("b.name").alias("canonical"), F.col("b.role").alias("role"), (-F.col("b.s")).alias("confidence"))
 
@@ -41,12 +48,24 @@ def _match(f: pd.Series, g: pd.Series, t: pd.Series) -> pd.Series:
 
 
 def windows(notes: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
-    """id, n, at, span: windows of four to one words that could be names."""
-    grams = notes.select(id_col, F.explode(X.ngrams(F.col(text_col), [4, 3, 2, 1])).alias("g")).select(id_col, "g.n", "g.at", F.regexp_replace("g.span", r"(?U)\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z", "").alias("span"))
-    grams = grams.withColumn("bare", X.strip_honorific(F.col("span")))
-    parts = F.transform(F.split(F.col("bare"), " +"), lambda w: F.lower(w))
-    stop = L.ENTITY_STOP_WORDS
-    return grams.where(F.col("bare").rlike(r"^\p{Lu}") & (F.length("bare") >= 4) & ~F.forall(parts, lambda w: w.isin(stop))).select(id_col, "n", "at", "span")
+    """id, n, at, span: windows of four to one words that could be names; others go before anything is exploded."""
+    bare = lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), F.regexp_replace(g["span"], r"(?U)\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z", "").alias("span"))
+    # the first word or, after a title, the second begins with a capital
+    grams = F.filter(X.ngrams(F.col(text_col), [4, 3, 2, 1]), lambda g: g["span"].rlike(r"(?U)\A\P{Alnum}*\p{Lu}|\A\S+\s+\P{Alnum}*\p{Lu}"))
+    own = F.transform(F.transform(grams, bare), lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), g["span"].alias("span"), X.strip_honorific(g["span"]).alias("bare")))
+    stop = F.array(*map(F.lit, L.ENTITY_STOP_WORDS))
+    good = F.filter(own, lambda g: g["bare"].rlike(r"^\p{Lu}") & (F.length(g["bare"]) >= 4) & (F.size(F.array_except(F.split(F.lower(g["bare"]), " +"), stop)) > 0))
+    return notes.select(id_col, F.explode(good).alias("g")).select(id_col, "g.n", "g.at", "g.span")
+
+
+def detected(notes: DataFrame, detector, id_col: str, text_col: str) -> DataFrame:
+    """id, n, at, span of a detector's spans: titles stripped, stop words and short ones dropped, ones within a longer one
+    dropped, longest first. A detector takes (notes, id column, text column) and returns the id and ``span``."""
+    found = detector(notes, id_col, text_col).select(id_col, X.strip_honorific(F.btrim("span")).alias("span"))
+    stop = F.array(*map(F.lit, L.ENTITY_STOP_WORDS))
+    found = found.where((F.length("span") >= 2) & (F.size(F.array_except(F.split(F.lower("span"), r"(?U)\s+"), stop)) > 0))
+    each = found.groupBy(id_col).agg(F.array_sort(F.collect_set("span")).alias("s"))  # a note's spans
+    return each.select(id_col, F.posexplode(X.drop_contained(F.col("s"))).alias("o", "span")).select(id_col, F.lit(1).alias("n"), F.col("o").alias("at"), "span")
 
 
 def covering(found: DataFrame, id_col: str = "note_id") -> DataFrame:
@@ -78,19 +97,25 @@ def number_tokens(events: DataFrame, id_col: str = "note_id") -> DataFrame:
     return events.withColumn("key", name).join(own.unionByName(lent), [id_col, "key"]).drop("key")
 
 
-def redact(notes: DataFrame, registry: DataFrame, id_col: str = "note_id", text_col: str = "text", threshold: float = WINDOWED) -> tuple[DataFrame, DataFrame]:
-    """Redacted notes (``redacted``, ``pii_map``) and the redaction events."""
+def redact(notes: DataFrame, registry: DataFrame, id_col: str = "note_id", text_col: str = "text", threshold: float = WINDOWED, detector=None, maps_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Redacted notes (``redacted``, ``pii_map``) and the redaction events. Spans come from windows of words, or from a
+    ``detector``, whose spans need a confidence of CONFIRM alone. With ``maps_path`` the maps are written there by note."""
     texts = notes.withColumn("_t", X.nfc(F.coalesce(F.col(text_col), F.lit(""))))
-    spans = windows(texts, id_col, "_t")
-    taken = cut(covering(spans.join(confirm(spans, registry, threshold), "span"), id_col))
+    spans = cut(detected(texts, detector, id_col, "_t") if detector else windows(texts, id_col, "_t"))
+    taken = cut(covering(spans.join(confirm(spans, registry, CONFIRM if detector else threshold), "span"), id_col))
     events = number_tokens(taken, id_col)
     alias = F.row_number().over(Window.partitionBy(id_col, F.lower(X.first_name_alias(F.col("canonical")))).orderBy("o")) == 1
     events = events.withColumn("alias", F.when(alias, X.first_name_alias(F.col("canonical"))))
     steps = F.filter(F.array(F.col("canonical"), F.when(F.lower("span") != F.lower("canonical"), F.col("span")), F.col("alias")), lambda x: x.isNotNull())
-    per_note = events.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("o", "token", steps.alias("needles"), "canonical"))).alias("e"))
+    pairs = F.array_sort(F.collect_list(F.struct("o", "token", steps.alias("needles"))))
+    names = events.groupBy(id_col, "token").agg(F.min_by("canonical", "o").alias("canonical")).groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "canonical")))).alias("m"))
+    per_note = events.groupBy(id_col).agg(pairs.alias("e")).join(names, id_col)
     joined = texts.join(per_note, id_col, "left")
-    empty = F.array().cast("array<struct<o:int,token:string,needles:array<string>,canonical:string>>")
+    empty = F.array().cast("array<struct<o:int,token:string,needles:array<string>>>")
     fold = F.aggregate(F.coalesce("e", empty), F.col("_t"), lambda t, x: F.aggregate(x["needles"], t, lambda u, n: X.name_to_token(u, n, x["token"])))
-    tokens = F.transform(F.coalesce("e", empty), lambda x: F.struct(x["token"].alias("key"), x["canonical"].alias("value")))
-    once = F.filter(tokens, lambda x, i: F.array_position(F.transform(tokens, lambda y: y["key"]), x["key"]) == i + 1)
-    return joined.withColumns({"redacted": fold, "pii_map": F.map_from_entries(once)}).drop("_t", "e"), events
+    done = joined.withColumns({"redacted": fold, "pii_map": F.coalesce("m", F.create_map().cast("map<string,string>"))}).drop("_t", "e", "m")
+    if maps_path:
+        from ..sources.tables import write_maps
+
+        write_maps(events.groupBy(F.col(id_col).cast("string").alias("session_id"), "token").agg(F.min_by("canonical", "o").alias("canonical")), maps_path)
+    return done, events

@@ -6,6 +6,9 @@ text on. Whatever it returns is guarded, so that a bad rewrite falls back to its
 from __future__ import annotations
 
 import difflib
+import random
+import re
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -78,6 +81,46 @@ def is_error(response: Column) -> Column:
     return F.startswith(response, F.lit("ERROR:"))
 
 
+def wait_for(response: str, attempt: int) -> float:
+    """Seconds to wait after a failure: what a rate limit asks for and one more, else 2, 4, 8, .. and at most 90, a fifth more or less
+    at random."""
+    asked = re.search(r"retry.after[^\d]*(\d+\.?\d*)", response, re.IGNORECASE)
+    return float(asked[1]) + 1.0 if asked else min(2.0 * 2**attempt * random.uniform(0.8, 1.2), 90.0)
+
+
+def call(chat: Callable[[str], str], text: str, limits: int = 6, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The answer of ``chat`` to a text. A failure that names a rate limit is waited out, up to ``limits`` times a call; an error
+    or an empty answer is tried again after 1, 2, .. seconds, ``attempts`` calls in all. Never raises: what fails is "ERROR: ..."."""
+    answer = "ERROR: no answer"
+    for attempt in range(attempts):
+        if attempt:
+            sleep(float(attempt))
+        for turn in range(limits + 1):
+            try:
+                answer = chat(text)
+                break
+            except Exception as error:  # whatever a client raises
+                answer = f"ERROR: {error}"
+                limited = "429" in answer or re.search("rate.?limit", answer, re.IGNORECASE)
+                if not limited or turn == limits:
+                    break
+                sleep(wait_for(answer, turn))
+        if isinstance(answer, str) and answer.strip() and not answer.startswith("ERROR:"):
+            return answer
+    return answer if isinstance(answer, str) and answer.startswith("ERROR:") else "ERROR: empty answer"
+
+
+def rewriter_of(chat: Callable[[str], str], **options) -> Callable[[Column], Column]:
+    """A rewriter for ``standardise`` and ``professionalise`` from a function of one text, called with retries on the
+    executors, a batch of rows at a time; it must be picklable."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: call(chat, t, **options) if t and t.strip() else t)
+
+    return run
+
+
 def _rewritten(notes: DataFrame, text: Column, rewriter: Callable[[Column], Column] | None, bounds) -> Column:
     candidate = X.strip_preamble(rewriter(text)) if rewriter else text
     return guard(text, F.when(is_error(candidate), text).otherwise(candidate), bounds)

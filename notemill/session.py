@@ -20,11 +20,15 @@ def local(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by files in the folder of ``spark.checkpoint.dir``; only where
-    that is unset, as in tests, in a folder of our own."""
+    """``df`` computed once, its lineage cut by files in the folder of ``spark.checkpoint.dir``, or in the one that is set on the
+    context. Only on one machine (a ``local`` master) and with neither set, as in tests, in a folder of our own."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("spark.notemill.checkpoints", None):
-        path = "file://" + tempfile.mkdtemp(prefix="notemill-")
-        spark.conf.set("spark.notemill.checkpoints", path)
-        spark.sparkContext.setCheckpointDir(path)
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if context.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="notemill-")
+        context.setCheckpointDir(path)
     return df.checkpoint()

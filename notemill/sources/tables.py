@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions import text as X
 
+log = logging.getLogger(__name__)
 NOTES = "array<struct<patientId:string,transcriptions:array<struct<_id:string,text:string>>>>"
 
 
 @dataclass(frozen=True)
 class Options:
-    """Settings; ``from_conf`` reads those of a session under ``notemill.``"""
+    """Settings; ``from_conf`` reads those of a session under ``spark.notemill.``, ``from_yaml`` those of a file."""
 
     provider: str = "none"
+    store_format: str = "mongodb"
+    store_uri: str = ""
+    store_database: str = "notes"
+    dictionary_path: str = "medical_terms.csv"
     threshold: float = 78.0
     window_tokens: int = 6000
     window_requests: int = 28
@@ -34,6 +41,25 @@ class Options:
                 found[name] = text.lower() == "true" if isinstance(default, bool) else type(default)(text)
         return cls(**found)
 
+    @classmethod
+    def from_yaml(cls, spark: SparkSession, path: str) -> "Options":
+        """Settings of a YAML file of any nesting, by their names; a missing or empty one gives the defaults."""
+        if not exists(spark, path):
+            log.warning("no settings at %s", path)
+            return cls()
+        import yaml
+
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+        found, todo = {}, [yaml.safe_load(text) or {}]
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        while todo:
+            for key, value in todo.pop().items():
+                if isinstance(value, dict):
+                    todo.append(value)
+                elif key in kinds and value is not None:
+                    found[key] = kinds[key](value)
+        return cls(**found)
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,12 +76,31 @@ def read_registry(spark: SparkSession, path: str, role: str) -> DataFrame:
     return rows.select(F.lit(role).alias("role"), F.monotonically_increasing_id().alias("ord"), F.btrim("name").alias("name")).where("name is not null and name <> ''")
 
 
-def registry_from(documents: DataFrame, fallback: DataFrame, role: str, name_col: str = "name") -> DataFrame:
-    """A registry from a document store's rows, or the fallback where it has none."""
-    good = documents.where(F.col(name_col).isNotNull() & (F.btrim(name_col) != ""))
-    if good.isEmpty():
+def store(spark: SparkSession, options: Options, collection: str) -> DataFrame | None:
+    """A collection of the document store, read by the connector that ``store_format`` names; None without an address."""
+    if not options.store_uri.strip():
+        return None
+    return spark.read.format(options.store_format).option("connection.uri", options.store_uri).option("database", options.store_database).option("collection", collection).load()
+
+
+def registry_from(read: Callable[[], DataFrame | None], fallback: DataFrame, role: str, name_col: str = "name", ord_col: str | None = None) -> DataFrame:
+    """A registry from what ``read`` gives (a document store's rows), or the fallback where it gives none or fails. Names
+    are in the order of ``ord_col``, else of the alphabet, so that partitioning doesn't matter."""
+    try:
+        documents = read()
+        good = documents.where(F.col(name_col).isNotNull() & (F.btrim(name_col) != "")) if documents is not None else None
+        if good is None or good.isEmpty():
+            return fallback
+    except Exception as error:  # whatever a connector raises: the file is the way out
+        log.warning("registry of %s: %s", role, error)
         return fallback
-    return good.select(F.lit(role).alias("role"), F.monotonically_increasing_id().alias("ord"), F.btrim(name_col).alias("name"))
+    order = [F.col(ord_col)] if ord_col else []
+    return good.orderBy(*order, F.btrim(name_col)).select(F.lit(role).alias("role"), F.monotonically_increasing_id().alias("ord"), F.btrim(name_col).alias("name"))
+
+
+def parse_id(value: Column) -> Column:
+    """An id of 24 hexadecimal digits in lower case, as stores print object ids; any other as it is."""
+    return F.when(value.rlike(r"\A[0-9A-Fa-f]{24}\z"), F.lower(value)).otherwise(value)
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +114,12 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("ord"), text(fields[0]).alias("term"), text(fields[1]).alias("meaning"), X.json_list(text(fields[2])).alias("variants"))
 
 
-def note_text(documents: DataFrame, transcription_id: str) -> DataFrame:
-    """The text of the nested transcription with an id: one row, or none."""
-    flat = documents.select(F.explode("patientsNotes").alias("n")).select(F.explode("n.transcriptions").alias("t"))
-    return flat.where(F.col("t._id") == transcription_id).select("t.text").limit(1)
+def note_text(documents: DataFrame, transcription_id: str, ord_col: str | None = None) -> DataFrame:
+    """The text of the nested transcription with an id, of the first document that has it: one row, or none."""
+    order = F.col(ord_col) if ord_col else F.lit(0)
+    flat = documents.select(order.alias("ord"), F.posexplode("patientsNotes").alias("i", "n")).select("ord", "i", F.posexplode("n.transcriptions").alias("j", "t"))
+    own = flat.where(parse_id(F.col("t._id")) == parse_id(F.lit(transcription_id)))
+    return own.select("ord", "i", "j", F.col("t.text").alias("text")).orderBy("ord", "i", "j", "text").limit(1).select("text")
 
 
 def patient_text(documents: DataFrame, ord_col: str = "ord") -> DataFrame:

@@ -3,6 +3,7 @@ apply to a stream as they are; what needs state is stated here."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,34 @@ def usage_stream(log: DataFrame, key: str = "key", ts: str = "ts", tokens: str =
     return log.withWatermark(ts, late).groupBy(window.alias("w"), key).agg(F.sum(tokens).alias("used_tokens"), F.count(F.lit(1)).alias("used_requests")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "used_tokens", "used_requests")
 
 
+def exact_usage_stream(log: DataFrame, key: str, ts: str = "ts", tokens: str = "tokens", seconds: int = 60, most_tokens: int = 6000, most_requests: int = 28) -> DataFrame:
+    """``key``, ``ts``, ``tokens``, ``used_tokens``, ``used_requests`` and ``admitted`` of each request of a stream, by the same frame as
+    ``limits.window_usage``: the window that ends at the request, a request exactly ``seconds`` ago included. The state of a key
+    holds the requests of its last window. Rows of a batch are taken in the order of their times."""
+    kinds = dict(log.dtypes)
+    out = f"`{key}` {kinds[key]}, ts timestamp, tokens long, used_tokens long, used_requests long, admitted boolean"
+
+    def run(keys, frames, state):
+        rows = pd.concat(list(frames), ignore_index=True)
+        at, n = (list(x) for x in state.get) if state.exists else ([], [])
+        times = rows[ts].astype("int64") // (1000 if str(rows[ts].dtype).endswith("ns]") or "ns" in str(rows[ts].dtype) else 1)
+        new = sorted(zip(times.tolist(), rows[tokens].fillna(0).astype("int64").tolist()))
+        every = sorted([*zip(at, n), *new])
+        span = seconds * 1_000_000
+        used = [[y for x, y in every if t - span <= x <= t] for t, _ in new]
+        last = every[-1][0]
+        held = [(x, y) for x, y in every if x >= last - span]
+        state.update(([x for x, _ in held], [y for _, y in held]))
+        yield pd.DataFrame(
+            {
+                key: [keys[0]] * len(new), "ts": pd.to_datetime([t for t, _ in new], unit="us"), "tokens": [y for _, y in new], "used_tokens": [sum(u) for u in used], "used_requests": [len(u) for u in used],
+                "admitted": [sum(u) <= most_tokens and len(u) <= most_requests and y <= most_tokens for u, (_, y) in zip(used, new)],
+            }
+        )
+
+    return log.select(key, ts, tokens).groupBy(key).applyInPandasWithState(run, out, "at array<long>, n array<long>", "append", "NoTimeout")
+
+
 def feedback_stream(log: DataFrame, detections: DataFrame) -> DataFrame:
     """Running counts of a feedback stream joined to static detections (stream-static join)."""
     return log.join(detections, log["proposed"] == detections["canonical"], "left_semi").groupBy("proposed").agg(F.count_if(~F.col("accepted")).alias("misses"), F.count(F.lit(1)).alias("events"))

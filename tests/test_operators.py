@@ -38,7 +38,7 @@ def test_restore(spark, text, pii_map, want, left):
 
 def test_restore_errors(spark):
     rows = restore.restore(spark.createDataFrame([(None, {"A": "b"}), ("x", None)], "text string, pii_map map<string,string>")).collect()
-    assert [r.error for r in rows] == ["text is null", "no map"] and [r.restored for r in rows] == ["", "x"]
+    assert [r.error for r in rows] == ["text is null", "no map"] and [r.restored for r in rows] == [None, "x"]
 
 
 def test_redact_and_back(spark, registry):
@@ -170,3 +170,143 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select restored from restored").first()[0] == "Ana"
+
+
+def test_window_detector_and_recogniser(spark):
+    reg = spark.createDataFrame([("patient", 0, "Marcus O'Reilly"), ("nurse", 0, "Dharani Kumar"), ("patient", 1, "Emma Thompson"), ("patient", 2, "Anne Kelly")], "role string, ord long, name string")
+    df = notes(spark, "nurse dharanee kumar said markus oreilly ate", "Nurse DHARANEE KUMAR came", "Emma Thompson and Anne Thompson", "nothing here at all", "", None)
+    spans = {(r.note_id, r.span) for r in names.window_detector(df, reg, "note_id", "text").collect()}
+    assert any("dharanee kumar" in b.lower() for a, b in spans if a == "0") and any("markus oreilly" in b for a, b in spans if a == "0")
+    fixed, found = names.correct_names(df, reg)
+    text = {r.note_id: r.corrected for r in fixed.collect()}
+    assert "Dharani Kumar" in text["0"] and "Marcus O'Reilly" in text["0"] and "Dharani Kumar" in text["1"] and text["3"] == "nothing here at all" and text["5"] is None
+    rows = {(r.note_id, r.surface): r for r in found.collect()}
+    assert rows["2", "Anne Thompson"].path in ("contamination_filter", "phonetic", "first_name") and rows["2", "Anne Thompson"].canonical == "Anne Kelly"
+    counts = {r.note_id: r for r in names.detection_counts(found).collect()}
+    assert counts["0"].corrected == 2 and "3" not in counts
+
+    def recogniser(notes_, id_col, text_col):
+        return notes_.where(F.contains(text_col, F.lit("said"))).select(id_col, F.lit("said markus").alias("span"))
+
+    _, with_ner = names.correct_names(df, reg, recogniser=recogniser)
+    assert "ner" in {r.method for r in with_ner.collect()}
+
+
+def test_redact_with_a_detector_and_maps(spark, registry, tmp_path):
+    def detector(notes_, id_col, text_col):
+        return notes_.select(id_col, F.explode(F.array(F.lit("Dr ana ruiz"), F.lit("ruiz"), F.lit("the"), F.lit("Zed"))).alias("span"))
+
+    done, events = redact.redact(notes(spark, "Dr ana ruiz slept"), registry, detector=detector, maps_path=f"file://{tmp_path}/maps")
+    assert done.first().redacted == "Dr PATIENT1 slept" and [r.span for r in events.collect()] == ["ana ruiz"]
+    assert [tuple(r) for r in tables.read_maps(spark, f"file://{tmp_path}/maps").collect()] == [("PATIENT1", "Ana Ruiz", "0")]
+
+
+def test_candidates_lose_nothing(spark):
+    """The same best names as scoring every span against the whole registry."""
+    import random
+
+    from notemill.functions import lexicons as L
+    from notemill.functions import similarity as S
+
+    r = random.Random(5)
+    reg = [("patient" if i % 2 else "nurse", i, n) for i, n in enumerate(L.curated_names())]
+    spans = set()
+    for _ in range(400):
+        w = list(r.choice(L.curated_names()).replace("'", ""))
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice("abcdeiou rst")
+        spans.add("".join(w).strip().title())
+    spans |= {"Boyle", "Doyle", "Murphy Murphy", "Mary", "X", "Zq"}
+    spans = {s for s in spans if s}
+    registry_ = spark.createDataFrame(reg, "role string, ord long, name string")
+    got = {x.span: (x.canonical, x.role, x.confidence) for x in redact.confirm(spark.createDataFrame([(s,) for s in spans], "span string"), registry_).collect()}
+    import re as re_
+
+    fold = lambda t: "".join(c for c in __import__("unicodedata").normalize("NFD", t) if __import__("unicodedata").category(c) != "Mn" and c not in "'’ʼ").lower()
+
+    def accents(t):
+        for p, new in L.accent_rules():
+            t = re_.sub(p, new, t, flags=re_.I)
+        return t
+
+    for s in spans:
+        scored = [((S.match_score(fold(accents(s)), fold(n), 78)), role, i, n) for role, i, n in reg]
+        scored = [(x, role, i, n) for x, role, i, n in scored if x is not None]
+        if not scored:
+            assert s not in got, s
+            continue
+        best = max(round(x + 1e-12, 2) for x, *_ in scored)
+        assert s in got and got[s][2] == pytest.approx(best, abs=0.0101), s
+        assert got[s][0] in {n for x, _, _, n in scored if x >= best - 0.0101}, s
+
+
+def test_store_retry_and_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    assert feedback.load(spark, path).isEmpty()
+    rows = spark.createDataFrame([(1, "anna", "Ana Ruiz", True, "patient", None, None)], LOG)
+    feedback.append(rows, path)
+    feedback.append(rows.withColumn("seq", F.lit(2).cast("long")), path)
+    assert feedback.load(spark, path).count() == 2
+    feedback.reset(spark, path)
+    assert feedback.load(spark, path).isEmpty()
+    (tmp_path / "other" / "version=0").mkdir(parents=True)
+    assert feedback.load(spark, f"file://{tmp_path}/other").isEmpty()
+    slept, answers = [], iter([RuntimeError("429 rate limit, retry after 3.5 s"), "ERROR: busy", "", "fine"])
+
+    def chat(text):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert terms.call(chat, "t", sleep=slept.append) == "fine" and slept == [4.5, 1.0, 2.0]
+    assert terms.call(lambda t: "ok", "t", sleep=slept.append) == "ok"
+    assert 1.6 <= terms.wait_for("429", 0) <= 2.4 and terms.wait_for("429", 9) == 90.0
+    df = notes(spark, "b p high today")
+    row = terms.professionalise(terms.standardise(df, []).drop("ok", "corrections"), terms.rewriter_of(lambda t: "Here is the note: " + t.upper())).first()
+    assert row.professional == "B P HIGH TODAY" and row.ok
+    (tmp_path / "c.yaml").write_text("llm:\n  provider: none\n  limits:\n    window_tokens: 77\nthreshold: 81\n")
+    own = tables.Options.from_yaml(spark, f"file://{tmp_path}/c.yaml")
+    assert own.window_tokens == 77 and own.threshold == 81.0 and tables.Options.from_yaml(spark, f"file://{tmp_path}/no.yaml") == tables.Options()
+    assert tables.store(spark, own, "names") is None
+    back = spark.createDataFrame([("nurse", 0, "Bo Lee")], "role string, ord long, name string")
+
+    def broken():
+        raise OSError("no store")
+
+    assert tables.registry_from(broken, back, "nurse").first().name == "Bo Lee"
+    assert tables.registry_from(lambda: None, back, "nurse").first().name == "Bo Lee"
+    assert [x.name for x in tables.registry_from(lambda: back.select("name").union(back.select(F.lit(" Al Fox "))), back, "nurse").orderBy("ord").collect()] == ["Al Fox", "Bo Lee"]
+    ids = spark.createDataFrame([("ABCDEF0123456789abcdef01",), ("n-7",)], "x string").select(tables.parse_id(F.col("x"))).collect()
+    assert [x[0] for x in ids] == ["abcdef0123456789abcdef01", "n-7"]
+    requests = spark.createDataFrame([("a", " "), ("b", "own"), ("c", None)], "k string, txt string")
+    found = tables.resolve_text(requests, spark.createDataFrame([("a", "stored")], "k string, text string"), "k")
+    assert {(x.k, x.text, x.status) for x in found.collect()} == {("a", "stored", "ok"), ("b", "own", "ok"), ("c", None, "no text")}
+
+
+def test_maps_with_repeated_tokens(spark):
+    maps = spark.createDataFrame([("s", "PATIENT1", "Ana"), ("s", "PATIENT1", "Bea"), ("s", None, "x"), ("s", "NURSE1", None)], "session_id string, token string, canonical string")
+    rows = {r.session_id: r for r in restore.with_maps(spark.createDataFrame([("s",), ("t",)], "session_id string"), maps).collect()}
+    assert rows["s"].pii_map == {"PATIENT1": "Bea"} and rows["s"].map_status == "loaded" and rows["t"].map_status == "missing" and rows["t"].pii_map == {}
+    row = restore.restore(spark.createDataFrame([("PATIENT1 ok", {"PATIENT1": "A", "NURSE9": "B"})], "text string, pii_map map<string,string>")).first()
+    assert row.unused == ["NURSE9"]
+
+
+def test_exact_stream_limiter(spark, tmp_path):
+    from notemill.streaming import notes as N
+
+    rows = [("k%d" % (i % 2), i * 7 % 200 + i // 10 * 0, 5 + i) for i in range(40)]
+    rows = [(k, s + i / 1000, n) for i, (k, s, n) in enumerate(sorted(rows, key=lambda x: x[1]))]
+    schema = "key string, s double, tokens long"
+    df = lambda own: spark.createDataFrame(own, schema).withColumn("ts", F.timestamp_micros((F.col("s") * 1000000).cast("long")))
+    src = f"file://{tmp_path}/in"
+    df(rows[:20]).coalesce(1).write.parquet(src)
+    stream = N.exact_usage_stream(spark.readStream.schema(df([]).schema).option("maxFilesPerTrigger", 1).parquet(src), "key", most_tokens=100)
+    q = stream.writeStream.format("memory").queryName("usage").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    df(rows[20:]).coalesce(1).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.key, r.tokens, r.used_tokens, r.used_requests, r.admitted) for r in spark.sql("select * from usage").collect()}
+    want = {(r.key, r.tokens, r.used_tokens, r.used_requests, r.admitted) for r in limits.window_usage(df(rows), "key", most_tokens=100).collect()}
+    assert got == want and len(got) == 40

@@ -14,7 +14,7 @@ def one(spark, build, *values):
 
 
 def test_lexicon_sizes():
-    assert len(L.accent_rules()) == 102 and len(L.phonetic_variants()) == 117
+    assert len(L.accent_rules()) == 108 and len(L.phonetic_variants()) == 117
     assert len(L.curated_names()) == 108 and len(L.SURNAMES) == 85 and len(L.first_names()) == 117
 
 
@@ -76,7 +76,29 @@ def test_small_ones(spark):
     assert one(spark, X.unix_lines, "a\r\nb\rc") == "a\nb\nc"
     assert one(spark, X.first_name_alias, "Juana Diaz") == "Juana" and one(spark, X.first_name_alias, "Ana Ruiz") is None
     assert one(spark, X.estimate_tokens, "") == 1 and one(spark, X.estimate_tokens, "one two three") == 4
+    assert one(spark, X.json_list, r"""['a, b', "c\"d", 'it\'s', bare , '']""") == ["a, b", 'c"d', "it's", "bare"]
     assert one(spark, X.json_list, "['b p', \"B.P\"]") == ["b p", "b.p"] and one(spark, X.json_list, None) == []
     assert one(spark, X.strip_preamble, "Sure, here is the note: Fine.") == "Fine."
     assert one(spark, X.strip_preamble, "Fine.\nNote: stays") == "Fine.\nNote: stays"
     assert one(spark, X.protection_tokens, "PATIENT1 MANAGER2 xPATIENT3 PATIENT1") == ["PATIENT1", "MANAGER2"]
+
+
+def test_nfc_is_skipped_only_where_it_changes_nothing():
+    """Every character that NFC changes, alone or after another, is one that the guard sees."""
+    import re
+    import sys
+    import unicodedata
+
+    guard = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U%08x" % int(m[1], 16), X.NOT_NFC).replace(r"\p{M}", ""))
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", c) != c:
+            assert guard.search(c) or unicodedata.category(c)[0] == "M", hex(i)
+        elif unicodedata.combining(c):
+            assert unicodedata.category(c)[0] == "M", hex(i)
+
+
+def test_fold_of_ascii_and_beyond(spark):
+    rows = ["O'Neill", "ÁB", "", "Zoë d’Arc", None, "İz"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(X.name_fold(F.col("x"))).collect()]
+    assert got == [None if x is None else X._fold(x) for x in rows]
