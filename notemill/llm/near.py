@@ -18,9 +18,10 @@ differ in many more bits than a hard decision bears (about 15 in 100 at a simila
 
 Texts of equal words (A-Z as a-z) are folded to one node before anything is compared. Of each key's group a spanning
 forest of its candidates is verified first, so that a cluster of near copies costs its size. What candidates
-connect is then compared wherever that left several components: in rounds that grow, each node's next nearest candidates
-of other components, until none are left. So no link is lost, and pairs within a component aren't formed. Large
-groups are split into cells of two blocks.
+connect is then compared wherever that left several components: in rounds that double, each node's next nearest
+candidates of other components, until a round links nothing or none are left. Pairs within a component aren't formed, and
+a group's work grows with its size. A link is lost only where a whole round of nearer candidates, of all
+nodes, had none. Large groups are split into cells of two blocks.
 
 Defined results: null and word-less texts are one node; the smallest id of a component stays (null
 last; ids of any type), and of rows that repeat it, that of the smallest row key; rows that are equal in id and
@@ -45,7 +46,7 @@ SHINGLE_WORDS, LEAST = 5, 0.8
 SEGMENTS, NEAREST, BITS = 5, 3, 115
 MOST_BITS = 34
 #: Nearest candidates of a node in the first round, and how many more the next rounds take; nodes of a block.
-FIRST, GROWTH, BLOCK = 16, 4, 20_000
+FIRST, GROWTH, BLOCK = 4, 2, 20_000
 _PAIRS = [(x, y) for x in range(SEGMENTS) for y in range(x + 1, SEGMENTS)]
 
 
@@ -304,9 +305,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str,
         new = run.table(new, "pairs")
         done.append(new)
         more = run.table(_verified(new, sets, least), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links, run)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links, run)
         begin, size = begin + size, GROWTH * size
     return roots
 
