@@ -241,7 +241,7 @@ def _next(begin: int, end: int):
         a, b, more = [], [], False
         for left, right in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
             if len(sides) == 1:  # each pair has an end outside the largest root
-                _, which, count = np.unique(first, return_inverse=True, return_counts=True)
+                _, which, count = np.unique(root, return_inverse=True, return_counts=True)
                 left = left[which[left] != count.argmax()]
             width = max(1, (1 << 22) // max(len(right), 1))
             for at in range(0, len(left), width):
