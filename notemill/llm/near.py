@@ -13,26 +13,27 @@ differ in many more bits than a hard decision bears (about 15 in 100 at a simila
   Measured on random sets, a pair of similarity 0.8 shares a key with probability 0.98, one of 0.85
   with 0.99, one of 0.9 with over 0.999 (``tests/llm``).
 * Entries meet by pair and first index, so that the three keys of one first index travel as one entry.
-  Those that share a key and differ in ``MOST_BITS`` bits or fewer are candidates.
+  Those that share a key and differ in ``MOST_BITS`` bits or fewer are candidates, unless their sizes or a second
+  word, one bit of the least hash of each of 64 parts of the set, rule the similarity out.
 * Candidates are verified on their whole shingle sets (64-bit hashes).
 
-Texts of equal words (A-Z as a-z) are folded to one node before anything is compared. Of each key's group a spanning
-forest of its candidates is verified first, so that a cluster of near copies costs its size. What candidates
-connect is then compared wherever that left several components: in rounds that double, each node's next nearest
-candidates of other components, until a round links nothing or none are left. Pairs within a component aren't formed, and
-a group's work grows with its size. A link is lost only where a whole round of nearer candidates, of all
-nodes, had none. Large groups are split into cells of two blocks.
+Texts of equal words (A-Z as a-z) are folded to one node before anything is compared. A bucket of keys hands on what its
+candidates connect, as stars, not their pairs. The sets of each group so connected meet once, in blocks of ``BLOCK`` bytes:
+a block is searched breadth first, each node verified against the candidates that no link has reached yet, so that a cluster
+of near copies costs its size and no pair becomes a row. Of groups of several blocks that aren't one component then, blocks
+meet by two, the first one with each first. No candidate of another component is left out.
 
 Defined results: null and word-less texts are one node; the smallest id of a component stays (null
 last; ids of any type), and of rows that repeat it, that of the smallest row key; rows that are equal in id and
 text count once; columns stay as they are, whatever their names; an empty table gives an empty table.
-A key's group is held by one task, at 34 bytes a distinct text.
+A key's group is held by one task, at 42 bytes a distinct text; a task that verifies holds two blocks and one text more.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,10 @@ from .simhash import code_bits
 SHINGLE_WORDS, LEAST = 5, 0.8
 SEGMENTS, NEAREST, BITS = 5, 3, 115
 MOST_BITS = 34
-#: Nearest candidates of a node in the first round, and how many more the next rounds take; nodes of a block.
-FIRST, GROWTH, BLOCK = 4, 2, 20_000
+#: Of 64 bits of least hashes: 6 differ at a similarity of 0.8 on average, with a spread of 2.4, and 32 of unlike sets.
+MOST_MINS = 18
+#: Bytes of sets of a block.
+BLOCK = 8_000_000
 _PAIRS = [(x, y) for x in range(SEGMENTS) for y in range(x + 1, SEGMENTS)]
 
 
@@ -90,6 +93,14 @@ class Sets(Words):
                 out[i] = x.tobytes()
         return out
 
+    def mins(self) -> np.ndarray:
+        """One bit of the least hash of each of 64 parts of each set; 0 for a part that is empty."""
+        h, n = mix(self.hashes_, 13), len(self.first_) - 1
+        least = np.full(n * 64, np.uint64(2**64 - 1))
+        np.minimum.at(least, np.repeat(np.arange(n), np.diff(self.first_)) * 64 + (h >> np.uint64(58)).astype(np.int64), h << np.uint64(6))
+        bits = (least >> np.uint64(8) & np.uint64(1)).astype(np.uint8) * (least != np.uint64(2**64 - 1))
+        return np.packbits(bits.reshape(n, 64), axis=1, bitorder="little").view("<u8").ravel()
+
 
 _code: list[np.ndarray] = []
 
@@ -112,20 +123,21 @@ def soft_indices(margins: np.ndarray) -> np.ndarray:
 _SIGNS, _SIZE = np.uint64((1 << BITS - 64) - 1), np.uint64(BITS - 64)
 
 
-def _prints(margins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Two 64-bit words a row: the signs, and in the bits that they leave the size of the set in steps of a 20th."""
+def _prints(margins: np.ndarray, sizes: np.ndarray, mins: np.ndarray) -> np.ndarray:
+    """Three 64-bit words a row: the signs, and in the bits that they leave the size of the set in steps of a 20th; the
+    bits of least hashes."""
     bits = np.zeros((len(margins), 128), np.uint8)
     bits[:, :BITS] = margins > 0
     words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     words[:, 1] |= (np.log(np.maximum(sizes, 1)) / np.log(1.05)).astype(np.uint64) << _SIZE
-    return words
+    return np.column_stack([words, mins.astype(np.uint64)])
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits; 1000 more where the sizes alone rule a similarity of LEAST out (a step of slack included)."""
+    """Differing bits; 1000 and more where sizes (a step of slack included) or least hashes rule a similarity of LEAST out."""
     signs = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16) + np.bitwise_count((x[..., 1] ^ y[..., 1]) & _SIGNS)
     away = np.abs((x[..., 1] >> _SIZE).astype(np.int16) - (y[..., 1] >> _SIZE).astype(np.int16))
-    return signs + 1000 * (away > 6).astype(np.int16)
+    return signs + 1000 * ((away > 6) | (np.bitwise_count(x[..., 2] ^ y[..., 2]) > MOST_MINS)).astype(np.int16)
 
 
 def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,18 +156,6 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (rest[:0], rest[:0])
 
 
-def _nearest(prints: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of each of ``left`` its ``begin``-th to ``end``-th nearest candidates of ``right`` of another root, ties in order, and
-    whether any has more."""
-    away = _differ(prints[left][:, None], prints[right][None])
-    away[roots[left][:, None] == roots[right][None]] = 1000
-    order = np.argsort(away, axis=1, kind="stable")[:, begin : end + 1]
-    good = np.take_along_axis(away, order, axis=1) <= MOST_BITS
-    more = good.shape[1] > end - begin and bool(good[:, -1].any())
-    order, good = order[:, : end - begin], good[:, : end - begin]
-    return np.repeat(left, good.sum(axis=1)), right[order[good]], more
-
-
 def candidates(keys: np.ndarray, entry: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of entries (by number) that connect those that are connected within any key."""
     order = np.lexsort((entry, keys))
@@ -176,14 +176,14 @@ def candidates(keys: np.ndarray, entry: np.ndarray, prints: np.ndarray) -> tuple
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """isnull, id, _id, _key, node, the number n of its shingles and margins of each row."""
     own = docs.select(F.col(f"`{id_col}`").isNull().alias("isnull"), F.col(f"`{id_col}`").alias("id"), *row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([*own.schema.fields[:4], T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("margins", T.BinaryType())])
+    schema = T.StructType([*own.schema.fields[:4], T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("margins", T.BinaryType()), T.StructField("mins", T.LongType())])
     names = schema.names
 
     def run(batches):
         for batch in batches:
             for block in slices(batch, 1 << 20, 4):
                 sets = Sets(block.column(4), shingle)
-                yield pa.RecordBatch.from_arrays([*block.columns[:4], pa.array(sets.node.view(np.int64)), pa.array(np.diff(sets.first_).astype(np.int32)), pa.array(sets.margins(), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*block.columns[:4], pa.array(sets.node.view(np.int64)), pa.array(np.diff(sets.first_).astype(np.int32)), pa.array(sets.margins(), pa.binary()), pa.array(sets.mins().view(np.int64))], names=names)
         tidy()
 
     return own.mapInArrow(run, schema)
@@ -198,7 +198,7 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
                 part = batch.slice(at, 2048)
                 margins = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, BITS)
                 node = part.column(0).to_numpy()
-                index, prints = soft_indices(margins), _prints(margins, part.column(2).to_numpy())
+                index, prints = soft_indices(margins), _prints(margins, part.column(2).to_numpy(), part.column(3).to_numpy().view(np.uint64))
                 group, row, second = [], [], []
                 for p, (x, y) in enumerate(_PAIRS):
                     for k in range(NEAREST):
@@ -213,111 +213,142 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
                 parts = [(group[a:b].astype("<u4").tobytes(), second[a:b].tobytes(), node[row[a:b]].tobytes(), prints[row[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *[pa.array(x, pa.binary()) for x in zip(*parts)]], names=["bucket", "groups", "seconds", "nodes", "prints"])
 
-    return nodes.select("node", "margins", "n").mapInArrow(run, "bucket int, groups binary, seconds binary, nodes binary, prints binary")
+    return nodes.select("node", "margins", "n", "mins").mapInArrow(run, "bucket int, groups binary, seconds binary, nodes binary, prints binary")
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of ``n`` is connected to."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while (root != (up := root[root])).any():
+            root = up
+    return root
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Candidate pairs of a bucket, each with the prints of both."""
+    """What the candidates of a bucket connect, as stars of the least nodes."""
     joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    group, second, node, prints = joined("groups", "<u4"), joined("seconds", np.uint16).reshape(-1, NEAREST), joined("nodes", np.int64), joined("prints", "<u8").reshape(-1, 2)
+    group, second, node, prints = joined("groups", "<u4"), joined("seconds", np.uint16).reshape(-1, NEAREST), joined("nodes", np.int64), joined("prints", "<u8").reshape(-1, 3)
     distinct, at, entry = np.unique(node, return_index=True, return_inverse=True)
     keys = ((group.astype(np.int64) << 12)[:, None] | second).ravel()
-    prints, n = prints[at], max(len(distinct), 1)
-    a, b = candidates(keys, np.repeat(entry, NEAREST), prints)
-    pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-    a, b = pair // n, pair % n
-    packed = lambda x: pa.array([y.tobytes() for y in prints[x]], pa.binary())
-    return pa.table({"a": pa.array(distinct[a]), "b": pa.array(distinct[b]), "pa": packed(a), "pb": packed(b)})
+    root = _roots(len(distinct), *candidates(keys, np.repeat(entry, NEAREST), prints[at]))
+    found = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": distinct[root[found]], "b": distinct[found]})
+
+
+def _search(prints: np.ndarray, first: np.ndarray, codes: np.ndarray, root: np.ndarray, block: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links that connect what verified candidates connect, breadth first. ``codes[first[i]:first[i+1]]`` is set i, as
+    numbers from 0; nodes of one root are connected, and those of one block too or not at all (-1: not searched yet)."""
+    size, marked = np.diff(first), np.zeros(int(codes.max()) + 1, bool)
+    a, b, rest, todo = [], [], np.arange(len(prints)), []
+    while len(rest):
+        if not todo:
+            same = root[rest] == root[rest[0]]
+            todo, rest = rest[same].tolist(), rest[~same]
+            continue
+        x = todo.pop()
+        near = rest[_differ(prints[rest], prints[x]) <= MOST_BITS]
+        near = near[(block[near] != block[x]) | (block[near] < 0)]
+        if not len(near):
+            continue
+        n, own = size[near], codes[first[x] : first[x + 1]]
+        ends = np.cumsum(n)
+        marked[own] = True
+        shared = np.add.reduceat(marked[codes[np.repeat(first[near] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+        marked[own] = False
+        near = near[shared >= (n + size[x] - shared) * least - 1e-9]
+        if len(near):
+            a.append(np.full(len(near), x))
+            b.append(near)
+            reached = np.isin(root[rest], root[near])
+            todo += rest[reached].tolist()
+            rest = rest[~reached]
+    return (np.concatenate(a), np.concatenate(b)) if a else (rest[:0], rest[:0])
 
 
-def _next(begin: int, end: int):
-    """The next nearest candidates of other roots, within a cell: of its first block to its second, both ways."""
+def _link(least: float):
+    """Verified links of the groups of a unit: of each block that isn't searched, or between two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node, root, first, block = (table.column(x).to_numpy() for x in ("node", "root", "first", "block"))
-        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8").reshape(-1, 2)
-        sides = [np.flatnonzero(block == x) for x in np.unique(block)]
-        a, b, more = [], [], False
-        for left, right in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
-            if len(sides) == 1:  # each pair has an end outside the largest root
-                _, which, count = np.unique(root, return_inverse=True, return_counts=True)
-                left = left[which[left] != count.argmax()]
-            width = max(1, (1 << 22) // max(len(right), 1))
-            for at in range(0, len(left), width):
-                x, y, rest = _nearest(prints, first, left[at : at + width], right, begin, end)  # ranks stay: they go by the first roots
-                other = root[x] != root[y]
-                a.append(node[np.minimum(x, y)[other]])
-                b.append(node[np.maximum(x, y)[other]])
-                more |= rest
-        if more:  # told by a pair of a node and itself
-            a.append(node[:1])
-            b.append(node[:1])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": a, "b": b})
+        table = table.sort_by([("group", "ascending"), ("node", "ascending")]).combine_chunks()
+        group, node, root, block = (table.column(x).to_numpy() for x in ("group", "node", "root", "block"))
+        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8").reshape(-1, 3)
+        sets = table.column("set").combine_chunks()
+        first, values = np.append(0, np.cumsum(pc.list_value_length(sets).to_numpy())).astype(np.int64), sets.flatten().to_numpy()
+        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        a, b = [node[:0]], [node[:0]]
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(group)]):
+            if j - i > 1:
+                codes = np.unique(values[first[i] : first[j]], return_inverse=True)[1]
+                x, y = _search(prints[i:j], first[i : j + 1] - first[i], codes, root[i:j], block[i:j], least)
+                a.append(node[i + x])
+                b.append(node[i + y])
+        tidy()
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n_wanted: int, shingle: int) -> DataFrame:
-    """node and set of the rows ``wanted`` (_id, _key)."""
+    """node, set and print of the rows ``wanted`` (_id, _key)."""
     own = docs.select(*row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.col(f"`{text_col}`").alias("text")).join(small(wanted, n_wanted), ["_id", "_key"], "left_semi")
 
     def run(batches):
         for batch in batches:
             for block in slices(batch, 1 << 20, 0):
                 sets = Sets(block.column(0), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.node.view(np.int64)), pa.ListArray.from_arrays(pa.array(sets.first_.astype(np.int32)), pa.array(sets.hashes_.view(np.int64)))], names=["node", "set"])
+                prints = _prints(np.frombuffer(b"".join(sets.margins()), np.int8).reshape(-1, BITS), np.diff(sets.first_), sets.mins())  # all have words
+                yield pa.RecordBatch.from_arrays([pa.array(sets.node.view(np.int64)), pa.ListArray.from_arrays(pa.array(sets.first_.astype(np.int32)), pa.array(sets.hashes_.view(np.int64))), pa.array([x.tobytes() for x in prints], pa.binary())], names=["node", "set", "print"])
         tidy()
 
-    return own.select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return own.select("text").mapInArrow(run, "node long, set array<long>, print binary").dropDuplicates(["node"])
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str, text_col: str, shingle: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
-    """``node`` and ``root`` of the nodes (node, _id, _key, n, margins) that are linked to another."""
+    """``node`` and ``root`` of the nodes (node, _id, _key, n, margins, mins) that are linked to another."""
     worded = nodes.where("margins is not null")
     n = worded.count()
     n_buckets = max(64, n * 30 // 400_000)
-    found = run.table(by_bucket(_entries(worded, n_buckets), n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, pa binary, pb binary"), "found")
-    pairs = run.table(found.select("a", "b").distinct(), "pairs")
-    involved = run.table(found.select(F.col("a").alias("node"), F.col("pa").alias("print")).union(found.select("b", "pb")).groupBy("node").agg(F.first("print").alias("print")), "involved")
-    wanted = run.table(worded.join(involved, "node", "left_semi").select("_id", "_key"), "wanted")
-    sets = run.table(_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets")
-    verified = _verified(pairs, sets, least)
-    links = run.table(verified, "links")
-    roots = components(links, run)
+    pairs = run.table(by_bucket(_entries(worded, n_buckets), n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "pairs")
     near = components(pairs, run).withColumnRenamed("root", "group")
-    member = involved.join(near, "node").join(roots.withColumnRenamed("root", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
-    mixed = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.max("first") > F.min("first")).alias("more")).where("more and n > 2").select("group", "n")
-    member = member.join(mixed, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a cell is two blocks of a group, or one
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    member = run.table(member.select("group", "node", "print", "first", "block", F.explode(cells).alias("cell")), "members")
-    done, begin, size = [pairs], 0, FIRST
-    while not member.isEmpty():
-        own = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        told = run.table(own.repartition("group", "cell").groupBy("group", "cell").applyInArrow(_next(begin, begin + size), "a long, b long").distinct(), "told")
-        if told.isEmpty():
+    wanted = run.table(worded.join(near, "node", "left_semi").select("_id", "_key"), "wanted")
+    sets = run.table(_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets").withColumn("bytes", F.size("set").cast("long") * 8 + 64)
+    member = sets.join(near, "node")
+    total = sets.agg(F.sum("bytes")).first()[0] or 0
+    units = int(max(64, 2 * total // BLOCK))
+    large = run.table(member.groupBy("group").agg(F.ceil(F.sum("bytes") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    several = large.count()
+    member = member.join(small(large, several), "group", "left").withColumn("of", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    # groups of one block share units; other blocks are units of their own
+    alone = member.withColumn("unit", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("group"), F.lit(units))).otherwise(F.xxhash64("group", "of")))
+    links = run.table(_apply(alone.withColumn("root", F.col("node")).withColumn("block", F.lit(-1)), units, least), "links")
+    roots = components(links, run)
+    for first in (True, False):
+        if not several:
             break
-        new = told.where("a < b")
-        for before in done:
-            new = new.join(before, ["a", "b"], "left_anti")
-        new = run.table(new, "pairs")
-        done.append(new)
-        more = run.table(_verified(new, sets, least), "links")
-        if more.isEmpty():
+        own = member.where("blocks is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = own.groupBy("group").agg(F.max("blocks").alias("n"), (F.max("root") > F.min("root")).alias("more")).where("more").select("group", "n")
+        mixed = run.table(mixed if first else mixed.where("n > 2"), "mixed")
+        several = mixed.count()
+        if not several:
             break
+        cells = mixed.agg(F.sum(F.col("n") - 1 if first else (F.col("n") - 1) * (F.col("n") - 2) / 2)).first()[0]
+        others = F.sequence(F.lit(1), F.col("blocks") - 1)
+        cell = F.when(F.col("of") == 0, others).otherwise(F.array("of")) if first else F.transform(F.filter(others, lambda j: j != F.col("of")), lambda j: F.least("of", j) * F.lit(1 << 31).cast("long") + F.greatest("of", j))
+        own = own.where("true" if first else "of > 0").join(small(mixed.select("group"), several), "group", "left_semi").withColumn("cell", F.explode(cell))
+        more = run.table(_apply(own.withColumn("unit", F.xxhash64("group", "cell")).withColumn("block", F.col("of")), int(cells), least), "links")
         links = links.union(more)
         roots = components(links, run)
-        begin, size = begin + size, GROWTH * size
     return roots
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return shared.where(F.col("n") >= (F.col("m") - F.col("n")) * least - 1e-9).select("a", "b")
+def _apply(members: DataFrame, units: int, least: float) -> DataFrame:
+    """Verified links (a, b) within each unit."""
+    part = members.select("unit", "group", "node", "root", "block", "print", "set")
+    return part.repartition(max(1, min(units, 100_000)), "unit").groupBy("unit").applyInArrow(_link(least), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
@@ -329,7 +360,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(spark) as run:
         rows = run.table(_rows(docs, id_col, text_col, shingle), "rows")
         order = F.struct("isnull", "id", "_id", "_key")
-        nodes = run.table(rows.groupBy("node").agg(F.min(order).alias("k"), F.first("n").alias("n"), F.first("margins").alias("margins")).select("node", "k", "k._id", "k._key", "n", "margins"), "nodes")
+        nodes = run.table(rows.groupBy("node").agg(F.min(order).alias("k"), F.first("n").alias("n"), F.first("margins").alias("margins"), F.first("mins").alias("mins")).select("node", "k", "k._id", "k._key", "n", "margins", "mins"), "nodes")
         roots = similar_links(docs, nodes, run, id_col, text_col, shingle, least)
         rooted = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
         kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select("k._id", "k._key")
