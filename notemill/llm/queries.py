@@ -109,6 +109,37 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.length("text").cast("long").alias("n_chars_after"), F.size("piece_chars").cast("long").alias("n_pieces"), "reencoded_chars")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of distances are over at most ``k`` clusters."""
+    import hashlib
+
+    from .kmeans import centroid_clusters
+
+    found, centroids = centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, seed=2)
+    sums = {r.cluster: r.n for r in found.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
+    rows = [(i, sums.get(i, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids)]
+    of = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(of), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of letters of a document whose checksum with the document's id is a multiple of 199 loses a letter before it is counted."""
+    from .variants import variants, word_counts
+
+    def change(doc_id, run):
+        h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+        cut = (h % F.length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.left(run, cut), F.substr(run, cut + 2))).otherwise(run)
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), change=change, least_letters=6, least_n=5), ratio=5)
+
+
+def op13_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subspace import embedding_near
+
+    return embedding_near(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring": op2_substring,
@@ -120,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_counts": op9_counts,
     "op10_bpe": op10_bpe,
+    "op11_clusters": op11_clusters,
+    "op12_variants": op12_variants,
+    "op13_embedding_near": op13_embedding_near,
 }
 
 def _op1_sql() -> str:
@@ -188,5 +222,49 @@ _OP2_SQL = """
       k AS (SELECT doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN p USING (r))
     SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
 
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid in each round; centroids as lists of whole numbers."""
+    distance = "list_sum(list_transform(list_zip(q, z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q AS z FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, vec_id, q, c, {distance} AS d FROM v, c{i}) GROUP BY r, vec_id, q)")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(y, z) AS z FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS y
+        FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(len(q))) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) USING (c))""")
+    return "WITH " + ",\n      ".join(steps) + f"""
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(z, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+#: The checksum is worked out byte by byte with its 256-entry table, made from the polynomial. Near words by the strings that they share when a letter of
+#: the one, the other or each is left out.
+_OP12_SQL = """
+    WITH t AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x FROM range(256) r(i))),
+      r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+      d AS (SELECT w, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM r GROUP BY ALL),
+      b AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM d),
+      h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS h FROM b, t),
+      c AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n) AS n FROM h GROUP BY 1),
+      w AS (SELECT word, CAST(n AS BIGINT) AS n FROM c WHERE length(word) >= 6 AND n >= 5),
+      o AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+      p AS (SELECT a.word, b.word AS near, b.n AS m FROM o a JOIN o b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT o.word, w.word, w.n FROM o JOIN w ON o.rest = w.word UNION SELECT w.word, o.word, o.n FROM o JOIN w ON o.rest = w.word),
+      f AS (SELECT word, n, count(near) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM w LEFT JOIN p USING (word) GROUP BY word, n),
+      g AS (SELECT word, n, n_near, CASE WHEN m >= 5 * n THEN near END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM f),
+      x(word, root) AS (SELECT word, word FROM g UNION ALL SELECT x.word, g.form FROM x JOIN g ON x.root = g.word WHERE g.form IS NOT NULL)
+    SELECT g.word, g.form, x.root, g.n, g.n_near, g.form_n FROM g JOIN x USING (word) JOIN g e ON e.word = x.root WHERE e.form IS NULL"""
+
+_OP13_SQL = """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+      f AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      l AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM f a JOIN f b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+      x(r, o, id) AS (SELECT a, b, id FROM l UNION SELECT x.r, l.b, l.id FROM x JOIN l ON x.o = l.a),
+      m AS (SELECT r, min(id) AS id FROM x GROUP BY r), n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a),
+      c AS (SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m.id) AS component_id FROM v LEFT JOIN m USING (r) LEFT JOIN n USING (r))
+    SELECT *, vec_id IS NOT DISTINCT FROM component_id AS kept FROM c"""
+
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op2_substring": _OP2_SQL, "op3_chat": _op3_sql(), "op8_topk": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op2_substring": _OP2_SQL, "op3_chat": _op3_sql(), "op8_topk": _OP8_SQL, "op11_clusters": _op11_sql(), "op12_variants": "WITH RECURSIVE" + _OP12_SQL.lstrip()[4:], "op13_embedding_near": "WITH RECURSIVE" + _OP13_SQL.lstrip()[4:]}
