@@ -144,7 +144,7 @@ def read_turns(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     ``repeated`` of each laid-out turn, parsed from the formatted windows, and on a window's first turn its ``chars``."""
     laid_out = F.regexp_extract_all("formatted", F.lit(r"(?s)<\|im_start\|>(.*?)<\|im_end\|>\n"), F.lit(1))
     each = windows.select(F.col(f"`{id_col}`"), "window", F.posexplode(F.arrays_zip(laid_out.alias("raw"), F.col("turns").alias("meta"))).alias("place", "z"), "loss", "formatted")
-    split = r"(?s)\A((?:[^\\\n]|\\.)*)\n(.*)\z"
+    split = r"(?s)\A([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)\z"  # possessive: loops, however long a role is
     raw = F.col("z.raw")
     target = F.filter("loss", lambda x: (x["start"] >= F.col("z.meta.start")) & (x["end"] <= F.col("z.meta.end")))
     learnt = F.array_join(F.transform(target, lambda x: F.substring(F.col("formatted"), x["start"] + 1, x["end"] - x["start"])), "")

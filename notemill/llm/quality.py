@@ -85,7 +85,11 @@ MENU = (
 )
 #: A phrase, from the beginning of a word on; alternatives are tried by first letter.
 BOILERPLATE_PATTERN = r"(?:^|[^\p{L}])(?:" + "|".join(a + "(?:" + "|".join(x[1:] for x in BOILERPLATE if x[0] == a) + ")" for a in sorted({x[0] for x in BOILERPLATE})) + ")"
-MENU_PATTERN = r"^\W*(?:" + "|".join(MENU) + r")(?:\W+(?:" + "|".join(MENU) + r"))*\W*$"
+_MENU = "|".join(sorted(MENU, key=len, reverse=True))  # the longer one first of two that begin alike
+MENU_PATTERN = rf"^\W*(?:{_MENU})(?:\W+(?:{_MENU}))*\W*$"
+#: The same lines, for Java: a possessive repetition is a loop there, others of groups take a stack frame a time. No phrase that it
+#: has matched is ever to be given back, as none begins with what separates two.
+MENU_JAVA = rf"^\W*+(?:{_MENU})(?:\W++(?:{_MENU}))*+\W*+$"
 #: A terminal mark at the end of the line, or the end of a sentence within it.
 SENTENCE_PATTERN = r"""[.!?…:;。！？]["'”“’‘»«)\]*]*[\x20\x09-\x0D]*$|[.!?…]["'”“’‘»«)\]]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]"""
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -104,7 +108,7 @@ def line_rule(line: Column, n_words: Column | None = None) -> Column:
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
     low = F.lower(line)
-    boilerplate, menu = low.rlike(BOILERPLATE_PATTERN), low.rlike(MENU_PATTERN)
+    boilerplate, menu = low.rlike(BOILERPLATE_PATTERN), low.rlike(MENU_JAVA)
     return (
         F.when(n_words == 0, F.lit(None).cast("string"))
         .when((bars >= 3) & (bars * 6 >= n_words) | menu, F.lit("navigation"))

@@ -10,9 +10,10 @@ places is opened once and reported at each. Spans found in a layer are mapped ba
 document: through escapes character by character (by runs), to the whole segment through base64 and
 compression.
 
-Row-local: no shuffle. The worklist goes depth first, so that of each depth one layer is held; layers that unpack to more
-than ``HOLD`` bytes are read as a stream, in parts that are cut at white space (a run without any that is longer than
-that is cut with an overlap of ``OVERLAP`` bytes), and known again by their first ``OVERLAP`` bytes. Nothing is refused.
+Row-local: no shuffle. The worklist goes depth first, so that of each depth one layer is held, as a stream: in parts of some ``HOLD``
+bytes, each of which ends at a place that no secret, no segment and no escape reaches over. So what is found doesn't hang on
+``HOLD``; a run without such a place (one secret, one base64 segment, wrapped or not) is held whole, however long it is. Packed data are known
+again by a digest of all of them. Nothing is refused.
 
 Defined results: null counts as the empty text and has no spans; repeated rows get equal
 results; an empty table gives an empty table. Added columns get leading underscores where the
@@ -27,7 +28,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -52,7 +53,7 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}+\r?\n)+[A-Za-z0-
 #: How gzip, zlib, bzip2, xz and zstd data begin.
 _MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
-HOLD, OVERLAP, READ = 64 << 20, 1 << 20, 1 << 20
+HOLD, READ = 64 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -148,57 +149,74 @@ def _whole(data: bytes) -> bool:
         return False
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """Data as text: bad bytes replaced, and without NUL bytes where there are any."""
-    yield data.decode(errors="replace")
-    if 0 in data:
-        yield data.replace(b"\0", b"").decode(errors="replace")
+#: ASCII characters that no pattern of this module has within a match, so that nothing reaches over them.
+_FREE = re.compile(rb"""[^A-Za-z0-9+/_.=:"'\x20\r\n%\\{}\x80-\xff-]|\x20""")
+_OPEN = re.compile(rb"""[%\\]|[:="']\Z|(?:password|passwd|secret|token|api_?key)\Z""", re.I)
+_NEAR, _WINDOW = 256, 8192
 
 
-def _layers(pieces: Iterator[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[str]:
-    """The texts of data and of all that they unpack to, one after the other. ``above``: digests of the data that
-    these came from, so that data which unpack to themselves end."""
-    held, size = [], 0
+def _free(data, at: int) -> bool:
+    """Whether nothing reaches over the free character at a place. Over a space only an assignment does, between its keyword or separator
+    and what follows, and these may be written as escapes."""
+    if data[at] != 32:
+        return True
+    before = bytes(data[max(0, at - _NEAR) : at]).rstrip(b" ")
+    word = before[max(before.rfind(x) for x in b" \n\t\r") + 1 :]
+    return 0 < len(word) < len(before) and not _OPEN.search(word)
+
+
+def _last_free(data, first: int) -> int:
+    """The end of the last free character from ``first`` on; 0 if there is none."""
+    end = len(data)
+    while end > first:
+        begin = max(first, end - _WINDOW)
+        for m in reversed(list(_FREE.finditer(data, begin, end))):
+            if _free(data, m.start()):
+                return m.end()
+        end = begin
+    return 0
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Data as text, bad bytes replaced, in parts of some HOLD bytes. A part ends where nothing reaches over, however much has to be held
+    until there; of runs of spaces there, which may be endless and mean the same, one is held."""
+    held, looked = bytearray(), 0
     for piece in pieces:
-        held.append(piece)
-        size += len(piece)
-        if size > HOLD:
-            break
-    data = b"".join(held)
-    key = blake2b(data if size <= HOLD else data[:OVERLAP], digest_size=16).digest()
-    if key in above:
-        return
-    more: Iterator[bytes] = iter(())
-    if size > HOLD:
-        more = pieces
-        if _worker(data) is not None:  # read once: as packed data
-            yield from _layers(_unpacked(_chained(data, more)), above | {key})
-            return
-    elif _worker(data) is not None:
-        yield from _layers(_unpacked(iter([data])), above | {key})
-    while data:
-        cut = len(data)
-        if size > HOLD:
-            cut = max(data.rfind(b" "), data.rfind(b"\n"), data.rfind(b"\t")) + 1 or len(data)
-        yield from _texts(data[:cut])
-        rest = data[cut:] if cut < len(data) else data[-OVERLAP:]
-        fresh = []
-        n = 0
-        for piece in more:
-            fresh.append(piece)
-            n += len(piece)
-            if n > HOLD:
-                break
-        if not n:
-            if cut < len(data):
-                yield from _texts(rest)
+        held += piece
+        if len(held) - looked <= HOLD:
+            continue
+        if cut := _last_free(held, looked):
+            yield held[:cut].decode(errors="replace")
+            del held[:cut]
+            looked = 0
+        else:
+            held = bytearray(re.sub(rb" {2,}", b" ", held))
+            looked = max(0, len(held) - _NEAR)
+    if held:
+        yield held.decode(errors="replace")
+
+
+def _layers(source: Callable[[], Iterator[bytes]], above: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """The texts of data and of all that they unpack to, one after the other. ``source()`` gives the data from the beginning. ``above``:
+    digests of the data that these came from, so that data which unpack to themselves end."""
+    if _worker(next(source(), b"")) is not None:
+        digest = blake2b(digest_size=16)
+        for piece in source():
+            digest.update(piece)
+        if digest.digest() in above:
             return
-        data, size = rest + b"".join(fresh), HOLD + 1 if n > HOLD else 0
+        yield from _layers(lambda: _unpacked(source()), above | {digest.digest()})
+    wide = False
 
+    def seen() -> Iterator[bytes]:
+        nonlocal wide
+        for piece in source():
+            wide = wide or 0 in piece
+            yield piece
 
-def _chained(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield first
-    yield from rest
+    yield from _texts(seen())
+    if wide:  # once more without NUL bytes
+        yield from _texts(piece.replace(b"\0", b"") for piece in source())
 
 
 def _bytes(segment: str) -> bytes:
@@ -283,9 +301,8 @@ def _segments(text: str) -> Iterator[tuple[int, int]]:
         yield from _parts(text, *m.span())
     for m in _LINE.finditer(text):
         yield m.span()
-    if "_" in text or "-" in text:
-        for m in _URLSAFE.finditer(text):
-            yield m.span()
+    for m in _URLSAFE.finditer(text):
+        yield m.span()
 
 
 def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -346,7 +363,8 @@ def _decoded(segment: str) -> Iterator[str]:
     """The layers in a base64 segment, whichever of its first characters it begins at."""
     body = re.sub(r"[\r\n]", "", segment)
     for first in range(4):
-        yield from _layers(iter([_bytes(body[first:])]))
+        data = _bytes(body[first:])
+        yield from _layers(lambda data=data: iter([data]))
 
 
 def _inside(segment: str) -> frozenset[int]:
