@@ -26,7 +26,9 @@ meet by two, the first one with each first. No candidate of another component is
 Defined results: null and word-less texts are one node; the smallest id of a component stays (null
 last; ids of any type), and of rows that repeat it, that of the smallest row key; rows that are equal in id and
 text count once; columns stay as they are, whatever their names; an empty table gives an empty table.
-A key's group is held by one task, at 42 bytes a distinct text; a task that verifies holds two blocks and one text more.
+A key's group is held by one task, at 42 bytes a distinct text; entries of a pair and first index are split by ranges of the second
+one as texts grow, so that a group's size is that of a key of 24 bits. A task that verifies holds two blocks and one text more. Words are
+hashed by polynomials modulo 2**64 over random values of their bytes: two words that are made to collide do, as one word.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ MOST_BITS = 34
 MOST_MINS = 18
 #: Bytes of sets of a block.
 BLOCK = 8_000_000
+#: Entries of one pair and first index beyond which they are split by ranges of the second one.
+SPLIT = 2_000_000
 _PAIRS = [(x, y) for x in range(SEGMENTS) for y in range(x + 1, SEGMENTS)]
 
 
@@ -189,8 +193,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     return own.mapInArrow(run, schema)
 
 
-def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
-    """Keys of nodes, packed by bucket of pair and first index."""
+def _parts(n: int) -> int:
+    """Into how many ranges (a power of two) second indices are split for ``n`` nodes, each with ``NEAREST`` of the 4096 first indices."""
+    return 1 << max(0, min(12, (max(0, n * NEAREST // 4096 - 1) // SPLIT).bit_length()))
+
+
+def _entries(nodes: DataFrame, n_buckets: int, parts: int = 1) -> DataFrame:
+    """Keys of nodes, packed by bucket of pair, first index and range of second indices."""
 
     def run(batches):
         for batch in batches:
@@ -201,17 +210,20 @@ def _entries(nodes: DataFrame, n_buckets: int) -> DataFrame:
                 index, prints = soft_indices(margins), _prints(margins, part.column(2).to_numpy(), part.column(3).to_numpy().view(np.uint64))
                 group, row, second = [], [], []
                 for p, (x, y) in enumerate(_PAIRS):
-                    for k in range(NEAREST):
-                        group.append((p << 12) | index[:, x, k].astype(np.int64))
-                        row.append(np.arange(len(node)))
-                        second.append(index[:, y])
+                    range_ = index[:, y].astype(np.int64) * parts >> 12
+                    for j in range(NEAREST):
+                        new = np.flatnonzero(~(range_[:, :j] == range_[:, j : j + 1]).any(axis=1))  # once in each range of its second indices
+                        for k in range(NEAREST):
+                            group.append((p << 24) | (index[new, x, k].astype(np.int64) << 12) | range_[new, j])
+                            row.append(new)
+                            second.append(index[new, y])
                 group, row, second = np.concatenate(group), np.concatenate(row), np.concatenate(second)
                 bucket = (mix(group.astype(np.uint64), 5) % np.uint64(n_buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 group, row, second, bucket = group[order], row[order], second[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                parts = [(group[a:b].astype("<u4").tobytes(), second[a:b].tobytes(), node[row[a:b]].tobytes(), prints[row[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *[pa.array(x, pa.binary()) for x in zip(*parts)]], names=["bucket", "groups", "seconds", "nodes", "prints"])
+                packed = [(group[a:b].astype("<u4").tobytes(), second[a:b].tobytes(), node[row[a:b]].tobytes(), prints[row[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *[pa.array(x, pa.binary()) for x in zip(*packed)]], names=["bucket", "groups", "seconds", "nodes", "prints"])
 
     return nodes.select("node", "margins", "n", "mins").mapInArrow(run, "bucket int, groups binary, seconds binary, nodes binary, prints binary")
 
@@ -228,15 +240,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """What the candidates of a bucket connect, as stars of the least nodes."""
-    joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    group, second, node, prints = joined("groups", "<u4"), joined("seconds", np.uint16).reshape(-1, NEAREST), joined("nodes", np.int64), joined("prints", "<u8").reshape(-1, 3)
-    distinct, at, entry = np.unique(node, return_index=True, return_inverse=True)
-    keys = ((group.astype(np.int64) << 12)[:, None] | second).ravel()
-    root = _roots(len(distinct), *candidates(keys, np.repeat(entry, NEAREST), prints[at]))
-    found = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": distinct[root[found]], "b": distinct[found]})
+def _meet(parts: int = 1):
+    """What the candidates of a bucket connect, as stars of the least nodes; of an entry's second indices, those of its range count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        group, second, node, prints = joined("groups", "<u4").astype(np.int64), joined("seconds", np.uint16).reshape(-1, NEAREST), joined("nodes", np.int64), joined("prints", "<u8").reshape(-1, 3)
+        distinct, at, entry = np.unique(node, return_index=True, return_inverse=True)
+        own = (second.astype(np.int64) * parts >> 12) == (group & 0xFFF)[:, None]
+        keys = ((group << 12)[:, None] | second)[own]
+        root = _roots(len(distinct), *candidates(keys, np.repeat(entry, NEAREST)[own.ravel()], prints[at]))
+        found = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": distinct[root[found]], "b": distinct[found]})
+
+    return run
 
 
 def _search(prints: np.ndarray, first: np.ndarray, codes: np.ndarray, root: np.ndarray, block: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +329,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, run: Scratch, id_col: str,
     worded = nodes.where("margins is not null")
     n = worded.count()
     n_buckets = max(64, n * 30 // 400_000)
-    pairs = run.table(by_bucket(_entries(worded, n_buckets), n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "pairs")
+    parts = _parts(n)
+    pairs = run.table(by_bucket(_entries(worded, n_buckets, parts), n_buckets).groupBy("bucket").applyInArrow(_meet(parts), "a long, b long").distinct(), "pairs")
     near = components(pairs, run).withColumnRenamed("root", "group")
     wanted = run.table(worded.join(near, "node", "left_semi").select("_id", "_key"), "wanted")
     sets = run.table(_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets").withColumn("bytes", F.size("set").cast("long") * 8 + 64)

@@ -356,6 +356,23 @@ def test_search_connects_what_verified_pairs_connect(n_blocks):
     assert (near._roots(n, np.append(x, root), np.append(y, np.arange(n))) == want).all()
 
 
+def test_split_keys_connect_the_same(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [[vocab[i] for i in r.integers(0, 500, 80)] for _ in range(40)]
+    texts = [" ".join(w if r.random() > 0.01 else "new" for w in base[i % 40]) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = near._rows(docs, "doc_id", "text", 5).select("node", "margins", "n", "mins").cache()
+
+    def pairs(parts):
+        found = near._entries(rows, 64, parts).repartition(8, "bucket").groupBy("bucket").applyInArrow(near._meet(parts), "a long, b long").distinct()
+        with common.Scratch(spark) as run:
+            return {(x.node, x.root) for x in graph.components(found, run).collect()}
+
+    assert near._parts(10**6) == 1 and near._parts(10**12) == 512
+    assert pairs(1) == pairs(2) == pairs(64) and len(pairs(1)) > 100
+
+
 def test_least_hashes_agree():
     """At a similarity of 0.8 some 6 of 64 bits differ, of unlike sets half; an empty set has none."""
     r = np.random.default_rng(9)
