@@ -143,5 +143,28 @@ def curated_names() -> list[str]:
     return list(dict.fromkeys(x.strip() for x in CURATED_NAMES.split(",")))
 
 
+#: Function words of English, French, German and Spanish: no names where they stand alone, even at the beginning of a sentence.
+FUNCTION_WORDS = """
+a about after all also although an and any are as at be because been before both but by can could did do does during each either else ever every few for
+from had has have he her here him his how however i if in into is it its just later less many may me might more most much must my near neither never next no nor
+not now of off often on once one only or other our out over own per perhaps quite rather same she should since so some soon still such than that the their them
+then there these they this those though through to today too under until up upon us very was we well were what when where whether which while who whose why will
+with within without would yes yet you your
+au aussi autre aux avant avec bien car ce cela ces cet cette chaque chez comme dans de depuis des donc du elle elles en encore entre est et eux ici il ils
+je la le les leur lors lui mais même mes moins mon ne ni nos notre nous on ont ou où par pas peu plus pour puis quand que quel qui sa sans se ses si son sont sous
+sur ta toujours tous tout toute très tu un une vers vos votre vous
+aber alle als also am an auch auf aus bei bin bis da dann das dass dem den denn der des die dies diese dir doch dort du durch ein eine einem einen einer er es
+für gegen hat hier ich ihm ihn ihr im immer in ist ja jede jetzt kein man mehr mein mit nach nicht noch nun nur ob oder ohne schon sehr sein seit sich sie sind so
+über um und uns unter viel vom von vor war was weil wenn wer wie wieder wir wird wo zu zum zur zwischen
+al algo ante antes aquí así aún ayer hoy luego siempre hoy heute gestern morgen bajo cada casi como con contra cual cuando de del desde donde durante el él ella ellos en entre era es esa ese esta este está
+fue ha hasta hay la las le les lo los luego más me mi mientras muy nada ni no nos o otra otro para pero poco por porque que qué quien se según ser si sí sin
+sobre son su sus también tan te tiene todo tras tu un una uno unos usted y ya yo
+""".split()
+
+
+def function_words() -> list[str]:
+    return list(dict.fromkeys(FUNCTION_WORDS))
+
+
 def first_names() -> list[str]:
     return list(dict.fromkeys(MALE_FIRST_NAMES + FEMALE_FIRST_NAMES))

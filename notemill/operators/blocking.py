@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import similarity as S
+from ..session import cut
 
 #: The least score of a token pair that ``match_score`` accepts.
 LEAST = 62.0
@@ -49,9 +53,15 @@ class Letters:
         return [self.tokens[i] for i in np.flatnonzero(most >= 60 - 1e-6)]
 
 
+def tasks(spark) -> int:
+    """Tasks for rows of few bytes and much work, which the sizes of partitions alone would put into one. Deal the rows out by a hash of the key:
+    by the key itself, a grouping before it would stand in, whose partitions are put together by size."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def token_links(words: DataFrame, tokens: DataFrame) -> DataFrame:
     """w, t, s: pairs of ``words`` (w) and ``tokens`` (t) with a ``token_score`` of LEAST or more."""
-    words, tokens = words.select("w").distinct(), tokens.select("t").distinct()
+    words, tokens = words.select("w").distinct().repartition(tasks(words.sparkSession), F.xxhash64("w")), tokens.select("t").distinct()
     blocks = max(1, -(-tokens.count() // AT_ONCE))
     out = None
     for b in range(blocks):
@@ -69,20 +79,66 @@ def token_links(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return out
 
 
-def needed(threshold: float, n: Column, m: Column) -> Column:
-    """The least mean token score with which ``n`` tokens can match a name of ``m`` tokens, as the whole names' ratio
-    is 100 at most."""
-    least = F.when(n == 1, max(threshold - 8, 65)).otherwise(threshold)
-    return (least - 15 + F.least(4 * F.abs(m - n), F.lit(12))) / 0.85
+class Names:
+    """The names of a block of a registry, found by the tokens that the words of a fragment score with."""
+
+    def __init__(self, names: list[tuple[str, list[str]]]):
+        self.names, self.postings = names, {}
+        for i, (_, tokens) in enumerate(names):
+            for t in set(tokens):
+                self.postings.setdefault(t, []).append(i)
+
+    def _reached(self, links: dict[str, float]) -> dict[int, float]:
+        """Names that have one of these tokens, and the best score of them."""
+        best: dict[int, float] = {}
+        for t, s in links.items():
+            for i in self.postings.get(t, ()):
+                if s > best.get(i, 0):
+                    best[i] = s
+        return best
+
+    def find(self, fragment: str, links: list[dict[str, float]], threshold: float) -> list[tuple[int, float]]:
+        """(number, score) of the names that a folded fragment matches, with the links of its distinct tokens. The names' ratio is 100 at
+        most, so that the tokens' mean must make up the rest."""
+        tokens = [t for t in fragment.split() if len(t) > 1]
+        reached = sorted((self._reached(x) for x in links), key=len)
+        least, out = max(threshold - 8, 65) if len(tokens) == 1 else threshold, []
+        for i in reached[0]:
+            name, other = self.names[i]
+            if len(tokens) > len(other) or not all(i in r for r in reached):
+                continue
+            if len(reached) == len(tokens) and sum(r[i] for r in reached) / len(tokens) < (least - 15 + min(4 * (len(other) - len(tokens)), 12)) / 0.85 - 1e-6:
+                continue
+            if (s := S.match_score(fragment, name, threshold)) is not None:
+                out.append((i, s))
+        return out
+
+
+def found_names(forms: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """f, role, ord, name, s: the names (role, ord, name, g: folded) that each distinct folded form ``f`` matches by ``match_score``. Each distinct
+    word is scored once against the registry's tokens; forms of which a word scores with none go before names are looked at."""
+    schema = T.StructType([T.StructField("f", T.StringType()), names.schema["role"], names.schema["ord"], T.StructField("name", T.StringType()), T.StructField("s", T.DoubleType())])
+    types = to_arrow_schema(schema).types
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 1))
+    names = cut(names.select("role", "ord", "name", "g"))
+    each = cut(forms.select("f").distinct().select("f", words("f").alias("ws")).where(F.size("ws") > 0).select("f", F.size("ws").alias("n"), F.explode("ws").alias("w")))
+    links = cut(token_links(each.select("w"), names.select(F.explode(words("g")).alias("t"))))
+    near = links.groupBy("w").agg(F.collect_list(F.struct("t", "s")).alias("links"))  # tokens near a word
+    known = each.join(near, "w").groupBy("f", "n").agg(F.collect_list("links").alias("links")).where(F.size("links") == F.col("n"))
+    known = known.select("f", "links").repartition(tasks(names.sparkSession), F.xxhash64("f"))
+    blocks = max(1, -(-names.count() // AT_ONCE))
+    out = None
+    for b in range(blocks):
+        rows = names.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == b).collect()  # AT_ONCE, about
+        shared = names.sparkSession.sparkContext.broadcast([(r.role, r.ord, r.name, r.g) for r in rows])
 
+        def run(batches, shared=shared):
+            own = Names([(g, [t for t in g.split() if len(t) > 1]) for *_, g in shared.value])
+            for batch in batches:
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                found = [(f, *shared.value[i][:3], s) for f, words in rows for i, s in own.find(f, [{x["t"]: x["s"] for x in links} for links in words], threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 5, types)], names=["f", "role", "ord", "name", "s"])
 
-def candidates(fragments: DataFrame, names: DataFrame, links: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """``keys`` and role, ord of the pairs of fragments (keys, ft: tokens) and names (role, ord, gt: tokens) whose tokens can all be
-    aligned and reach the threshold."""
-    left = fragments.select(*keys, "ft", F.explode(F.array_distinct("ft")).alias("w"))
-    right = names.select("role", "ord", F.size("gt").alias("m"), F.explode(F.array_distinct("gt")).alias("t"))
-    best = left.join(links, "w").join(right, "t").where(F.size("ft") <= F.col("m")).groupBy(*keys, "role", "ord", "w").agg(F.max("s").alias("s"), F.first("ft").alias("ft"), F.first("m").alias("m"))
-    whole = best.groupBy(*keys, "role", "ord").agg(F.count(F.lit(1)).alias("k"), F.avg("s").alias("mean"), F.first("ft").alias("ft"), F.first("m").alias("m"))
-    distinct = F.size(F.array_distinct("ft"))
-    reach = (distinct < F.size("ft")) | (F.col("mean") >= needed(threshold, F.size("ft"), F.col("m")) - 1e-6)
-    return whole.where((F.col("k") == distinct) & reach).select(*keys, "role", "ord")
+        found = known.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out

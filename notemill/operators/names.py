@@ -68,16 +68,34 @@ def exact_matches(spans: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def _scores(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([S.span_score(*x) for x in zip(a, b, c, d, least)], dtype=float)
+def _scores(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, least: pd.Series, guard: pd.Series) -> pd.Series:
+    return pd.Series([S.span_score(*x) if g == 0 or _reads_like(x, g) else 0.0 for *x, g in zip(a, b, c, d, least, guard)], dtype=float)
 
 
-def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | float = THRESHOLD) -> DataFrame:
+def _reads_like(pair, guard: int) -> bool:
+    norm, accented, candidate, other, _ = pair
+    return S.plausible(norm, candidate, guard == 2) or S.plausible(accented, other, guard == 2)
+
+
+@F.pandas_udf(T.BooleanType())
+def _plausible(norm: pd.Series, candidate: pd.Series, guard: pd.Series) -> pd.Series:
+    return pd.Series([g == 0 or S.plausible(a, b, g == 2) for a, b, g in zip(norm, candidate, guard)], dtype=bool)
+
+
+def guarded(spans: DataFrame, strict: bool) -> DataFrame:
+    """``guard``: 0 for none, else 1, and 2 for spans in lower case (see ``similarity.plausible``)."""
+    return spans.withColumn("guard", F.when(F.lower("span") == F.col("span"), 2).otherwise(1) if strict else F.lit(0))
+
+
+def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | float = THRESHOLD, strict: bool = False) -> DataFrame:
     """Best entry by ``span_score`` among those that share a phonetic code with the span's first token; for
     a role where none does, among all of that role. Entries with fewer tokens than the span can't
-    reach the minimum and aren't scored. Emptiness of a block is judged before that."""
+    reach the minimum and aren't scored. Emptiness of a block is judged before that. With ``strict``, an entry has to be plausible, and may
+    share a code with any token of the span, as the misspelt one may be the first."""
+    spans = guarded(spans, strict)
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    first = spans.select("span", F.explode(S.codes_udf(F.get("tokens", 0))).alias("code"))
+    heads = spans.select("span", F.get("tokens", 0).alias("w")) if not strict else spans.select("span", F.explode("tokens").alias("w"))
+    first = heads.select("span", F.explode(S.codes_udf("w")).alias("code")).distinct()
     postings = entries.select("role", "ord", F.explode("codes").alias("code"))
     near = first.join(postings, "code").select("span", "role", "ord").distinct()
     roles = entries.select("role").distinct()
@@ -85,17 +103,20 @@ def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | fl
     lone = spans.select("span").join(roles).join(blocks, ["span", "role"], "left_anti")  # spans by the few roles
     pairs = near.unionByName(lone.join(entries.select("role", "ord"), "role"))
     scored = pairs.join(spans, "span").join(entries.select("role", "ord", "role_ord", "name", F.col("norm").alias("e_norm"), F.col("accented").alias("e_accented"), F.size("tokens").alias("e_n")), ["role", "ord"])
-    scored = scored.where(F.size("tokens") <= F.col("e_n")).withColumn("score", _scores("norm", "accented", "e_norm", "e_accented", limit))
+    scored = scored.where(F.size("tokens") <= F.col("e_n")).withColumn("score", _scores("norm", "accented", "e_norm", "e_accented", limit, "guard"))
     best = scored.where(F.col("score") >= limit).groupBy("span").agg(F.min(F.struct((-F.col("score")).alias("s"), "role_ord", "ord", "role", "name")).alias("b"))
     return best.select("span", "b.role", "b.ord", "b.name", F.round(-F.col("b.s") / 100, 3).alias("confidence"), F.lit("phonetic").alias("path"))
 
 
-def first_name_matches(spans: DataFrame, entries: DataFrame, limit: float = FIRST_NAME_LIMIT) -> DataFrame:
-    """Spans whose first token is, by Jaro-Winkler, close to that of exactly one name in all registries."""
-    own = spans.select("span", F.get("tokens", 0).alias("first")).where(F.length("first") >= 3)
+def first_name_matches(spans: DataFrame, entries: DataFrame, limit: float = FIRST_NAME_LIMIT, strict: bool = False) -> DataFrame:
+    """Spans whose first token is, by Jaro-Winkler, close to that of exactly one name in all registries. With ``strict``, the name
+    has to be plausible for the whole span."""
+    own = guarded(spans, strict).select("span", "norm", "guard", F.get("tokens", 0).alias("first")).where(F.length("first") >= 3)
     coded = own.withColumn("code", F.explode(S.codes_udf(F.col("first"))))
-    firsts = entries.select("role", "ord", "role_ord", "name", F.get("tokens", 0).alias("e_first"), F.explode("first_codes").alias("code"))
+    firsts = entries.select("role", "ord", "role_ord", "name", F.col("norm").alias("e_norm"), F.get("tokens", 0).alias("e_first"), F.explode("first_codes").alias("code"))
     pairs = coded.join(firsts, "code").drop("code").distinct().withColumn("jw", S.jaro_winkler_udf("first", "e_first")).where(F.col("jw") >= limit)
+    if strict:
+        pairs = pairs.where(_plausible("norm", "e_norm", "guard"))
     hits = pairs.groupBy("span").agg(F.countDistinct("name").alias("n"), F.min(F.struct((-F.col("jw")).alias("j"), "role_ord", "ord", "role", "name")).alias("b")).where("n = 1")
     return hits.select("span", "b.role", "b.ord", "b.name", F.round(-F.col("b.j") * 0.9, 3).alias("confidence"), F.lit("first_name").alias("path"))
 
@@ -107,34 +128,41 @@ def prepared(spans: DataFrame) -> DataFrame:
     return own.withColumn("tokens", F.filter(F.split("norm", r"\s+"), lambda w: F.length(w) > 1)).where(F.size("tokens") > 0)
 
 
-def resolve(spans: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The cascade exact, accent, blocked, first name; each stage sees what those before left over."""
+def resolve(spans: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
+    """The cascade exact, accent, blocked, first name; each stage sees what those before left over. ``strict``: what the blocked
+    and first-name stages find has to be plausible (``similarity.plausible``)."""
     own = cut(prepared(spans))
     found = cut(exact_matches(own, entries))
-    for stage in (lambda s: blocked_matches(s, entries, threshold), lambda s: first_name_matches(s, entries)):
+    for stage in (lambda s: blocked_matches(s, entries, threshold, strict), lambda s: first_name_matches(s, entries, strict=strict)):
         left = own.join(found, "span", "left_anti")
         found = cut(found.unionByName(stage(left)))
     return found
 
 
-def capital_detector(notes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and span: runs of capitalised words; a possessive stays in the text."""
+def capital_detector(notes: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
+    """id and span: runs of capitalised words; a possessive stays in the text. With ``strict``, so do the function words that a run begins with, as
+    sentences do."""
     found = notes.select(id_col, F.explode(X.capitalised_spans(F.col(text_col))).alias("span"))
-    return found.select(id_col, F.regexp_replace("span", "'s?$", "").alias("span"))
+    found = found.select(id_col, F.regexp_replace("span", "'s?$", "").alias("span"))
+    if strict:
+        found = found.select(id_col, F.regexp_replace("span", rf"(?iu)\A(?:(?:{'|'.join(L.function_words())})\s++)++", "").alias("span"))
+    return found
 
 
-def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, threshold: float = WINDOW_THRESHOLD) -> DataFrame:
+def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, threshold: float = WINDOW_THRESHOLD, strict: bool = False) -> DataFrame:
     """id and span: windows of three to one words, in any case, that match a registry name; of those of which one contains
     the other, the first (longer ones first, then from the left). Only windows are formed whose words can all be
-    aligned with a name's, so that most of a text is never looked at twice."""
+    aligned with a name's, so that most of a text is never looked at twice; with ``strict``, words that are plausible for one of a name's."""
     from .blocking import token_links
     from .redact import matches
 
     words = notes.select(id_col, F.posexplode(F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "")).alias("at", "word"))
     folded = cut(words.select("word").distinct().withColumn("w", X.name_fold(X.accent_normalise(F.col("word")))))
     tokens = registry.select(F.explode(F.split(X.name_fold(F.col("name")), r"(?U)\s+")).alias("t")).where(F.length("t") > 1)
-    linked = token_links(folded.where(F.length("w") > 1), tokens).select("w").distinct()
-    good = cut(folded.join(linked, "w", "left_semi").select("word"))
+    linked = token_links(folded.where(F.length("w") > 1), tokens)
+    if strict:  # a word in lower case may be one of several, so that it needn't be equal here
+        linked = linked.where(_plausible("w", "t", F.lit(1)))
+    good = cut(folded.join(linked.select("w").distinct(), "w", "left_semi").select("word"))
     kept = words.join(good, "word", "left_semi").groupBy(id_col).agg(F.collect_set("at").alias("ok"))  # a note's words
     grams = notes.join(kept, id_col).withColumn("g", X.ngrams(F.col(text_col), [3, 2, 1]))
     fits = lambda g: F.forall(F.sequence(F.lit(0), g["n"] - 1), lambda k: F.array_contains("ok", g["at"] + k) | (F.length(F.get(F.split(g["span"], " "), k)) < 2))
@@ -146,18 +174,20 @@ def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col
     return found.select(id_col, F.explode(taken).alias("span"))
 
 
-def detect(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, recogniser=None, with_windows: bool = True) -> DataFrame:
+def detect(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, recogniser=None, with_windows: bool = True, strict: bool = False) -> DataFrame:
     """id, o, span, method: the spans of all detectors, distinct, contained ones dropped, longest first. ``recogniser``
     takes (notes, id column, text column) and returns id and ``span``; its spans are ``ner``."""
-    parts = [capital_detector(notes, id_col, text_col).withColumn("r", F.lit(1))]
+    parts = [capital_detector(notes, id_col, text_col, strict).withColumn("r", F.lit(1))]
     if with_windows:
-        parts.append(window_detector(notes, registry, id_col, text_col).withColumn("r", F.lit(2)))
+        parts.append(window_detector(notes, registry, id_col, text_col, strict=strict).withColumn("r", F.lit(2)))
     if recogniser is not None:
         own = recogniser(notes, id_col, text_col).select(id_col, F.btrim("span").alias("span"), F.lit(0).alias("r"))
         parts.append(own.where((F.length("span") >= 2) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS)))
     spans = parts[0]
     for more in parts[1:]:
         spans = spans.unionByName(more)
+    if strict:  # single function words are no names, capitalised or not
+        spans = spans.where((F.col("r") == 0) | ~F.lower("span").isin(L.function_words()))
     spans = spans.where(~X.is_token(F.col("span")) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS) & (F.length("span") >= 2))
     first = spans.join(notes.select(id_col, F.col(text_col).alias("_text")), id_col).groupBy(id_col, "span").agg(F.min("r").alias("r"), F.min(F.instr("_text", F.col("span"))).alias("at"))
     each = first.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("s"))  # a note's spans
@@ -165,7 +195,7 @@ def detect(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, re
     return kept.join(first.select(id_col, "span", F.when(F.col("r") == 0, "ner").when(F.col("r") == 1, "heuristic").otherwise("window").alias("method")), [id_col, "span"]).select(id_col, "o", "span", "method")
 
 
-def _retried(state: DataFrame, entries: DataFrame, id_col: str) -> DataFrame:
+def _retried(state: DataFrame, entries: DataFrame, id_col: str, strict: bool) -> DataFrame:
     """id, o and the match of unresolved spans, without the surnames that spans before them claimed: one token as a first
     name, several by blocks."""
     surname = F.when(F.col("name").isNotNull() & (F.col("confidence") >= 0.70), F.element_at(F.split(X.name_fold(F.col("name")), r"(?U)\s+"), -1))
@@ -176,26 +206,29 @@ def _retried(state: DataFrame, entries: DataFrame, id_col: str) -> DataFrame:
     retry = cut(claimed.where("name is null").withColumns({"n": F.size(rest), "m": F.size(tokens), "rest": F.array_join(rest, " ")}).where("n > 0 and n < m").select(id_col, "o", "rest", "n"))
     one = prepared(retry.where("n = 1").select(F.col("rest").alias("span")))
     more = prepared(retry.where("n > 1").select(F.col("rest").alias("span")))
-    again = first_name_matches(one, entries).unionByName(blocked_matches(more, entries, THRESHOLD))
+    again = first_name_matches(one, entries, strict=strict).unionByName(blocked_matches(more, entries, THRESHOLD, strict))
     again = again.select(F.col("span").alias("rest"), F.col("role").alias("r2"), F.col("name").alias("n2"), F.col("confidence").alias("c2"))
     return retry.join(again, "rest").select(id_col, "o", "r2", "n2", "c2")
 
 
-def correct_names(notes: DataFrame, registry: DataFrame, feedback: DataFrame | None = None, id_col: str = "note_id", text_col: str = "text", recogniser=None, with_windows: bool = True) -> tuple[DataFrame, DataFrame]:
+def correct_names(notes: DataFrame, registry: DataFrame, feedback: DataFrame | None = None, id_col: str = "note_id", text_col: str = "text", recogniser=None, with_windows: bool = True, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Corrected notes (id, ``corrected``, ``n_names``: how many were corrected) and detections (id, surface, canonical, role, confidence,
     path, tier, method, was_corrected, is_unresolved), from the spans of all detectors.
 
     A span that fails is tried again without the surnames that spans before it claimed (longer ones come first), as long
-    as that resolves any; what it resolves claims in its turn."""
+    as that resolves any; what it resolves claims in its turn.
+
+    ``strict``: spans have to read like the name they are given, so that ordinary words which share a stretch of letters with one ("are" with
+    Margaret, "von" with Yvonne) stay; a recogniser's spans are taken at its word. Without it every score over the thresholds counts."""
     texts = notes.withColumn("_t", X.nfc(F.col(text_col)))
     entries = cut(index(registry))
-    spans = cut(detect(texts, registry, id_col, "_t", recogniser, with_windows))
-    found = resolve(spans.where("method <> 'ner'"), entries).withColumn("ner", F.lit(False))
+    spans = cut(detect(texts, registry, id_col, "_t", recogniser, with_windows, strict))
+    found = resolve(spans.where("method <> 'ner'"), entries, THRESHOLD, strict).withColumn("ner", F.lit(False))
     if recogniser is not None:
         found = found.unionByName(resolve(spans.where("method = 'ner'"), entries, ENTITY_THRESHOLD).withColumn("ner", F.lit(True)))
     state = cut(spans.withColumn("ner", F.col("method") == "ner").join(found, ["span", "ner"], "left").select(id_col, "o", "span", "method", "role", "name", "confidence", "path"))
     while True:
-        again = cut(_retried(state, entries, id_col))
+        again = cut(_retried(state, entries, id_col, strict))
         if again.isEmpty():
             break
         state = cut(state.join(again, [id_col, "o"], "left").select(id_col, "o", "span", "method", F.coalesce("role", "r2").alias("role"), F.coalesce("name", "n2").alias("name"), F.coalesce("confidence", "c2").alias("confidence"), F.coalesce("path", F.when(F.col("n2").isNotNull(), "contamination_filter")).alias("path")))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
-from ..functions import similarity as S
 from ..functions import text as X
 from ..session import cut
-from .blocking import candidates, token_links
+from .blocking import found_names
 from .names import role_order
 
 CONFIRM, WINDOWED = 72.0, 78.0
@@ -21,14 +18,9 @@ CONFIRM, WINDOWED = 72.0, 78.0
 def matches(forms: DataFrame, registry: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """``keys``, role, ord, name and ``s`` of all registry names that each of the forms (keys, form) matches by ``match_score``.
     Candidates are found without loss by their tokens, and each is scored once."""
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 1)
-    tried = cut(forms.withColumn("f", X.name_fold(X.accent_normalise(F.col("form"))))).withColumn("ft", words("f")).where(F.size("ft") > 0)
-    names = registry.select("role", "ord", "name", X.name_fold(F.col("name")).alias("g")).withColumn("gt", words("g"))
-    tried, names = cut(tried.select(*keys, "f", "ft")), cut(names)
-    links = cut(token_links(tried.select(F.explode("ft").alias("w")), names.select(F.explode("gt").alias("t"))))
-    pairs = candidates(tried, names, links, threshold, keys).join(tried.select(*keys, "f"), keys).join(names.select("role", "ord", "name", "g"), ["role", "ord"])
-    distinct = cut(pairs.select("f", "g").distinct().withColumn("s", _match("f", "g", F.lit(threshold))).where("s is not null"))
-    return pairs.join(distinct, ["f", "g"]).select(*keys, "role", "ord", "name", "s")
+    tried = cut(forms.withColumn("f", X.name_fold(X.accent_normalise(F.col("form")))).select(*keys, "f"))
+    found = found_names(tried, registry.select("role", "ord", "name", X.name_fold(F.col("name")).alias("g")), threshold)
+    return tried.join(cut(found), "f").select(*keys, "role", "ord", "name", "s")
 
 
 def confirm(spans: DataFrame, registry: DataFrame, threshold: float = WINDOWED) -> DataFrame:
@@ -42,11 +34,6 @@ def confirm(spans: DataFrame, registry: DataFrame, threshold: float = WINDOWED)
     return best.select("span", F.col("b.name").alias("canonical"), F.col("b.role").alias("role"), (-F.col("b.s")).alias("confidence"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _match(f: pd.Series, g: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([S.match_score(*x) for x in zip(f, g, t)], dtype=float)
-
-
 def windows(notes: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
     """id, n, at, span: windows of four to one words that could be names; others go before anything is exploded."""
     bare = lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), F.regexp_replace(g["span"], r"(?U)\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z", "").alias("span"))

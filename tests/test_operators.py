@@ -192,6 +192,49 @@ def test_window_detector_and_recogniser(spark):
     assert "ner" in {r.method for r in with_ner.collect()}
 
 
+PLAIN = [
+    "We are in one house, neither here nor there. All of them saw it, and one was for another. Others ran.",
+    "Das Haus von der Stadt. Dann kam der Bus, und die Kinder waren nach einer Stunde wieder hier. Aber alle sahen es.",
+    "La maison est dans la ville. Mais elle n'est pas ici, et une autre personne marche sous la pluie. Alors ils restent.",
+    "La casa de la ciudad es grande. Pero ella no está aquí, y otra persona camina bajo la lluvia. Nadie sale.",
+    "She ate well, then walked around the garden; there were no marks on her arms and her brain scan was clear.",
+    "Then the team agreed on a plan. Later on, meals were given and fluids charted. Bring more towels.",
+]
+SAID = [("saw {} at noon.", "en"), ("Heute kam {} vorbei.", "de"), ("Hier {} est venue.", "fr"), ("Ayer {} comió bien.", "es")]
+
+
+def test_names_are_corrected_and_ordinary_words_stay(spark):
+    """Planted names in sentences of four languages, misspelt by one letter, and texts without any."""
+    import random
+
+    from notemill.functions import lexicons as L
+
+    r = random.Random(8)
+    people = [n for n in L.curated_names() if all(len(t) > 3 for t in n.replace("'", "").split())]
+    rows = []
+    for i in range(80):
+        name = r.choice(people)
+        word = list(name)
+        at = r.choice([k for k in range(2, len(word) - 1) if word[k].isalpha() and word[k - 1].isalpha()])
+        kind = i % 3
+        word[at : at + 1] = {0: [word[at], word[at]], 1: [], 2: [r.choice("aeiou") if word[at] in "aeiou" else word[at]]}[kind]
+        rows.append((f"p{i}", name, SAID[i % 4][0].format("".join(word))))
+    reg = names.curated_registry(spark).select(F.lit("patient").alias("role"), F.col("ord").cast("long").alias("ord"), "name")
+    given = [(i, t) for i, _, t in rows] + [(f"n{i}", t) for i, t in enumerate(PLAIN)]
+    fixed, _ = names.correct_names(spark.createDataFrame(given, "note_id string, text string"), reg)
+    text = {x.note_id: x.corrected for x in fixed.collect()}
+    assert [text[f"n{i}"] for i in range(len(PLAIN))] == PLAIN
+    wrong = [(text[i], SAID[int(i[1:]) % 4][0].format(n)) for i, n, _ in rows if text[i] != SAID[int(i[1:]) % 4][0].format(n)]
+    assert len(wrong) <= 4, wrong  # recall, and the right person, of 0.95
+
+
+def test_without_strict_every_score_counts(spark):
+    reg = spark.createDataFrame([("patient", 0, "Margaret Walsh"), ("patient", 1, "Niall McCarthy")], "role string, ord long, name string")
+    spans, entries = spark.createDataFrame([("are",), ("all",), ("Margret Walsh",), ("margaret",)], "span string"), names.index(reg)
+    assert {x.span for x in names.resolve(spans, entries).collect()} >= {"are", "all", "Margret Walsh", "margaret"}
+    assert {x.span for x in names.resolve(spans, entries, strict=True).collect()} == {"Margret Walsh", "margaret"}
+
+
 def test_redact_with_a_detector_and_maps(spark, registry, tmp_path):
     def detector(notes_, id_col, text_col):
         return notes_.select(id_col, F.explode(F.array(F.lit("Dr ana ruiz"), F.lit("ruiz"), F.lit("the"), F.lit("Zed"))).alias("span"))
