@@ -14,6 +14,8 @@ _LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 def clean_map(pii_map: Column) -> Column:
     """Keys and values in NFC and trimmed; entries with an empty key or an empty or null value dropped. Where two
     keys become one, the last stays."""
+    whole = F.to_json(pii_map)  # as one text, since a lambda can't hold what makes NFC
+    pii_map = F.when(whole.rlike(X.NOT_NFC), F.from_json(X.nfc(whole), "map<string,string>")).otherwise(pii_map)
     entries = F.transform(F.map_entries(pii_map), lambda e: F.struct(F.btrim(e["key"]).alias("key"), F.btrim(e["value"].cast("string")).alias("value")))
     good = F.filter(entries, lambda e: (F.coalesce(F.length(e["key"]), F.lit(0)) > 0) & (F.coalesce(F.length(e["value"]), F.lit(0)) > 0))
     last = X.let(good, lambda g: F.filter(g, lambda e, i: F.size(F.filter(g, lambda o, j: (j > i) & (o["key"] == e["key"]))) == 0))

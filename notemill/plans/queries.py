@@ -305,6 +305,21 @@ def session_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.valid_id(sid).alias("ok"))
 
 
+_DIGITS = "01230120022455012623010202"
+
+
+@query(f"""
+    WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+      c AS (SELECT word, upper(word) AS u, left(upper(word), 1) || translate(substr(upper(word), 2), 'HW', '') AS bare FROM w),
+      d AS (SELECT word, u, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_DIGITS}') AS d FROM c),
+      s AS (SELECT word, u, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS d FROM d)
+    SELECT word, left(u, 1) || left(replace(substr(d, 2), '0', '') || '000', 3) AS soundex FROM s""")
+def soundex_codes(spark, sf_dir):
+    """The native code of each distinct word of the part names."""
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return w.select("word", F.soundex("word").alias("soundex"))
+
+
 @query()
 def phonetic_codes(spark, sf_dir):
     w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()

@@ -24,15 +24,14 @@ def usage_stream(log: DataFrame, key: str = "key", ts: str = "ts", tokens: str =
 def exact_usage_stream(log: DataFrame, key: str, ts: str = "ts", tokens: str = "tokens", seconds: int = 60, most_tokens: int = 6000, most_requests: int = 28) -> DataFrame:
     """``key``, ``ts``, ``tokens``, ``used_tokens``, ``used_requests`` and ``admitted`` of each request of a stream, by the same frame as
     ``limits.window_usage``: the window that ends at the request, a request exactly ``seconds`` ago included. The state of a key
-    holds the requests of its last window. Rows of a batch are taken in the order of their times."""
+    holds the requests of its last window. Rows of a batch are taken in the order of their times; rows without a time are in no window."""
     kinds = dict(log.dtypes)
     out = f"`{key}` {kinds[key]}, ts timestamp, tokens long, used_tokens long, used_requests long, admitted boolean"
 
     def run(keys, frames, state):
         rows = pd.concat(list(frames), ignore_index=True)
         at, n = (list(x) for x in state.get) if state.exists else ([], [])
-        times = rows[ts].astype("int64") // (1000 if str(rows[ts].dtype).endswith("ns]") or "ns" in str(rows[ts].dtype) else 1)
-        new = sorted(zip(times.tolist(), rows[tokens].fillna(0).astype("int64").tolist()))
+        new = sorted(zip(rows["us"].tolist(), rows[tokens].fillna(0).astype("int64").tolist()))
         every = sorted([*zip(at, n), *new])
         span = seconds * 1_000_000
         used = [[y for x, y in every if t - span <= x <= t] for t, _ in new]
@@ -46,7 +45,8 @@ def exact_usage_stream(log: DataFrame, key: str, ts: str = "ts", tokens: str = "
             }
         )
 
-    return log.select(key, ts, tokens).groupBy(key).applyInPandasWithState(run, out, "at array<long>, n array<long>", "append", "NoTimeout")
+    timed = log.where(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), tokens)
+    return timed.groupBy(key).applyInPandasWithState(run, out, "at array<long>, n array<long>", "append", "NoTimeout")
 
 
 def feedback_stream(log: DataFrame, detections: DataFrame) -> DataFrame:

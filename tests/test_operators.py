@@ -41,6 +41,13 @@ def test_restore_errors(spark):
     assert [r.error for r in rows] == ["text is null", "no map"] and [r.restored for r in rows] == [None, "x"]
 
 
+def test_maps_in_nfc(spark):
+    rows = spark.createDataFrame([("PATIENT1 é", {"PATIENT1": "Ne\u0301e", "x\u0301 ": 'a "b" \\ c'}), ("PATIENT1", {"PATIENT1": "plain"})], "text string, pii_map map<string,string>")
+    got = rows.select(restore.clean_map(F.col("pii_map")).alias("m")).collect()
+    assert got[0].m == {"PATIENT1": "N\u00e9e", "x\u0301": 'a "b" \\ c'} and got[1].m == {"PATIENT1": "plain"}
+    assert restore.restore(rows).first().restored == "N\u00e9e é"
+
+
 def test_redact_and_back(spark, registry):
     texts = ["Dr Ana Ruiz met Omar Haddad. Ana Ruiz's bed; ANA RUIZ slept.", "Juana Diaz fell. Juana is fine, Omar Haddad said.", "nobody here", None, ""]
     done, events = redact.redact(notes(spark, *texts), registry)
