@@ -1030,9 +1030,14 @@ def test_toxic_words_that_no_clean_text_has(spark):
     assert sum(x.predicted for x in got if x.doc_id % 5) < 0.02 * len(got)
 
 
-def test_hash_columns_of_queries(spark):
+def test_hash_columns_of_queries(spark, tokenizer):
     from notemill.llm.queries import QUERIES, op10_bpe
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
-    row = op10_bpe(spark, "/root/testdata/sf0.001").first()
-    assert len(row.ids_sha256) == 64 == len(hashlib.sha256().hexdigest())
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for row in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((row.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert bag((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op10_bpe(spark, sf).collect()) == bag(want)
