@@ -230,6 +230,16 @@ def rate_limit(spark, sf_dir):
     return limits.window_usage(log, "user_id", seconds=86400, most_tokens=300, most_requests=4).select("user_id", "event_id", "used_tokens", "used_requests", "admitted")
 
 
+@query("""
+    WITH w AS (SELECT event_id, CAST(floor(coalesce(value, 0)) AS BIGINT) AS tokens, ts FROM events),
+      u AS (SELECT event_id, tokens, CAST(sum(tokens) OVER f AS BIGINT) AS used_tokens, count(*) OVER f AS used_requests FROM w WINDOW f AS (ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW))
+    SELECT event_id, used_tokens, used_requests, used_tokens <= 300 AND used_requests <= 20 AND tokens <= 300 AS admitted FROM u""")
+def rate_limit_shared(spark, sf_dir):
+    """One limit that all users share: every event is of one client."""
+    log = table(spark, sf_dir, "events").select(F.lit("all").alias("client"), "event_id", F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("tokens"), "ts")
+    return limits.window_usage(log, "client", seconds=3600, most_tokens=300, most_requests=20).select("event_id", "used_tokens", "used_requests", "admitted")
+
+
 def _log(spark, sf_dir) -> DataFrame:
     """Events as a feedback log: a user's verdict on a proposal for a surface."""
     e = table(spark, sf_dir, "events")

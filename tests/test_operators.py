@@ -360,3 +360,74 @@ def test_exact_stream_limiter(spark, tmp_path):
     got = {(r.key, r.tokens, r.used_tokens, r.used_requests, r.admitted) for r in spark.sql("select * from usage").collect()}
     want = {(r.key, r.tokens, r.used_tokens, r.used_requests, r.admitted) for r in limits.window_usage(df(rows), "key", most_tokens=100).collect()}
     assert got == want and len(got) == 40
+
+
+def _usage_by_hand(rows, seconds):
+    """Of (id, key, micros or None, tokens): id -> tokens and requests in the window that ends there."""
+    span, out = seconds * 1_000_000, {}
+    for i, k, t, _ in rows:
+        own = [n or 0 for _, l, u, n in rows if l == k and ((t is None and u is None) or (t is not None and u is not None and t - span <= u <= t))]
+        out[i] = (sum(own), len(own))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0.0, 1.0])
+def test_limits_spread_over_ranges(spark, hot):
+    """All rows of one client, or of several with null keys, times and tokens, ties included: as by hand, whatever the ranges."""
+    import random
+
+    r = random.Random(7)
+    rows = [(i, "hot" if r.random() < hot else r.choice(["a", "b", None]), None if hot < 1 and r.random() < 0.1 else r.randrange(400) * 500_000, r.choice([None, -2, 0, 5, 90])) for i in range(600)]
+    log = spark.createDataFrame(rows, "id long, key string, us long, tokens long").withColumn("ts", F.timestamp_micros("us")).withColumn("used_tokens", F.lit("clash"))
+    got = limits.window_usage(log, "key", seconds=7, most_tokens=300, most_requests=20)
+    assert got.columns == ["id", "key", "us", "tokens", "ts", "used_tokens", "used_requests", "admitted"]
+    want = _usage_by_hand(rows, 7)
+    found = {x.id: (x.used_tokens, x.used_requests) for x in got.collect()}
+    assert found == want
+    assert limits.window_usage(log.limit(0), "key").isEmpty()
+
+
+def test_no_task_takes_a_client(spark):
+    """The ranges split the one client's rows: none holds twice the median."""
+    from notemill.operators.limits import _running
+
+    log = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("us"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("c"))
+    parts = log.repartitionByRange(8, "k", "us").sortWithinPartitions("k", "us").mapInArrow(_running, "k string, us long, kind int, n long, c long, part int")
+    sizes = sorted(x["count"] for x in parts.groupBy("part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+
+
+def test_settled_stream_limiter(spark, tmp_path):
+    """Shuffled requests in several batches equal the table's windows; late ones are left out; state of idle clients goes."""
+    import random
+
+    from notemill.streaming import notes as N
+
+    r = random.Random(3)
+    schema = "id long, key string, us long, tokens long"
+    rows = [(i, r.choice("abc"), i * 900_000 + r.randrange(-20, 20) * 1_000_000 + 60_000_000, r.randrange(50)) for i in range(120)]
+    rows += [(200, "a", rows[5][2], None), (201, "a", rows[5][2], 4)]
+    late, flush = (900, "a", 61_000_000, 7), (901, "end", 10_000_000_000, 1)
+    df = lambda own: spark.createDataFrame(own, schema).withColumn("ts", F.timestamp_micros("us")).select("key", "ts", "tokens")
+    src, name = f"file://{tmp_path}/in", "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    with pytest.raises(ValueError):
+        N.settled_usage_stream(df(rows), "key")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        df(rows[:1]).limit(0).write.parquet(src)
+        stream = N.settled_usage_stream(spark.readStream.schema("key string, ts timestamp, tokens long").parquet(src), "key", seconds=30, most_tokens=200, late="60 seconds")
+        q = stream.writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+        for own in (rows[:40] + rows[120:], rows[40:80], rows[80:120], [late], [flush], [(902, "end", 10_200_000_000, 1)]):
+            df(own).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        state = q.lastProgress["stateOperators"][0] if q.lastProgress["stateOperators"] else None
+        dropped = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+        q.stop()
+    finally:
+        spark.conf.set(name, old)
+    columns = ["key", "ts", "tokens", "used_tokens", "used_requests", "admitted"]
+    got = sorted(map(tuple, spark.sql("select * from settled where key <> 'end'").select(columns).collect()))
+    want = sorted(map(tuple, limits.window_usage(df(rows).fillna(0), "key", seconds=30, most_tokens=200).select(columns).collect()))
+    assert got == want and len(got) == 122 and dropped == 1
+    assert state["numRowsTotal"] < 10, state  # one client is left
