@@ -18,9 +18,13 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions import text as X
+from . import phrases
 
 STANDARD_BOUNDS, PROFESSIONAL_BOUNDS = (0.5, 2.0), (0.4, 2.5)
 
+#: Dictionary rules that are one native expression each; more are one automaton, with the same result.
+MOST_NATIVE = 100
+
 
 def guard(original: Column, candidate: Column, bounds: tuple[float, float]) -> Column:
     """struct(text, ok, missing, extra): the trimmed candidate if it isn't blank, its length is within the
@@ -128,8 +132,12 @@ def _rewritten(notes: DataFrame, text: Column, rewriter: Callable[[Column], Colu
 
 def standardise(notes: DataFrame, variants: list[tuple[str, str]], rewriter: Callable[[Column], Column] | None = None, text_col: str = "text") -> DataFrame:
     """``notes`` with ``standard``, ``applied`` (dictionary rules), ``ok`` and ``corrections`` (word diff)."""
-    text, applied = X.prepass(F.coalesce(F.col(text_col), F.lit("")), variants)
-    step = notes.withColumn("_p", F.struct(text.alias("text"), applied.alias("applied")))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    if len(variants) > MOST_NATIVE:
+        step = phrases.rewrite(notes.withColumn("_w", whole), variants, "_w", "_p").drop("_w")
+    else:
+        text, applied = X.prepass(whole, variants)
+        step = notes.withColumn("_p", F.struct(text.alias("text"), applied.alias("applied")))
     step = step.withColumn("_g", _rewritten(notes, F.col("_p.text"), rewriter, STANDARD_BOUNDS))
     return step.withColumns({"standard": F.col("_g.text"), "applied": F.col("_p.applied"), "ok": F.col("_g.ok"), "corrections": word_diff(F.coalesce(F.col(text_col), F.lit("")), F.col("_g.text"))}).drop("_p", "_g")
 

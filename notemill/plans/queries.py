@@ -15,7 +15,7 @@ from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import feedback as B
-from ..operators import limits, names, redact, restore, terms
+from ..operators import limits, names, phrases, redact, restore, terms
 from ..sources import tables
 from .pipeline import process
 
@@ -150,6 +150,21 @@ def dictionary_prepass(spark, sf_dir):
     return docs.select("doc_id", F.md5(X.prepass(F.col("text"), VARIANTS)[0].cast("binary")).alias("standard"))
 
 
+_PHRASE = "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"
+
+
+@query(f"""
+    WITH p AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{_PHRASE}'))) AS phrase FROM benchmark),
+      d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+      c AS (SELECT doc_id, phrase, len(regexp_extract_all(text, '\\b' || phrase || '\\b', 0, 'i')) AS n FROM d JOIN p ON contains(d.low, p.phrase))
+    SELECT doc_id, phrase, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""")
+def registry_scan(spark, sf_dir):
+    """Every phrase of three words that benchmark items are cut into, and how often each document holds it."""
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_PHRASE), F.lit(0))).alias("phrase"))
+    known = [r.phrase for r in items.select(F.lower("phrase").alias("phrase")).distinct().orderBy("phrase").collect()]  # the dictionary: a small dimension
+    return phrases.scan(table(spark, sf_dir, "documents"), known, "doc_id").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT DISTINCT p_name AS name, {_sql_rewrite(chr(39) + 'Shon ' + chr(39) + ' || p_name || ' + chr(39) + ' o  Brien' + chr(39), [(p, r) for p, r in L.accent_rules()])} AS normal FROM part")
 def accent_rewrite(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
