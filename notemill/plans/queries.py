@@ -6,6 +6,7 @@ conversations as notes, events as logs. Every query covers its whole tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import feedback as B
-from ..operators import limits, names, phrases, redact, restore, terms
+from ..operators import limits, names, phrases, redact, restore, snapshots, terms
+from ..session import cut
 from ..sources import tables
 from .pipeline import process
 
@@ -299,6 +301,25 @@ def feedback_cascade(spark, sf_dir):
     return B.apply_feedback(d, log).select("seq", "canonical", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"""
+    WITH {_LOG}, {_CONFIRMED}, rej AS (SELECT lower(surface) AS surface, proposed FROM log GROUP BY ALL HAVING NOT arg_max(accepted, seq))
+    SELECT 'confirmed' AS view, surface AS k1, canonical AS k2, CAST(NULL AS BIGINT) AS n FROM conf UNION ALL SELECT 'rejected', surface, proposed, NULL FROM rej
+    UNION ALL SELECT 'misses', proposed, NULL, count(*) FROM log WHERE NOT accepted GROUP BY proposed
+    UNION ALL SELECT 'confusions', proposed, arg_max(correct, seq), NULL FROM log WHERE NOT accepted AND correct IS NOT NULL GROUP BY proposed""")
+def feedback_merged(spark, sf_dir):
+    """The log's views from summaries of two logs, one of acceptances and one of rejections, merged."""
+    log = _log(spark, sf_dir)
+    state = cut(snapshots.merge(snapshots.summary(log.where("accepted")), snapshots.summary(log.where("not accepted"))))
+    null = F.lit(None)
+    views = [
+        snapshots.confirmed(state).select(F.lit("confirmed").alias("view"), F.col("surface").alias("k1"), F.col("canonical").alias("k2"), null.cast("long").alias("n")),
+        snapshots.rejected(state).select(F.lit("rejected"), "surface", "proposed", null.cast("long")),
+        snapshots.misses(state).select(F.lit("misses"), "proposed", null.cast("string"), "misses"),
+        snapshots.confusions(state).select(F.lit("confusions"), "proposed", "correct", null.cast("long")),
+    ]
+    return reduce(DataFrame.union, views)
+
+
 @query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id")
 def nested_texts(spark, sf_dir):
     """Texts of a document store with nested transcriptions, joined in order."""
