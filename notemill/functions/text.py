@@ -1,10 +1,11 @@
 """Column functions over notes and names; native expressions, but for ``nfc`` and ``name_fold``
-on text beyond ASCII."""
+on text beyond ASCII, and ``drop_contained``."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -215,14 +216,34 @@ def capitalised_spans(text: Column) -> Column:
     return F.filter(spans, lambda s: let(parts(s), lambda p: F.exists(p, lambda w: F.length(w) >= 3) & ~F.arrays_overlap(F.transform(p, lambda w: F.lower(w)), stop)))
 
 
+def _outer(spans: list[str], lows: list[str]) -> list[str]:
+    """Spans as ``drop_contained`` keeps them. One automaton of all spans reads each of them once, and so finds what is within which."""
+    first: dict[str, int] = {}
+    for i, low in enumerate(lows):
+        first.setdefault(low, i)
+    found = ahocorasick.Automaton()
+    for low in filter(None, first):
+        found.add_word(low, low)
+    inner: set[str] = {""} if len(first) > 1 else set()
+    if len(found):
+        found.make_automaton()
+    for low in filter(None, first):
+        inner.update(x for _, x in found.iter(low) if len(x) < len(low))
+    kept = sorted((-len(spans[i]), i) for low, i in first.items() if low not in inner)
+    return [spans[i] for _, i in kept]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _outer_udf(spans: pd.Series, lows: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else _outer(list(s), list(low)) for s, low in zip(spans, lows)])
+
+
 def drop_contained(spans: Column) -> Column:
     """Spans that no longer span contains, any case; of spans that differ in case alone the first.
-    Longest first, ties by first occurrence."""
-    keyed = F.transform(spans, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("i"), s.alias("s")))
-    once = let(F.sort_array(keyed), lambda k: F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["low"] != x["low"])))
-    kept = let(once, lambda f: F.filter(f, lambda x: ~F.exists(f, lambda o: (F.length(o["low"]) > F.length(x["low"])) & F.contains(o["low"], x["low"]))))
-    ordered = F.sort_array(F.transform(kept, lambda x: F.struct((-F.length(x["s"])).alias("n"), x["i"].alias("i"), x["s"].alias("s"))))
-    return F.transform(ordered, lambda x: x["s"])
+    Longest first, ties by first occurrence. Work grows with the spans' letters, not with their pairs; arrays of one span or none, which
+    are left as they are, reach the UDF as null."""
+    many = F.size(spans) > 1
+    return F.when(many, _outer_udf(F.when(many, spans), F.when(many, F.transform(spans, F.lower)))).otherwise(spans)
 
 
 def tier(confidence: Column) -> Column:

@@ -163,10 +163,16 @@ def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col
     if strict:  # a word in lower case may be one of several, so that it needn't be equal here
         linked = linked.where(_plausible("w", "t", F.lit(1)))
     good = cut(folded.join(linked.select("w").distinct(), "w", "left_semi").select("word"))
-    kept = words.join(good, "word", "left_semi").groupBy(id_col).agg(F.collect_set("at").alias("ok"))  # a note's words
-    grams = notes.join(kept, id_col).withColumn("g", X.ngrams(F.col(text_col), [3, 2, 1]))
-    fits = lambda g: F.forall(F.sequence(F.lit(0), g["n"] - 1), lambda k: F.array_contains("ok", g["at"] + k) | (F.length(F.get(F.split(g["span"], " "), k)) < 2))
-    spans = cut(grams.select(id_col, F.explode(F.filter("g", lambda g: fits(g) & (F.length(g["span"]) >= 3) & ~g["span"].rlike(r"\A\p{Nd}+\z"))).alias("g")).select(id_col, "g.n", "g.at", "g.span"))
+    marked = words.join(good.withColumn("known", F.lit(True)), "word", "left").withColumn("ok", F.col("known").isNotNull() | (F.length("word") < 2))
+    # windows from the rows of the words after a word, in the order of the note: no array of a note's words is searched
+    order = Window.partitionBy(id_col).orderBy("at")
+    after = lambda c, k: F.lead(c, k).over(order)
+    rows = marked.select(id_col, "at", "word", "ok", *[after(c, k).alias(f"{c}{k}") for k in (1, 2) for c in ("word", "ok")])
+    window = lambda n, ok, *parts: F.when(ok, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *parts).alias("span")))
+    two = F.col("ok") & F.col("ok1")
+    each = F.array(window(3, two & F.col("ok2"), "word", "word1", "word2"), window(2, two, "word", "word1"), window(1, F.col("ok"), "word"))
+    grams = rows.where("ok").select(id_col, "at", F.explode(F.filter(each, lambda g: g.isNotNull())).alias("g"))
+    spans = cut(grams.select(id_col, "g.n", "at", "g.span").where((F.length("span") >= 3) & ~F.col("span").rlike(r"\A\p{Nd}+\z")))
     hit = matches(spans.select("span", F.col("span").alias("form")).distinct(), registry, threshold, ["span"]).select("span").distinct()
     found = spans.join(hit, "span").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "span"))).alias("w"))  # a note's matches
     over = lambda a, x: F.exists(a, lambda s: F.contains(F.lower(s), F.lower(x["span"])) | F.contains(F.lower(x["span"]), F.lower(s)))

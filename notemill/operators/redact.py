@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
@@ -55,17 +57,27 @@ def detected(notes: DataFrame, detector, id_col: str, text_col: str) -> DataFram
     return each.select(id_col, F.posexplode(X.drop_contained(F.col("s"))).alias("o", "span")).select(id_col, F.lit(1).alias("n"), F.col("o").alias("at"), "span")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _taken(at: pd.Series, size: pd.Series) -> pd.Series:
+    """Of windows in order, the numbers of those that share no word with one taken before; a byte a word of the note says which are covered."""
+
+    def one(starts, sizes) -> list[int]:
+        used, out = bytearray(max((int(a + n) for a, n in zip(starts, sizes)), default=0)), []
+        for i, (a, n) in enumerate(zip(starts, sizes)):
+            if not any(used[a : a + n]):
+                used[a : a + n] = b"\1" * n
+                out.append(i)
+        return out
+
+    return pd.Series([one(a, n) for a, n in zip(at, size)])
+
+
 def covering(found: DataFrame, id_col: str = "note_id") -> DataFrame:
     """Of confirmed windows of a note, those taken greedily: longer ones first, then from the left; none
-    that shares a word with one taken before. Adds ``o``, the order in which they were taken."""
+    that shares a word with one taken before. Adds ``o``, the order in which they were taken. Linear in a note's windows, once sorted."""
     rows = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "span", "canonical", "role", "confidence"))).alias("w"))  # a note's windows
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.slice("w", 1, 0).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        own = F.sequence(x["at"], x["at"] - x["m"] - 1)
-        return F.when(F.arrays_overlap(a["used"], own), a).otherwise(F.struct(F.concat(a["used"], own).alias("used"), F.concat(a["out"], F.array(x)).alias("out")))
-
-    taken = F.aggregate("w", start, step, lambda a: a["out"])
+    rows = rows.withColumn("i", _taken(F.transform("w", lambda x: x["at"]), F.transform("w", lambda x: -x["m"])))
+    taken = F.transform("i", lambda i: F.get("w", i))
     return rows.select(id_col, F.posexplode(taken).alias("o", "x")).select(id_col, "o", "x.at", "x.span", "x.canonical", "x.role", "x.confidence")
 
 
