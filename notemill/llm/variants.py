@@ -70,7 +70,8 @@ def near_words(words: DataFrame) -> DataFrame:
     """``word``, ``near``, ``near_n``: each word with each that differs from it by exactly one letter put in, taken out or replaced."""
     own = entries(words)
     other = own.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key", F.col("whole").alias("near_whole"), "left", F.col("first").alias("near_first"), "side", "part")
-    met = own.join(other, ["key", "left", "side", "part"]).where(~(F.col("whole") & F.col("near_whole")) & (F.col("word") != F.col("near")))
+    # both sides are shuffled: the planner takes entries for as small as the compressed words they are made of, and would broadcast them
+    met = own.join(other.hint("merge"), ["key", "left", "side", "part"]).where(~(F.col("whole") & F.col("near_whole")) & (F.col("word") != F.col("near")))
     met = met.where((F.col("side") == 0) | (F.col("first") != F.col("near_first")))
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
@@ -81,14 +82,14 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
         own = run.table(words.select("word", "n"), "words")
         best = near_words(own).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
         enough = -F.col("best.minus") >= ratio * F.col("n")
-        found = own.join(best, "word", "left").select("word", "n", F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+        found = own.join(best.hint("merge"), "word", "left").select("word", "n", F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
         found = run.table(found, "forms")
         step = found.where("form is not null").select("word", F.col("form").alias("root"))
         while True:  # roots of roots, until all are words without a form
             step = run.table(step, "roots")
             on = step.select(F.col("word").alias("root"), F.col("root").alias("on"))
-            ahead = step.join(on, "root", "left")
+            ahead = step.join(on.hint("merge"), "root", "left")
             if not ahead.where("on is not null").limit(1).count():
                 break
             step = ahead.select("word", F.coalesce("on", "root").alias("root"))
-        return run.keep(found.join(step, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), "variants")
+        return run.keep(found.join(step.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), "variants")

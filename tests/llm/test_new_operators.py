@@ -152,6 +152,15 @@ def counted(rows):
     return {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
 
 
+def test_entries_are_not_broadcast(spark, tmp_path):
+    """Entries take many times the bytes of the stored words from which the planner judges their size."""
+    spark.createDataFrame([("abcdef", 5), ("abcdeg", 30)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    found = variants.near_words(spark.read.parquet(f"file://{tmp_path}/words"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [("abcdef", "abcdeg", 30), ("abcdeg", "abcdef", 5)]
+
+
 def test_variants_query_of_texts(spark, tmp_path):
     r = random.Random(4)
     base = ["häuser", "ÀÉÜöøÿ", "gardens", "Garden", "printing", "Printer", "a" * 5000]
