@@ -53,14 +53,80 @@ class Letters:
         return [self.tokens[i] for i in np.flatnonzero(most >= 60 - 1e-6)]
 
 
+class Common:
+    """The longest common subsequences of words with each of a list of tokens: all words of a batch meet a token at once, whose letters are the bits of
+    a row of the table (as in ``similarity.common``), a word a lane."""
+
+    #: Letters of tokens and words that are compared at once; longer ones, and those that Python splits, are compared one by one.
+    MOST = 64
+    #: Words that are compared at once.
+    AT_ONCE = 8192
+
+    def __init__(self, tokens: list[str]):
+        plain = [S.prefix_normal(t) for t in tokens]
+        easy = [self.easy(t, p) for t, p in zip(tokens, plain)]
+        self.tokens, self.plain = [t for t, e in zip(tokens, easy) if e], [p for p, e in zip(plain, easy) if e]
+        self.others = Letters([t for t, e in zip(tokens, easy) if not e])
+        self.all = Letters(tokens)
+        self.letters = np.array(sorted({ord(c) for p in self.plain for c in p}), np.uint32)
+        code = {chr(x): i + 1 for i, x in enumerate(self.letters.tolist())}
+        self.codes = [[code[c] for c in p] for p in self.plain]
+
+    @classmethod
+    def easy(cls, token: str, plain: str) -> bool:
+        return 0 < len(plain) <= cls.MOST and not any(map(str.isspace, token))
+
+    def near(self, words: list[str], least_ratio: float) -> list[tuple[str, str]]:
+        """(word, token) of those that could reach LEAST, and whose ratio is ``least_ratio`` or more; of those compared one by one, all that could reach LEAST."""
+        plain = [S.prefix_normal(w) for w in words]
+        out, easy = [], []
+        for w, p in zip(words, plain):
+            if self.easy(w, p):
+                easy.append((len(p), p, w))
+                out += [(w, t) for t in self.others.near(w)] if self.others.tokens else []
+            else:
+                out += [(w, t) for t in self.all.near(w)]
+        easy.sort()  # words of one length need no padding
+        for i in range(0, len(easy), self.AT_ONCE):
+            part = easy[i : i + self.AT_ONCE]
+            size = np.array([n for n, *_ in part])
+            points = np.array([p for _, p, _ in part], f"U{size[-1]}").view(np.uint32).reshape(len(part), -1).T
+            at = np.searchsorted(self.letters, points) if len(self.letters) else np.zeros(points.shape, int)
+            known = self.letters[np.minimum(at, len(self.letters) - 1)] == points if len(self.letters) else np.zeros(points.shape, bool)
+            columns = np.where(known, at + 1, 0).astype(np.intp)
+            for token, codes in zip(self.tokens, self.codes):
+                out += [(part[j][2], token) for j in self._near(columns, size, codes, least_ratio)]
+        return out
+
+    def _near(self, columns: np.ndarray, size: np.ndarray, codes: list[int], least_ratio: float) -> np.ndarray:
+        n = len(codes)
+        places = np.zeros(len(self.letters) + 1, np.uint64)
+        for i, c in enumerate(codes):
+            places[c] |= np.uint64(1 << i)
+        full = np.uint64((1 << n) - 1)
+        row = np.full(len(size), full)
+        for column in columns:
+            hit = row & places[column]
+            row = ((row + hit) | (row - hit)) & full
+        both = n - np.bitwise_count(row).astype(np.int64)
+        ratio = 200.0 * both / (n + size)
+        if least_ratio >= LEAST:
+            return np.flatnonzero(ratio >= least_ratio - 1e-6)
+        short, long = np.minimum(n, size), np.maximum(n, size)
+        # a stretch that holds the common letters has as many letters at least
+        part = np.where(long < 1.5 * short, 0, np.where(long <= 8 * short, 0.9, 0.6)) * 200.0 * both / (short + both)
+        return np.flatnonzero((np.maximum(ratio, part) >= 60 - 1e-6) & (ratio >= least_ratio - 1e-6))
+
+
 def tasks(spark) -> int:
     """Tasks for rows of few bytes and much work, which the sizes of partitions alone would put into one. Deal the rows out by a hash of the key:
     by the key itself, a grouping before it would stand in, whose partitions are put together by size."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def token_links(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """w, t, s: pairs of ``words`` (w) and ``tokens`` (t) with a ``token_score`` of LEAST or more."""
+def token_links(words: DataFrame, tokens: DataFrame, least_ratio: float = 0.0) -> DataFrame:
+    """w, t, s: pairs of ``words`` (w) and ``tokens`` (t) with a ``token_score`` of LEAST or more. Pairs of single words whose ratio (of their
+    prefix-normal forms) is under ``least_ratio`` are left out: for callers that would drop them."""
     words, tokens = words.select("w").distinct().repartition(tasks(words.sparkSession), F.xxhash64("w")), tokens.select("t").distinct()
     blocks = max(1, -(-tokens.count() // AT_ONCE))
     out = None
@@ -69,9 +135,9 @@ def token_links(words: DataFrame, tokens: DataFrame) -> DataFrame:
         shared = words.sparkSession.sparkContext.broadcast(sorted(own))
 
         def run(batches, shared=shared):
-            letters = Letters(shared.value)
+            letters = Common(shared.value)
             for batch in batches:
-                rows = [(w, t, s) for w in batch["w"] for t in letters.near(w) if (s := S.token_score(w, t)) >= LEAST]
+                rows = [(w, t, s) for w, t in letters.near(batch["w"].tolist(), least_ratio) if (s := S.token_score(w, t)) >= LEAST]
                 yield pd.DataFrame(rows, columns=["w", "t", "s"]).astype({"s": float})
 
         found = words.mapInPandas(run, "w string, t string, s double")

@@ -18,7 +18,10 @@ from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as X
 from ..session import cut
+from .blocking import tasks, token_links
 
+#: The least ratio of two tokens that ``similarity.plausible`` takes for alike.
+ALIKE = 70.0
 THRESHOLD, ENTITY_THRESHOLD, WINDOW_THRESHOLD, FIRST_NAME_LIMIT = 80.0, 72.0, 75.0, 0.88
 
 
@@ -103,7 +106,7 @@ def blocked_matches(spans: DataFrame, entries: DataFrame, threshold: Column | fl
     lone = spans.select("span").join(roles).join(blocks, ["span", "role"], "left_anti")  # spans by the few roles
     pairs = near.unionByName(lone.join(entries.select("role", "ord"), "role"))
     scored = pairs.join(spans, "span").join(entries.select("role", "ord", "role_ord", "name", F.col("norm").alias("e_norm"), F.col("accented").alias("e_accented"), F.size("tokens").alias("e_n")), ["role", "ord"])
-    scored = scored.where(F.size("tokens") <= F.col("e_n")).withColumn("score", _scores("norm", "accented", "e_norm", "e_accented", limit, "guard"))
+    scored = scored.where(F.size("tokens") <= F.col("e_n")).repartition(tasks(spans.sparkSession), F.xxhash64("span", "role", "ord")).withColumn("score", _scores.asNondeterministic()("norm", "accented", "e_norm", "e_accented", limit, "guard"))  # else the filter scores before the rows are dealt out
     best = scored.where(F.col("score") >= limit).groupBy("span").agg(F.min(F.struct((-F.col("score")).alias("s"), "role_ord", "ord", "role", "name")).alias("b"))
     return best.select("span", "b.role", "b.ord", "b.name", F.round(-F.col("b.s") / 100, 3).alias("confidence"), F.lit("phonetic").alias("path"))
 
@@ -128,11 +131,25 @@ def prepared(spans: DataFrame) -> DataFrame:
     return own.withColumn("tokens", F.filter(F.split("norm", r"\s+"), lambda w: F.length(w) > 1)).where(F.size("tokens") > 0)
 
 
+def readable(spans: DataFrame, entries: DataFrame) -> DataFrame:
+    """Prepared spans that could be plausible for an entry: each token of the folded or of the accent-normal form is like a token of some
+    entry. Distinct tokens are compared, not spans, and most spans of ordinary words end here."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)[\s\x1C-\x1F]+"), lambda w: F.length(w) > 1))
+    forms = spans.select("span", F.posexplode(F.array(words("norm"), words("accented"))).alias("k", "ws"))
+    each = forms.select("span", "k", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    tokens = entries.select(F.explode(F.array_union(words("norm"), words("accented"))).alias("t"))
+    good = token_links(each.select("w"), tokens, ALIKE).select("w").distinct()
+    able = each.join(good, "w", "left_semi").groupBy("span", "k", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n")
+    return spans.join(able.select("span").distinct(), "span", "left_semi")
+
+
 def resolve(spans: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
     """The cascade exact, accent, blocked, first name; each stage sees what those before left over. ``strict``: what the blocked
     and first-name stages find has to be plausible (``similarity.plausible``)."""
     own = cut(prepared(spans))
     found = cut(exact_matches(own, entries))
+    if strict:
+        own = cut(readable(own.join(found, "span", "left_anti"), entries))
     for stage in (lambda s: blocked_matches(s, entries, threshold, strict), lambda s: first_name_matches(s, entries, strict=strict)):
         left = own.join(found, "span", "left_anti")
         found = cut(found.unionByName(stage(left)))
@@ -153,13 +170,12 @@ def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col
     """id and span: windows of three to one words, in any case, that match a registry name; of those of which one contains
     the other, the first (longer ones first, then from the left). Only windows are formed whose words can all be
     aligned with a name's, so that most of a text is never looked at twice; with ``strict``, words that are plausible for one of a name's."""
-    from .blocking import token_links
     from .redact import matches
 
     words = notes.select(id_col, F.posexplode(F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "")).alias("at", "word"))
     folded = cut(words.select("word").distinct().withColumn("w", X.name_fold(X.accent_normalise(F.col("word")))))
     tokens = registry.select(F.explode(F.split(X.name_fold(F.col("name")), r"(?U)\s+")).alias("t")).where(F.length("t") > 1)
-    linked = token_links(folded.where(F.length("w") > 1), tokens)
+    linked = token_links(folded.where(F.length("w") > 1), tokens, ALIKE if strict else 0.0)
     if strict:  # a word in lower case may be one of several, so that it needn't be equal here
         linked = linked.where(_plausible("w", "t", F.lit(1)))
     good = cut(folded.join(linked.select("w").distinct(), "w", "left_semi").select("word"))

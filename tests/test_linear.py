@@ -5,7 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from notemill.functions import similarity as S
 from notemill.functions import text as X
+from notemill.operators import blocking, names
 from notemill.operators.redact import covering
 
 
@@ -48,3 +50,26 @@ def test_covering_by_hand(spark):
                 used |= own
                 want.append(f"{n}-{at}")
         assert got[note] == want
+
+
+def test_tokens_are_linked_as_one_by_one():
+    rng = random.Random(5)
+    tokens = ["mary", "murphy", "mccarthy", "osullivan", "ann", "x" * 70, "margaret", "fitz gerald", "st"]
+    words = ["".join(rng.choice("amruphyncte'é") for _ in range(rng.randint(1, 14))) for _ in range(3000)] + tokens + ["maccarty", "o'", "mary\x1cann", "mc\x1cx", "y" * 65, "x" * 64, "a margaret b"]
+    found = {(w, t) for w, t in blocking.Common(tokens).near(words, 0.0) if S.token_score(w, t) >= blocking.LEAST}
+    assert found == {(w, t) for w in words for t in tokens if S.token_score(w, t) >= blocking.LEAST}
+    alike = {(w, t) for w, t in blocking.Common(tokens).near(words, names.ALIKE) if S.plausible(w, t, False) and S.token_score(w, t) >= blocking.LEAST}
+    assert alike == {(w, t) for w, t in found if S.plausible(w, t, False)}
+
+
+def test_spans_of_ordinary_words_are_not_scored(spark):
+    """Only spans whose every word is like one of a name go on; what the blocked stage finds is among them."""
+    entries = names.index(spark.createDataFrame([("patient", 0, "Mary Murphy"), ("nurse", 1, "Siobhán O'Sullivan")], "role string, ord int, name string"))
+    texts = ["Mary Murphie", "Mari Murphy", "Siobhan OSullivan", "The Garden", "Mary Garden", "Murpy", "Garden", "Sive Murfy", "mary murphie"]
+    own = names.prepared(spark.createDataFrame([(x,) for x in texts], "span string"))
+    able = names.readable(own, entries)
+    assert not {"The Garden", "Mary Garden", "Garden"} & {r.span for r in able.select("span").collect()}
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for find in (lambda s: names.blocked_matches(s, entries, strict=True), lambda s: names.first_name_matches(s, entries, strict=True)):
+        assert rows(find(able)) == rows(find(own))
+    assert rows(names.blocked_matches(able, entries, strict=True))
