@@ -191,14 +191,25 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(words * F.lit(1.35) * F.lit(1.10))).cast("int")
 
 
-def ngrams(text: Column, sizes: list[int]) -> Column:
-    """Windows of words, the longest first, left to right: array of (n, at, span)."""
+def windows(text: Column, sizes: list[int]) -> Column:
+    """Windows of words by size: array of (n, spans), spans from left to right. Each size is made from the one below and the words that
+    follow, so that a window costs one step, whatever its size."""
+    words = F.coalesce(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.array().cast("array<string>"))
+
+    def build(words: Column, made: dict[int, Column]) -> Column:
+        n = max(made)
+        if n == max(sizes):
+            return F.array(*[F.struct(F.lit(k).alias("n"), made[k].alias("spans")) for k in sizes])
+        left = F.size(words) - n
+        longer = F.zip_with(F.slice(made[n], F.lit(1), left), F.slice(words, F.lit(n + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+        return let(F.when(left > 0, longer).otherwise(F.array().cast("array<string>")), lambda grams: build(words, made | {n + 1: grams}))
 
-    def of(words: Column, n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.lit(n).alias("n"), i.cast("int").alias("at"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("span")))
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<n:int,at:int,span:string>>"))
+    return let(words, lambda words: build(words, {1: words}))
 
-    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda words: F.concat(*[of(words, n) for n in sizes]))
+
+def ngrams(text: Column, sizes: list[int]) -> Column:
+    """Windows of words, the longest first, left to right: array of (n, at, span)."""
+    return F.flatten(F.transform(windows(text, sizes), lambda x: F.transform(x["spans"], lambda s, i: F.struct(x["n"].alias("n"), i.alias("at"), s.alias("span")))))
 
 
 def valid_id(session: Column) -> Column:

@@ -223,13 +223,8 @@ def word_changes(spark, sf_dir):
       g AS (SELECT doc_id, n, list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' ')) AS g FROM w, (VALUES (1), (2), (3), (4)) v(n) WHERE len(w) >= n)
     SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(len(g) AS BIGINT) AS windows, CAST(len(list_distinct(g)) AS BIGINT) AS spans FROM g""")
 def span_windows(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").withColumn("g", X.ngrams(F.col("text"), [4, 3, 2, 1]))
-    each = g.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.transform(F.filter("g", _size_is(n)), lambda x: x["span"]).alias("s")) for n in (1, 2, 3, 4)])).alias("x"))
-    return each.select("doc_id", "x.n", F.size("x.s").cast("long").alias("windows"), F.size(F.array_distinct("x.s")).cast("long").alias("spans")).where("windows > 0")
-
-
-def _size_is(n: int):
-    return lambda x: x["n"] == n
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.windows(F.col("text"), [1, 2, 3, 4])).alias("x"))
+    return each.select("doc_id", "x.n", F.size("x.spans").cast("long").alias("windows"), F.size(F.array_distinct("x.spans")).cast("long").alias("spans")).where("windows > 0")
 
 
 @query()

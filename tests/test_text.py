@@ -102,3 +102,13 @@ def test_fold_of_ascii_and_beyond(spark):
     rows = ["O'Neill", "ÁB", "", "Zoë d’Arc", None, "İz"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(X.name_fold(F.col("x"))).collect()]
     assert got == [None if x is None else X._fold(x) for x in rows]
+
+
+def test_windows_by_size(spark):
+    texts = [None, "", "  ", "a", " a  b\tc d e a b ", "x " * 7]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.windows(F.col("t"), [4, 1, 2]).alias("w"), X.ngrams(F.col("t"), [3, 1]).alias("g")).orderBy("i").collect()
+    for text, r in zip(texts, rows):
+        words = (text or "").split()
+        of = lambda n: [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]  # noqa: B023, E731
+        assert [(x.n, x.spans) for x in r.w] == [(n, of(n)) for n in (4, 1, 2)]
+        assert [tuple(x) for x in r.g] == [(n, i, s) for n in (3, 1) for i, s in enumerate(of(n))]
