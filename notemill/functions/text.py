@@ -4,9 +4,13 @@ on text beyond ASCII, and ``drop_contained``."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +26,28 @@ def _fold(name: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", name) if unicodedata.category(c) != "Mn" and c not in _QUOTES).lower()
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+@F.arrow_udf(T.StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return _sliced(s, lambda x: unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(T.StringType())
-def _fold_udf(s: pd.Series) -> pd.Series:
-    return s.map(_fold, na_action="ignore")
+#: Bytes of text that are Python strings at once.
+_SLICE = 1 << 20
+
+
+def _sliced(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """``f`` of each text, null as null, of some MB of an Arrow batch at a time: a batch is bounded by its rows, and rows may be long."""
+    if not len(texts):
+        return texts
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    out = [pa.array([None if x is None else f(x) for x in texts.slice(a, b - a).to_pylist()], texts.type) for a, b in zip(cuts, cuts[1:])]
+    return pa.concat_arrays(out)
+
+
+@F.arrow_udf(T.StringType())
+def _fold_udf(s: pa.Array) -> pa.Array:
+    return _sliced(s, _fold)
 
 
 def let(value: Column, body) -> Column:

@@ -1,5 +1,6 @@
 """Behaviour of the column functions, on invented values."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notemill.functions import lexicons as L
@@ -112,3 +113,17 @@ def test_windows_by_size(spark):
         of = lambda n: [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]  # noqa: B023, E731
         assert [(x.n, x.spans) for x in r.w] == [(n, of(n)) for n in (4, 1, 2)]
         assert [tuple(x) for x in r.g] == [(n, i, s) for n in (3, 1) for i, s in enumerate(of(n))]
+
+
+def test_long_texts_are_folded_in_slices(monkeypatch):
+    """Of an Arrow batch of long texts, some MB are Python strings at once."""
+    now = pa.array(["É’a" * 1000, None, "", "ß" * 10])
+    monkeypatch.setattr(X, "_SLICE", 2000)
+    lists = []
+    real = pa.array
+    monkeypatch.setattr(X.pa, "array", lambda x, *a: lists.append(len(x)) or real(x, *a))
+    for texts in (now, now.slice(1, 2), now.slice(0, 0)):
+        assert X._sliced(texts, X._fold).to_pylist() == [None if x is None else X._fold(x) for x in texts.to_pylist()]
+    lists.clear()
+    X._sliced(real(["é" * 999] * 50), X._fold)
+    assert max(lists) <= 2
