@@ -98,24 +98,46 @@ class Common:
                 out += [(part[j][2], token) for j in self._near(columns, size, codes, least_ratio)]
         return out
 
-    def _near(self, columns: np.ndarray, size: np.ndarray, codes: list[int], least_ratio: float) -> np.ndarray:
-        n = len(codes)
+    def _common(self, columns: np.ndarray, codes: list[int]) -> np.ndarray:
         places = np.zeros(len(self.letters) + 1, np.uint64)
         for i, c in enumerate(codes):
             places[c] |= np.uint64(1 << i)
-        full = np.uint64((1 << n) - 1)
-        row = np.full(len(size), full)
+        full = np.uint64((1 << len(codes)) - 1)
+        row = np.full(columns.shape[1], full)
         for column in columns:
             hit = row & places[column]
             row = ((row + hit) | (row - hit)) & full
-        both = n - np.bitwise_count(row).astype(np.int64)
+        return len(codes) - np.bitwise_count(row).astype(np.int64)
+
+    def _stretches(self, columns: np.ndarray, size: np.ndarray, codes: list[int]) -> np.ndarray:
+        """``similarity.partial_ratio`` of each word with a token: of the token with stretches of longer words, of shorter words with stretches of the token."""
+        n, best = len(codes), np.zeros(len(size))
+        longer = np.flatnonzero(size > n)
+        for i in range(1 - n, max(size[longer], default=0)):
+            low, high = max(0, i), np.minimum(i + n, size[longer])
+            both = self._common(columns[low : i + n, longer], codes)
+            best[longer] = np.maximum(best[longer], np.where(high > low, 200.0 * both / (n + np.maximum(high - low, 1)), 0))
+        for m in np.unique(size[size <= n]).tolist():
+            same = np.flatnonzero(size == m)
+            for i in range(1 - m, n):
+                stretch = codes[max(0, i) : i + m]
+                best[same] = np.maximum(best[same], 200.0 * self._common(columns[:m, same], stretch) / (m + len(stretch)))
+        return best
+
+    def _near(self, columns: np.ndarray, size: np.ndarray, codes: list[int], least_ratio: float) -> np.ndarray:
+        n = len(codes)
+        both = self._common(columns, codes)
         ratio = 200.0 * both / (n + size)
         if least_ratio >= LEAST:
             return np.flatnonzero(ratio >= least_ratio - 1e-6)
         short, long = np.minimum(n, size), np.maximum(n, size)
+        scale = np.where(long < 1.5 * short, 0, np.where(long <= 8 * short, 0.9, 0.6))
+        good = ratio >= 60 - 1e-6
         # a stretch that holds the common letters has as many letters at least
-        part = np.where(long < 1.5 * short, 0, np.where(long <= 8 * short, 0.9, 0.6)) * 200.0 * both / (short + both)
-        return np.flatnonzero((np.maximum(ratio, part) >= 60 - 1e-6) & (ratio >= least_ratio - 1e-6))
+        left = np.flatnonzero(~good & (scale * 200.0 * both / (short + both) >= 60 - 1e-6))
+        if len(left):
+            good[left] = scale[left] * self._stretches(columns[:, left], size[left], codes) >= 60 - 1e-6
+        return np.flatnonzero(good & (ratio >= least_ratio - 1e-6))
 
 
 def tasks(spark) -> int:
