@@ -78,14 +78,18 @@ class Common:
 
     def near(self, words: list[str], least_ratio: float) -> list[tuple[str, str]]:
         """(word, token) of those that could reach LEAST, and whose ratio is ``least_ratio`` or more; of those compared one by one, all that could reach LEAST."""
+        return [(w, t) for w, t, _ in self.rated(words, least_ratio)]
+
+    def rated(self, words: list[str], least_ratio: float) -> list[tuple[str, str, float | None]]:
+        """As ``near``, with the weighted ratio of the prefix-normal forms; None for those compared one by one."""
         plain = [S.prefix_normal(w) for w in words]
         out, easy = [], []
         for w, p in zip(words, plain):
             if self.easy(w, p):
                 easy.append((len(p), p, w))
-                out += [(w, t) for t in self.others.near(w)] if self.others.tokens else []
+                out += [(w, t, None) for t in self.others.near(w)] if self.others.tokens else []
             else:
-                out += [(w, t) for t in self.all.near(w)]
+                out += [(w, t, None) for t in self.all.near(w)]
         easy.sort()  # words of one length need no padding
         for i in range(0, len(easy), self.AT_ONCE):
             part = easy[i : i + self.AT_ONCE]
@@ -95,7 +99,7 @@ class Common:
             known = self.letters[np.minimum(at, len(self.letters) - 1)] == points if len(self.letters) else np.zeros(points.shape, bool)
             columns = np.where(known, at + 1, 0).astype(np.intp)
             for token, codes in zip(self.tokens, self.codes):
-                out += [(part[j][2], token) for j in self._near(columns, size, codes, least_ratio)]
+                out += [(part[j][2], token, r) for j, r in zip(*map(np.ndarray.tolist, self._near(columns, size, codes, least_ratio)))]
         return out
 
     def _common(self, columns: np.ndarray, codes: list[int]) -> np.ndarray:
@@ -124,20 +128,20 @@ class Common:
                 best[same] = np.maximum(best[same], 200.0 * self._common(columns[:m, same], stretch) / (m + len(stretch)))
         return best
 
-    def _near(self, columns: np.ndarray, size: np.ndarray, codes: list[int], least_ratio: float) -> np.ndarray:
+    def _near(self, columns: np.ndarray, size: np.ndarray, codes: list[int], least_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers and their ``similarity.wratio`` with the token."""
         n = len(codes)
         both = self._common(columns, codes)
         ratio = 200.0 * both / (n + size)
-        if least_ratio >= LEAST:
-            return np.flatnonzero(ratio >= least_ratio - 1e-6)
         short, long = np.minimum(n, size), np.maximum(n, size)
         scale = np.where(long < 1.5 * short, 0, np.where(long <= 8 * short, 0.9, 0.6))
-        good = ratio >= 60 - 1e-6
         # a stretch that holds the common letters has as many letters at least
-        left = np.flatnonzero(~good & (scale * 200.0 * both / (short + both) >= 60 - 1e-6))
+        left = np.flatnonzero((ratio >= least_ratio - 1e-6) & (scale > 0) & (np.maximum(ratio, scale * 200.0 * both / (short + both)) >= 60 - 1e-6))
+        most = ratio.copy()
         if len(left):
-            good[left] = scale[left] * self._stretches(columns[:, left], size[left], codes) >= 60 - 1e-6
-        return np.flatnonzero(good & (ratio >= least_ratio - 1e-6))
+            most[left] = np.maximum(ratio[left], scale[left] * self._stretches(columns[:, left], size[left], codes))
+        good = np.flatnonzero((most >= 60 - 1e-6) & (ratio >= least_ratio - 1e-6))
+        return good, most[good]
 
 
 def tasks(spark) -> int:
@@ -159,7 +163,7 @@ def token_links(words: DataFrame, tokens: DataFrame, least_ratio: float = 0.0) -
         def run(batches, shared=shared):
             letters = Common(shared.value)
             for batch in batches:
-                rows = [(w, t, s) for w, t in letters.near(batch["w"].tolist(), least_ratio) if (s := S.token_score(w, t)) >= LEAST]
+                rows = [(w, t, s) for w, t, r in letters.rated(batch["w"].tolist(), least_ratio) if (s := S.token_score(w, t) if r is None else S.with_codes(r, w, t)) >= LEAST]
                 yield pd.DataFrame(rows, columns=["w", "t", "s"]).astype({"s": float})
 
         found = words.mapInPandas(run, "w string, t string, s double")
@@ -209,10 +213,19 @@ def found_names(forms: DataFrame, names: DataFrame, threshold: float) -> DataFra
     types = to_arrow_schema(schema).types
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 1))
     names = cut(names.select("role", "ord", "name", "g"))
-    each = cut(forms.select("f").distinct().select("f", words("f").alias("ws")).where(F.size("ws") > 0).select("f", F.size("ws").alias("n"), F.explode("ws").alias("w")))
+    tokens = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 1)
+    most = names.agg(F.max(F.size(tokens("g")))).first()[0] or 0
+    odd = F.col("f").rlike(r"[\x1C-\x1F]")  # what Python splits here is one word to Spark
+    own = forms.select("f").distinct().select("f", odd.alias("odd"), tokens("f").alias("ts")).where(F.col("odd") | (F.size("ts") <= most))  # a name of fewer tokens can't be matched
+    own = own.select("f", (F.col("odd") | (F.size("ts") != F.size(F.array_distinct("ts")))).alias("odd"), F.array_distinct("ts").alias("ws"))
+    each = cut(own.where(F.size("ws") > 0).select("f", "odd", F.size("ws").alias("n"), F.explode("ws").alias("w")))
     links = cut(token_links(each.select("w"), names.select(F.explode(words("g")).alias("t"))))
     near = links.groupBy("w").agg(F.collect_list(F.struct("t", "s")).alias("links"))  # tokens near a word
-    known = each.join(near, "w").groupBy("f", "n").agg(F.collect_list("links").alias("links")).where(F.size("links") == F.col("n"))
+    # a form goes unless each of its words has a link, and the best of these make up what ``Names.find`` asks of the tokens' mean
+    best = links.groupBy("w").agg(F.max("s").alias("s"))
+    least = F.when(F.col("n") == 1, max(threshold - 8, 65.0)).otherwise(float(threshold))
+    able = each.join(best, "w").groupBy("f", "n", "odd").agg(F.count(F.lit(1)).alias("m"), F.avg("s").alias("mean")).where((F.col("m") == F.col("n")) & (F.col("odd") | (F.col("mean") >= (least - 15) / 0.85 - 1e-6)))
+    known = each.join(cut(able.select("f")), "f", "left_semi").join(near, "w").groupBy("f").agg(F.collect_list("links").alias("links"))
     known = known.select("f", "links").repartition(tasks(names.sparkSession), F.xxhash64("f"))
     blocks = max(1, -(-names.count() // AT_ONCE))
     out = None

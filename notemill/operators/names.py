@@ -18,7 +18,7 @@ from ..functions import lexicons as L
 from ..functions import similarity as S
 from ..functions import text as X
 from ..session import cut
-from .blocking import tasks, token_links
+from .blocking import AT_ONCE, tasks, token_links
 
 #: The least ratio of two tokens that ``similarity.plausible`` takes for alike.
 ALIKE = 70.0
@@ -159,11 +159,14 @@ def resolve(spans: DataFrame, entries: DataFrame, threshold: float = THRESHOLD,
 def capital_detector(notes: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
     """id and span: runs of capitalised words; a possessive stays in the text. With ``strict``, so do the function words that a run begins with, as
     sentences do."""
-    found = notes.select(id_col, F.explode(X.capitalised_spans(F.col(text_col))).alias("span"))
-    found = found.select(id_col, F.regexp_replace("span", "'s?$", "").alias("span"))
-    if strict:
-        found = found.select(id_col, F.regexp_replace("span", rf"(?iu)\A(?:(?:{'|'.join(L.function_words())})\s++)++", "").alias("span"))
-    return found
+    heads = rf"(?iu)\A(?:(?:{'|'.join(L.function_words())})\s++)++"
+
+    def bare(span: Column) -> Column:
+        span = F.regexp_replace(span, "'s?$", "")
+        return F.regexp_replace(span, heads, "") if strict else span
+
+    # within the array: filters on rows would each repeat the replacements
+    return notes.select(id_col, F.explode(F.array_distinct(F.transform(X.capitalised_spans(F.col(text_col)), bare))).alias("span"))
 
 
 def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, threshold: float = WINDOW_THRESHOLD, strict: bool = False) -> DataFrame:
@@ -172,22 +175,24 @@ def window_detector(notes: DataFrame, registry: DataFrame, id_col: str, text_col
     aligned with a name's, so that most of a text is never looked at twice; with ``strict``, words that are plausible for one of a name's."""
     from .redact import matches
 
-    words = notes.select(id_col, F.posexplode(F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "")).alias("at", "word"))
-    folded = cut(words.select("word").distinct().withColumn("w", X.name_fold(X.accent_normalise(F.col("word")))))
+    parts = F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "")
+    words = notes.select(id_col, F.posexplode(parts).alias("at", "word"))
+    folded = notes.select(F.explode(F.array_distinct(parts)).alias("word")).distinct()
+    folded = cut(folded.withColumn("a", X.accent_normalise(F.col("word"))).withColumn("w", X.name_fold(F.col("a"))).select("word", "w"))
     tokens = registry.select(F.explode(F.split(X.name_fold(F.col("name")), r"(?U)\s+")).alias("t")).where(F.length("t") > 1)
     linked = token_links(folded.where(F.length("w") > 1), tokens, ALIKE if strict else 0.0)
     if strict:  # a word in lower case may be one of several, so that it needn't be equal here
         linked = linked.where(_plausible("w", "t", F.lit(1)))
-    good = cut(folded.join(linked.select("w").distinct(), "w", "left_semi").select("word"))
-    marked = words.join(good.withColumn("known", F.lit(True)), "word", "left").withColumn("ok", F.col("known").isNotNull() | (F.length("word") < 2))
+    good = cut(folded.join(linked.select("w").distinct(), "w", "left_semi").select("word").unionByName(folded.where(F.length("word") < 2).select("word")).distinct())
+    marked = words.join(F.broadcast(good) if good.count() <= AT_ONCE else good, "word", "left_semi")  # of a text's words, most go here
     # windows from the rows of the words after a word, in the order of the note: no array of a note's words is searched
     order = Window.partitionBy(id_col).orderBy("at")
     after = lambda c, k: F.lead(c, k).over(order)
-    rows = marked.select(id_col, "at", "word", "ok", *[after(c, k).alias(f"{c}{k}") for k in (1, 2) for c in ("word", "ok")])
+    rows = marked.select(id_col, "at", "word", *[after(c, k).alias(f"{c}{k}") for k in (1, 2) for c in ("word", "at")])
     window = lambda n, ok, *parts: F.when(ok, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *parts).alias("span")))
-    two = F.col("ok") & F.col("ok1")
-    each = F.array(window(3, two & F.col("ok2"), "word", "word1", "word2"), window(2, two, "word", "word1"), window(1, F.col("ok"), "word"))
-    grams = rows.where("ok").select(id_col, "at", F.explode(F.filter(each, lambda g: g.isNotNull())).alias("g"))
+    two = F.col("at1") == F.col("at") + 1
+    each = F.array(window(3, two & (F.col("at2") == F.col("at") + 2), "word", "word1", "word2"), window(2, two, "word", "word1"), window(1, F.lit(True), "word"))
+    grams = rows.select(id_col, "at", F.explode(F.filter(each, lambda g: g.isNotNull())).alias("g"))
     spans = cut(grams.select(id_col, "g.n", "at", "g.span").where((F.length("span") >= 3) & ~F.col("span").rlike(r"\A\p{Nd}+\z")))
     hit = matches(spans.select("span", F.col("span").alias("form")).distinct(), registry, threshold, ["span"]).select("span").distinct()
     found = spans.join(hit, "span").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "span"))).alias("w"))  # a note's matches
@@ -211,7 +216,7 @@ def detect(notes: DataFrame, registry: DataFrame, id_col: str, text_col: str, re
     if strict:  # single function words are no names, capitalised or not
         spans = spans.where((F.col("r") == 0) | ~F.lower("span").isin(L.function_words()))
     spans = spans.where(~X.is_token(F.col("span")) & ~F.lower("span").isin(L.ENTITY_STOP_WORDS + L.MORE_ENTITY_STOP_WORDS) & (F.length("span") >= 2))
-    first = spans.join(notes.select(id_col, F.col(text_col).alias("_text")), id_col).groupBy(id_col, "span").agg(F.min("r").alias("r"), F.min(F.instr("_text", F.col("span"))).alias("at"))
+    first = cut(spans.join(notes.select(id_col, F.col(text_col).alias("_text")), id_col).groupBy(id_col, "span").agg(F.min("r").alias("r"), F.min(F.instr("_text", F.col("span"))).alias("at")))
     each = first.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("s"))  # a note's spans
     kept = each.select(id_col, F.posexplode(X.drop_contained(F.transform("s", lambda x: x["span"]))).alias("o", "span"))
     return kept.join(first.select(id_col, "span", F.when(F.col("r") == 0, "ner").when(F.col("r") == 1, "heuristic").otherwise("window").alias("method")), [id_col, "span"]).select(id_col, "o", "span", "method")
@@ -242,7 +247,7 @@ def correct_names(notes: DataFrame, registry: DataFrame, feedback: DataFrame | N
 
     ``strict``: spans have to read like the name they are given, so that ordinary words which share a stretch of letters with one ("are" with
     Margaret, "von" with Yvonne) stay; a recogniser's spans are taken at its word. Without it every score over the thresholds counts."""
-    texts = notes.withColumn("_t", X.nfc(F.col(text_col)))
+    texts = cut(notes.withColumn("_t", X.nfc(F.col(text_col))))
     entries = cut(index(registry))
     spans = cut(detect(texts, registry, id_col, "_t", recogniser, with_windows, strict))
     found = resolve(spans.where("method <> 'ner'"), entries, THRESHOLD, strict).withColumn("ner", F.lit(False))

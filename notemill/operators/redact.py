@@ -20,7 +20,7 @@ CONFIRM, WINDOWED = 72.0, 78.0
 def matches(forms: DataFrame, registry: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """``keys``, role, ord, name and ``s`` of all registry names that each of the forms (keys, form) matches by ``match_score``.
     Candidates are found without loss by their tokens, and each is scored once."""
-    tried = cut(forms.withColumn("f", X.name_fold(X.accent_normalise(F.col("form")))).select(*keys, "f"))
+    tried = cut(forms.withColumn("a", X.accent_normalise(F.col("form"))).withColumn("f", X.name_fold(F.col("a"))).select(*keys, "f"))
     found = found_names(tried, registry.select("role", "ord", "name", X.name_fold(F.col("name")).alias("g")), threshold)
     return tried.join(cut(found), "f").select(*keys, "role", "ord", "name", "s")
 
@@ -36,11 +36,36 @@ def confirm(spans: DataFrame, registry: DataFrame, threshold: float = WINDOWED)
     return best.select("span", F.col("b.name").alias("canonical"), F.col("b.role").alias("role"), (-F.col("b.s")).alias("confidence"))
 
 
-def windows(notes: DataFrame, id_col: str = "note_id", text_col: str = "text") -> DataFrame:
-    """id, n, at, span: windows of four to one words that could be names; others go before anything is exploded."""
+_TITLE = r"(?iu:" + "|".join(L.HONORIFICS) + r")\.*\z"
+#: Words that a window can begin with: the first letter is a capital, or there is none, or it is a title; words that hold a blank are let through.
+_BEGINS = rf"(?U)\A[^\p{{L}}\p{{N}}_]*(?:\p{{Lu}}|\z|{_TITLE})|\s"
+#: Words that are one token or more of a folded name, whatever is stripped, but for titles and the second words of what accent normalisation joins.
+_SOLID = r"(?U)[\p{L}\p{N}&&[^ʼ]][^\s\x1C-\x1F]*[\p{L}\p{N}&&[^ʼ]]"
+_SPARED = rf"\A[^\p{{L}}\p{{N}}_]*{_TITLE}|(?iu)\A(?:" + "|".join(p.split(r"\s+")[1][:-2] for p, _ in L.accent_rules() if r"\s+" in p) + ")"
+
+
+def _begun(text: Column, sizes: list[int], most: int | None) -> Column:
+    """Windows of words that begin as ``windows`` asks, and have at most ``most`` tokens by a count that is sure to be no larger than theirs: array of (n, at, span)."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    blank = text.rlike(r"(?U)[\x{80}-\x{10FFFF}&&[\s]]")  # a word may hold one
+
+    def begins(w: Column, blank: Column) -> Column:  # most words begin with a-z, and are told without a pattern
+        return F.when((w >= "a") & (w < "{") & ~blank, F.rtrim(F.lower(w), F.lit(".")).isin(L.HONORIFICS)).otherwise(w.rlike(_BEGINS))
+
+    def at(words: Column, i: Column) -> Column:
+        made = F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(i + n <= F.size(words), F.struct(n.alias("n"), i.alias("at"), F.slice(words, i + 1, n).alias("part"))))
+        made = F.filter(made, lambda g: g.isNotNull() & ((g["n"] <= most) | (F.size(F.filter(g["part"], lambda w: w.rlike(_SOLID) & ~w.rlike(_SPARED))) <= most) if most is not None else F.lit(True)))
+        return F.transform(made, lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), F.array_join(g["part"], " ").alias("span")))
+
+    places = lambda x: F.filter(F.transform(x["words"], lambda w, i: F.when(begins(w, x["blank"]), i)), lambda i: i.isNotNull())
+    return F.flatten(X.let(F.struct(words.alias("words"), blank.alias("blank")), lambda x: F.transform(places(x), lambda i: at(x["words"], i))))
+
+
+def windows(notes: DataFrame, id_col: str = "note_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+    """id, n, at, span: windows of four to one words that could be names, of ``most`` tokens if given; others go before anything is exploded."""
     bare = lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), F.regexp_replace(g["span"], r"(?U)\A[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+\z", "").alias("span"))
     # the first word or, after a title, the second begins with a capital
-    grams = F.filter(X.ngrams(F.col(text_col), [4, 3, 2, 1]), lambda g: g["span"].rlike(r"(?U)\A\P{Alnum}*\p{Lu}|\A\S+\s+\P{Alnum}*\p{Lu}"))
+    grams = F.filter(_begun(F.col(text_col), [4, 3, 2, 1], most), lambda g: g["span"].rlike(r"(?U)\A\P{Alnum}*\p{Lu}|\A\S+\s+\P{Alnum}*\p{Lu}"))
     own = F.transform(F.transform(grams, bare), lambda g: F.struct(g["n"].alias("n"), g["at"].alias("at"), g["span"].alias("span"), X.strip_honorific(g["span"]).alias("bare")))
     stop = F.array(*map(F.lit, L.ENTITY_STOP_WORDS))
     good = F.filter(own, lambda g: g["bare"].rlike(r"^\p{Lu}") & (F.length(g["bare"]) >= 4) & (F.size(F.array_except(F.split(F.lower(g["bare"]), " +"), stop)) > 0))
@@ -100,7 +125,8 @@ def redact(notes: DataFrame, registry: DataFrame, id_col: str = "note_id", text_
     """Redacted notes (``redacted``, ``pii_map``) and the redaction events. Spans come from windows of words, or from a
     ``detector``, whose spans need a confidence of CONFIRM alone. With ``maps_path`` the maps are written there by note."""
     texts = notes.withColumn("_t", X.nfc(F.coalesce(F.col(text_col), F.lit(""))))
-    spans = cut(detected(texts, detector, id_col, "_t") if detector else windows(texts, id_col, "_t"))
+    most = registry.agg(F.max(F.size(F.filter(F.split(X.name_fold(F.col("name")), r"(?U)\s+"), lambda w: F.length(w) > 1)))).first()[0] or 0
+    spans = cut(detected(texts, detector, id_col, "_t") if detector else windows(texts, id_col, "_t", most))
     taken = cut(covering(spans.join(confirm(spans, registry, CONFIRM if detector else threshold), "span"), id_col))
     events = number_tokens(taken, id_col)
     alias = F.row_number().over(Window.partitionBy(id_col, F.lower(X.first_name_alias(F.col("canonical")))).orderBy("o")) == 1

@@ -31,7 +31,7 @@ def restore(notes: DataFrame, text_col: str = "text", map_col: str = "pii_map")
     text = X.unix_lines(F.col(text_col))
     names = clean_map(F.coalesce(F.col(map_col), F.create_map().cast("map<string,string>")))
     step = notes.withColumns({"_t": text, "_m": names})
-    pattern = lambda token: F.concat(F.lit(_LEFT), X.literal(token), F.lit(_RIGHT))
+    pattern = lambda token: X.let(X.literal(token), lambda body: F.concat(F.lit("(?="), body, F.lit(")" + _LEFT), body, F.lit(_RIGHT)))
     held = F.filter(F.map_entries("_m"), lambda e: F.contains(F.coalesce("_t", F.lit("")), e["key"]))  # most texts hold few of a map's tokens
     counted = F.transform(held, lambda e: F.struct((-F.length(e["key"])).alias("o"), e["key"].alias("token"), e["value"].alias("name"), F.regexp_count(F.col("_t"), pattern(e["key"])).alias("n")))
     step = step.withColumn("_c", F.array_sort(F.filter(counted, lambda e: e["n"] > 0)))

@@ -30,11 +30,22 @@ def guard(original: Column, candidate: Column, bounds: tuple[float, float]) -> C
     """struct(text, ok, missing, extra): the trimmed candidate if it isn't blank, its length is within the
     bounds and no protection token of the original is missing; else the original. Extra tokens
     are told, not held against it."""
-    before, after = X.protection_tokens(original), X.protection_tokens(F.coalesce(candidate, F.lit("")))
-    missing, extra = F.array_except(before, after), F.array_except(after, before)
-    share = F.length(candidate) / F.greatest(F.length(original), F.lit(1))
-    ok = F.coalesce((F.btrim(candidate) != "") & share.between(*bounds) & (F.size(missing) == 0), F.lit(False))
-    return F.struct(F.when(ok, F.btrim(candidate)).otherwise(original).alias("text"), ok.alias("ok"), F.array_sort(missing).alias("missing"), F.array_sort(extra).alias("extra"))
+    # each step is bound, so that none is evaluated for every use of it
+    def tokens(x: Column) -> Column:
+        before = X.protection_tokens(x["a"])
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), before.alias("before"), F.when(x["a"] == x["b"], F.lit(None)).otherwise(X.protection_tokens(F.coalesce(x["b"], F.lit("")))).alias("after"))
+
+    def judged(x: Column) -> Column:
+        after = F.coalesce(x["after"], x["before"])
+        missing, extra = F.array_except(x["before"], after), F.array_except(after, x["before"])
+        share = F.length(x["b"]) / F.greatest(F.length(x["a"]), F.lit(1))
+        ok = F.coalesce((F.btrim(x["b"]) != "") & share.between(*bounds) & (F.size(missing) == 0), F.lit(False))
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), ok.alias("ok"), missing.alias("missing"), extra.alias("extra"))
+
+    def told(x: Column) -> Column:
+        return F.struct(F.when(x["ok"], F.btrim(x["b"])).otherwise(x["a"]).alias("text"), x["ok"].alias("ok"), F.array_sort(x["missing"]).alias("missing"), F.array_sort(x["extra"]).alias("extra"))
+
+    return X.let(F.struct(original.alias("a"), candidate.alias("b")), lambda x: X.let(tokens(x), lambda y: X.let(judged(y), told)))
 
 
 def safety_drift(before: Column, after: Column) -> Column:
@@ -44,6 +55,7 @@ def safety_drift(before: Column, after: Column) -> Column:
     low = F.lower(after)
     excused = F.contains(low, F.lit(L.EXCUSES[0])) | F.contains(low, F.lit(L.EXCUSES[1]))
     refusal, agency, recurrence = lost(L.REFUSAL) & ~excused, lost(L.AGENCY), lost(L.RECURRENCE)
+    refusal, agency, recurrence = (F.when(before == after, False).otherwise(x) for x in (refusal, agency, recurrence))
     return F.struct(refusal.alias("refusal_lost"), agency.alias("agency_lost"), recurrence.alias("recurrence_lost"), (refusal | agency | recurrence).alias("any_drift"))
 
 
@@ -54,11 +66,17 @@ def _diff(a: str, b: str) -> list[dict]:
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "original", "corrected")])))
-def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Replaced, inserted and deleted runs of words, in order."""
+def _word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([_diff(a, b) for a, b in zip(before, after)])
 
 
+def word_diff(before: Column | str, after: Column | str) -> Column:
+    """Replaced, inserted and deleted runs of words, in order. Equal texts reach the UDF as null."""
+    before, after = (F.col(x) if isinstance(x, str) else x for x in (before, after))
+    other = ~before.eqNullSafe(after)
+    return _word_diff(F.when(other, before), F.when(other, after))
+
+
 def markdown_misheard(terms: DataFrame) -> DataFrame:
     """One row ``table``: misheard variants, longest first, at most 120 of them (a prompt's room)."""
     rows = terms.select(F.explode("variants").alias("v"), "term", "ord").groupBy("v").agg(F.max_by("term", "ord").alias("term"), F.min("ord").alias("ord"))
@@ -136,8 +154,7 @@ def standardise(notes: DataFrame, variants: list[tuple[str, str]], rewriter: Cal
     if len(variants) > MOST_NATIVE:
         step = phrases.rewrite(notes.withColumn("_w", whole), variants, "_w", "_p").drop("_w")
     else:
-        text, applied = X.prepass(whole, variants)
-        step = notes.withColumn("_p", F.struct(text.alias("text"), applied.alias("applied")))
+        step = notes.withColumn("_p", X.prepass_step(whole, variants))
     step = step.withColumn("_g", _rewritten(notes, F.col("_p.text"), rewriter, STANDARD_BOUNDS))
     return step.withColumns({"standard": F.col("_g.text"), "applied": F.col("_p.applied"), "ok": F.col("_g.ok"), "corrections": word_diff(F.coalesce(F.col(text_col), F.lit("")), F.col("_g.text"))}).drop("_p", "_g")
 
